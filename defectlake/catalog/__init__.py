@@ -2,16 +2,18 @@
 
 from __future__ import annotations
 
+from importlib import import_module
 
-def _modules():
-    from defectlake.catalog import findings
+_MODULES = ("findings", "reports", "heap")
 
-    return (findings,)
+
+def _registries():
+    return [import_module(f"defectlake.catalog.{name}").query for name in _MODULES]
 
 
 def queries() -> dict:
-    return {name: fn for module in _modules() for name, fn in module.QUERIES.items()}
+    return {name: fn for registry in _registries() for name, fn in registry.queries.items()}
 
 
 def oracle_sql() -> dict:
-    return {name: sql for module in _modules() for name, sql in module.ORACLE.items()}
+    return {name: sql for registry in _registries() for name, sql in registry.oracle.items()}

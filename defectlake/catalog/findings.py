@@ -5,23 +5,11 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from defectlake.catalog import derived as d
+from defectlake.catalog.registry import Registry
 from defectlake.functions import findings as ff
 from defectlake.operators import diff, findings as fo, relations, security, stats
 
-QUERIES = {}
-ORACLE = {}
-
-
-def query(sql: str | None = None):
-    """Register a query under its function's name, with the SQL that must give the same rows."""
-
-    def add(fn):
-        QUERIES[fn.__name__] = fn
-        if sql is not None:
-            ORACLE[fn.__name__] = sql
-        return fn
-
-    return add
+query = Registry()
 
 
 def _both(spark, sf_dir):

@@ -40,9 +40,11 @@ def parse_size(number: Column, unit: Column) -> Column:
 
 def format_bytes(col: Column) -> Column:
     """Bytes as '1.5 MB', '2.0 KB' or '12 B'."""
+    # halves round to even, as in the usual printf of these values
+    mb, kb = F.bround(col / F.lit(1048576.0), 1), F.bround(col / F.lit(1024.0), 1)
     return (
-        F.when(col >= 1048576, F.format_string("%.1f MB", col / F.lit(1048576.0)))
-        .when(col >= 1024, F.format_string("%.1f KB", col / F.lit(1024.0)))
+        F.when(col >= 1048576, F.format_string("%.1f MB", mb))
+        .when(col >= 1024, F.format_string("%.1f KB", kb))
         .when(col.isNotNull(), F.format_string("%d B", col))
     )
 

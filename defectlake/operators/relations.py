@@ -25,6 +25,7 @@ def relate_findings(df: DataFrame, max_findings: int = 500) -> DataFrame:
     through (scan, file, line bucket), the others through (scan, function) with the leading
     finding restricted to leaks or races.
     """
+    # At most max_findings small rows per scan, used on both sides of three joins: written once.
     listed = cap_findings(df, max_findings).select(
         "scan_id",
         F.col("rank").alias("pos"),
@@ -41,6 +42,7 @@ def relate_findings(df: DataFrame, max_findings: int = 500) -> DataFrame:
             )
         ).alias("functions"),
     )
+    listed = scale.materialise(listed, "listed")
     names = ("pos", "id", "bug_type", "file", "line", "functions")
     a = listed.select("scan_id", *[F.col(c).alias(f"a_{c}") for c in names])
     b = listed.select("scan_id", *[F.col(c).alias(f"b_{c}") for c in names])
