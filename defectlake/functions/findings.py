@@ -80,9 +80,9 @@ def has_location(frame: Column) -> Column:
 
 def first_location(stack: Column, *predicates) -> Column:
     """Location of the first frame that passes the first predicate any frame passes."""
-    frames = [F.get(F.filter(stack, p), F.lit(0)) for p in predicates]
-    best = F.coalesce(*frames)
-    return F.when(best.isNotNull(), schemas.location(best["file"], best["line"]))
+    hits = F.concat(*[F.slice(F.filter(stack, p), 1, 1) for p in predicates])
+    places = F.transform(hits, lambda f: schemas.location(f["file"], f["line"]))
+    return F.get(places, F.lit(0))
 
 
 def memcheck_location(stack: Column) -> Column:

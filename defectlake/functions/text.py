@@ -8,6 +8,10 @@ from pyspark.sql import functions as F
 from defectlake import dims
 
 
+#: every line boundary of Unicode text, as str.splitlines has them
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
+
+
 def nonempty(col: Column) -> Column:
     """True for a string that is neither null nor empty."""
     return F.coalesce(F.length(col) > 0, F.lit(False))
@@ -25,7 +29,7 @@ def strip(col: Column) -> Column:
 
 def text_lines(text: Column) -> Column:
     """Array of lines without the terminators and without a trailing empty line."""
-    parts = F.split(text, r"\r\n|\n|\r")
+    parts = F.split(text, LINE_END)
     return F.when(
         (F.size(parts) > 0) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, F.size(parts) - 1)
     ).otherwise(parts)

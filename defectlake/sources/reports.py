@@ -72,6 +72,11 @@ def _or_next(*cols: Column) -> Column:
     return F.coalesce(*[F.when(nonempty(c), c) for c in cols])
 
 
+def _carried(df: DataFrame) -> list[str]:
+    """Key columns, and the event time where the reports have one."""
+    return ["scan_id", "report_id"] + (["discovered_at"] if "discovered_at" in df.columns else [])
+
+
 def _per_report_dedup(df: DataFrame) -> DataFrame:
     """First finding per (report, fingerprint); copies fold in the task that parsed the report."""
     return scale.first_by(df, ["scan_id", "report_id", "fingerprint"], F.col("ord"))
@@ -107,11 +112,9 @@ def _xml_errors(reports: DataFrame) -> DataFrame:
     return (
         reports.where(F.length("output") >= 50)
         .withColumn("doc", F.from_xml(fixed, _VG_SCHEMA))
-        .select("scan_id", "report_id", "tool", F.posexplode("doc.error").alias("pos", "e"))
+        .select(*_carried(reports), F.posexplode("doc.error").alias("pos", "e"))
         .select(
-            "scan_id",
-            "report_id",
-            "tool",
+            *_carried(reports),
             _ord(F.col("pos")).alias("ord"),
             F.coalesce(_first(F.col("e.kind")), F.lit("")).alias("kind"),
             _first(F.col("e.what")).alias("what"),
@@ -125,7 +128,7 @@ def _xml_errors(reports: DataFrame) -> DataFrame:
     )
 
 
-def ingest_memcheck(reports: DataFrame, tool: str = "valgrind") -> DataFrame:
+def ingest_memcheck(reports: DataFrame, dedup: bool = True) -> DataFrame:
     """Memcheck XML: kinds, leak sizes, up to three stacks, user-code location, UAF reclassing."""
     what = _or_next(F.col("what"), F.col("xwhat.text"), F.col("kind"))
     what = F.coalesce(what, F.lit(""))
@@ -153,7 +156,7 @@ def ingest_memcheck(reports: DataFrame, tool: str = "valgrind") -> DataFrame:
                 "stack": stack,
                 "primary_location": ff.memcheck_location(stack),
                 "detail": F.when(nonempty(F.col("auxwhat")), F.col("auxwhat")),
-                "tool": F.lit(tool),
+                "tool": F.lit("valgrind"),
                 "language": F.lit("c"),
             }
         )
@@ -170,10 +173,10 @@ def ingest_memcheck(reports: DataFrame, tool: str = "valgrind") -> DataFrame:
             ),
         )
     )
-    return _finish(reclassify_use_after_free(classify_kind(base, "valgrind")), dedup=True)
+    return _finish(reclassify_use_after_free(classify_kind(base, "valgrind")), dedup)
 
 
-def ingest_helgrind(reports: DataFrame) -> DataFrame:
+def ingest_helgrind(reports: DataFrame, dedup: bool = True) -> DataFrame:
     """Helgrind XML: races and lock errors."""
     stack = F.coalesce(F.get(F.col("stacks"), F.lit(0)), F.array().cast(schemas.STACK))
     base = _xml_errors(reports).withColumns(
@@ -188,7 +191,7 @@ def ingest_helgrind(reports: DataFrame) -> DataFrame:
             "language": F.lit("c"),
         }
     )
-    return _finish(classify_kind(base, "helgrind"), dedup=True)
+    return _finish(classify_kind(base, "helgrind"), dedup)
 
 
 def _text_frames(block: Column) -> Column:
@@ -218,8 +221,7 @@ def ingest_sanitizer(reports: DataFrame) -> DataFrame:
     """ASan, LSan, MSan, UBSan and TSan text: one finding per ERROR/WARNING block."""
     blocks = (
         reports.select(
-            "scan_id",
-            "report_id",
+            *_carried(reports),
             "tool",
             F.posexplode(F.split("output", r"(?=ERROR:|WARNING:)")).alias("pos", "block"),
         )
@@ -234,7 +236,7 @@ def ingest_sanitizer(reports: DataFrame) -> DataFrame:
         )
         .withColumn("primary_location", ff.any_location(F.col("stack")))
     )
-    return _finish(classify_kind(blocks, "asan", "block"), dedup=False)
+    return _finish(classify_kind(blocks, "asan", "block"), False)
 
 
 def ingest_lsan_leaks(reports: DataFrame) -> DataFrame:
@@ -244,8 +246,7 @@ def ingest_lsan_leaks(reports: DataFrame) -> DataFrame:
     )
     leaks = (
         reports.select(
-            "scan_id",
-            "report_id",
+            *_carried(reports),
             F.posexplode(
                 F.arrays_zip(size.alias("size"), count.alias("count"), trace.alias("trace"))
             ).alias("pos", "leak"),
@@ -269,7 +270,7 @@ def ingest_lsan_leaks(reports: DataFrame) -> DataFrame:
         )
         .withColumn("primary_location", ff.any_location(F.col("stack")))
     )
-    return _finish(leaks, dedup=False)
+    return _finish(leaks, False)
 
 
 def ingest_cppcheck(reports: DataFrame) -> DataFrame:
@@ -283,9 +284,9 @@ def ingest_cppcheck(reports: DataFrame) -> DataFrame:
     base = (
         reports.where(strip(F.col("output")) != "")
         .withColumn("doc", F.from_xml("output", _CPP_SCHEMA))
-        .select("scan_id", "report_id", F.posexplode(errors).alias("pos", "e"))
+        .select(*_carried(reports), F.posexplode(errors).alias("pos", "e"))
         .select(
-            "scan_id",
+            *_carried(reports),
             _ord(F.col("pos")).alias("ord"),
             F.lit("cppcheck").alias("tool"),
             F.lit("c").alias("language"),
@@ -307,10 +308,10 @@ def ingest_cppcheck(reports: DataFrame) -> DataFrame:
             placed.isNotNull(), schemas.location(placed["file"], placed["line"], placed["column"])
         ),
     )
-    return _finish(classify_kind(base, "cppcheck"), dedup=False)
+    return _finish(classify_kind(base, "cppcheck"), False)
 
 
-def ingest_infer(reports: DataFrame) -> DataFrame:
+def ingest_infer(reports: DataFrame, dedup: bool = True) -> DataFrame:
     """Infer JSON issues without the noise types."""
     kind = F.coalesce("i.bug_type", F.lit("UNKNOWN"))
     message = F.concat(
@@ -319,8 +320,7 @@ def ingest_infer(reports: DataFrame) -> DataFrame:
     base = (
         reports.where(strip(F.col("output")).startswith("["))
         .select(
-            "scan_id",
-            "report_id",
+            *_carried(reports),
             F.posexplode(F.from_json("output", _INFER_SCHEMA)).alias("pos", "i"),
         )
         .withColumn("kind", kind)
@@ -360,7 +360,7 @@ def ingest_infer(reports: DataFrame) -> DataFrame:
             }
         )
     )
-    return _finish(classify_kind(base, "infer"), dedup=True)
+    return _finish(classify_kind(base, "infer"), dedup)
 
 
 def ingest_allocation_stats(reports: DataFrame, n: int = 20) -> DataFrame:
@@ -368,8 +368,7 @@ def ingest_allocation_stats(reports: DataFrame, n: int = 20) -> DataFrame:
     size = F.coalesce("r.size", F.lit(0))
     base = (
         reports.select(
-            "scan_id",
-            "report_id",
+            *_carried(reports),
             F.posexplode(F.slice(F.from_json("output", _ALLOC_SCHEMA), 1, n)).alias("pos", "r"),
         )
         .where(F.col("r").isNotNull())
@@ -396,7 +395,7 @@ def ingest_allocation_stats(reports: DataFrame, n: int = 20) -> DataFrame:
         )
         .withColumn("primary_location", ff.any_location(F.col("stack")))
     )
-    return _finish(base, dedup=False)
+    return _finish(base, False)
 
 
 SANITIZERS = ("asan", "lsan", "msan", "ubsan", "tsan")
@@ -422,14 +421,25 @@ def known_tools() -> list[str]:
     return sorted({t for tools in _FORMATS for t in tools} | set(_EXTRA))
 
 
-def ingest_reports(raw: DataFrame) -> DataFrame:
-    """All findings of a mixed report table; reports of unknown tools give none."""
+_DEDUPING = (ingest_memcheck, ingest_helgrind, ingest_infer)
+
+
+def ingest_reports(raw: DataFrame, per_report_dedup: bool = True) -> DataFrame:
+    """All findings of a mixed report table; reports of unknown tools give none.
+
+    Streams switch ``per_report_dedup`` off, since their dedup by fingerprint covers it. A
+    ``discovered_at`` column of the reports is carried over to the findings.
+    """
+
+    def run(parse: Parser, chosen: DataFrame) -> DataFrame:
+        return parse(chosen, per_report_dedup) if parse in _DEDUPING else parse(chosen)
+
     parts = []
     for tools, parsers in _FORMATS.items():
         left = [t for t in tools if t not in _EXTRA]
         if left:
             chosen = raw.where(F.col("tool").isin(*left))
-            parts += [parse(chosen) for parse in parsers]
+            parts += [run(parse, chosen) for parse in parsers]
     parts += [parse(raw.where(F.col("tool") == tool)) for tool, parse in _EXTRA.items()]
     out = parts[0]
     for part in parts[1:]:
