@@ -13,9 +13,10 @@ from pyspark.sql import functions as F
 from defectlake import dims
 from defectlake.catalog import derived as d
 from defectlake.catalog.registry import Registry
-from defectlake.functions.text import is_user_path
-from defectlake.operators import corpus, graph, relations, roles, stats
 from defectlake.functions import findings as ff
+from defectlake.functions.text import is_user_path
+from defectlake.operators import corpus, findings as fo, graph, relations, roles, stats
+from defectlake.plans import jobs
 
 query = Registry()
 
@@ -190,20 +191,9 @@ def dataflow_edges(spark, sf_dir):
     return edges.groupBy("source_func", "target_func", "edge_type", "variable", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
-def _tainted(spark, sf_dir):
-    from defectlake import scale
-
-    functions = scale.materialise(_functions(spark, sf_dir), "functions")
-    facts = corpus.extract_flow_facts(functions)
-    inputs = corpus.find_taint_sources(functions)
-    flows = graph.dataflow_edges(functions, facts)
-    seeds = graph.taint_seeds(inputs, facts)
-    return functions, facts, inputs, flows, graph.propagate_taint(seeds, graph.taint_rules(functions, facts, flows))
-
-
 @query(FN_CTE + "SELECT f AS function, v AS variable FROM tainted")
 def propagate_taint(spark, sf_dir):
-    return _tainted(spark, sf_dir)[-1].select("function", "variable")
+    return jobs.taint_state(source_files(spark, sf_dir))["tainted"].select("function", "variable")
 
 
 _PATHS = (
@@ -222,31 +212,22 @@ paths AS (SELECT * FROM hits WHERE pick = 1)
 )
 
 
-def _paths(spark, sf_dir):
-    from defectlake.operators import findings as fo
-
-    functions, facts, inputs, flows, tainted = _tainted(spark, sf_dir)
-    calls = graph.call_edges(facts)
+def _attack(spark, sf_dir):
     found = fo.dedupe_findings(d.findings(spark, sf_dir)).withColumn("corpus_id", F.lit("parts"))
-    every = calls.unionByName(flows.select(*calls.columns))
-    return graph.taint_paths(inputs, found, every, tainted), (functions, inputs, flows, calls, tainted, found)
+    return jobs.run_taint(source_files(spark, sf_dir), found)
 
 
 @query(
     _PATHS
     + """SELECT call_site, CAST(line_no AS INTEGER) AS source_line, bug_id, bug_type, CAST(hops AS INTEGER) AS path_length, risk_level,
-  round(0.4 + CASE WHEN hops = 0 THEN 0.35 WHEN hops <= 2 THEN 0.25 WHEN hops <= 4 THEN 0.15 ELSE 0.05 END
-    + CASE risk_level WHEN 'critical' THEN 0.15 ELSE 0.1 END
-    + CASE WHEN bug_type IN ('buffer_overflow', 'use_after_free') THEN 0.1 ELSE 0 END, 4)::DOUBLE AS confidence,
   CASE WHEN source_type = 'network' AND bug_type IN ('buffer_overflow', 'use_after_free', 'double_free') THEN 'CRITICAL'
     WHEN bug_type = 'memory_leak' THEN 'MEDIUM' WHEN source_type = 'stdin' THEN 'HIGH' ELSE 'Tainted data from ' || call_site || '() → ''buf'' reaches ' || bug_type || ' via fn_' END AS verdict
 FROM paths"""
 )
 def taint_paths(spark, sf_dir):
-    scored = graph.flow_description(graph.score_taint_paths(_paths(spark, sf_dir)[0]))
     verdict = F.regexp_extract("risk_assessment", r"^(CRITICAL|HIGH|MEDIUM|.*? via fn_)", 1)
-    return scored.select(
-        "call_site", "source_line", "bug_id", "bug_type", "path_length", "risk_level", "confidence", verdict.alias("verdict")
+    return _attack(spark, sf_dir)["paths"].select(
+        "call_site", "source_line", "bug_id", "bug_type", "path_length", "risk_level", verdict.alias("verdict")
     )
 
 
@@ -260,9 +241,9 @@ def taint_paths(spark, sf_dir):
 FROM paths"""
 )
 def taint_summary(spark, sf_dir):
-    paths, (functions, inputs, flows, calls, tainted, found) = _paths(spark, sf_dir)
-    out = graph.taint_summary(paths, inputs, tainted, found, functions)
-    return out.select("paths", "reachable_bugs", "isolated_bugs", "tainted_variables", "input_sources", "risk_summary")
+    return _attack(spark, sf_dir)["summary"].select(
+        "paths", "reachable_bugs", "isolated_bugs", "tainted_variables", "input_sources", "risk_summary"
+    )
 
 
 @query(
@@ -271,8 +252,47 @@ def taint_summary(spark, sf_dir):
   row_number() OVER (ORDER BY CASE risk_level WHEN 'critical' THEN 0 ELSE 1 END, hops, bug_id, call_site, line_no) AS rank FROM paths) WHERE rank <= 10"""
 )
 def rank_taint_paths(spark, sf_dir):
-    out = graph.rank_taint_paths(_paths(spark, sf_dir)[0], 10)
-    return out.select("risk_level", "path_length", "bug_id", "call_site", "source_line", "rank")
+    return _attack(spark, sf_dir)["top_paths"].select(
+        "risk_level", "path_length", "bug_id", "call_site", "source_line", "rank"
+    )
+
+
+@query(
+    """WITH e AS (SELECT event_id, event_type, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events),
+p AS (SELECT *, CASE k % 6 WHEN 0 THEN 1 WHEN 1 THEN 2 WHEN 2 THEN 3 WHEN 3 THEN 4 WHEN 4 THEN 6 ELSE 7 END AS nodes,
+  CASE k % 4 WHEN 0 THEN 'param' WHEN 1 THEN 'return' WHEN 2 THEN 'global' ELSE 'call' END AS edge,
+  CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high' WHEN 'click' THEN 'medium' WHEN 'view' THEN 'low' ELSE 'odd' END AS risk,
+  CASE WHEN k % 3 = 0 THEN 'use_after_free' ELSE 'memory_leak' END AS bug FROM e)
+SELECT event_id, round(least(0.98, greatest(0.1, 0.4 + CASE WHEN nodes <= 1 THEN 0.35 WHEN nodes <= 3 THEN 0.25 WHEN nodes <= 5 THEN 0.15 ELSE 0.05 END
+  + CASE WHEN nodes > 1 AND edge = 'param' THEN 0.1 WHEN nodes > 1 AND edge = 'return' THEN 0.08 WHEN nodes > 1 AND edge = 'global' THEN -0.05 ELSE 0 END
+  + CASE risk WHEN 'critical' THEN 0.15 WHEN 'high' THEN 0.1 WHEN 'medium' THEN 0.05 ELSE 0 END + CASE WHEN k % 3 = 0 THEN 0.1 ELSE 0 END)), 4)::DOUBLE AS confidence,
+  'read() writes to ''v''' || CASE WHEN nodes > 1 THEN array_to_string(list_transform(range(1, nodes), lambda i: ' → ' || CASE edge WHEN 'param' THEN 'passes tainted param to'
+    WHEN 'return' THEN 'returns tainted value to' WHEN 'global' THEN 'taints global read by' ELSE 'calls' END || ' f() via ''x'''), '') ELSE '' END || ' → → triggers ' || bug AS detail FROM p"""
+)
+def score_taint_paths(spark, sf_dir):
+    """Confidence and flow text of one path per event, over all lengths and edge types."""
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+    nodes = F.get(F.array(*[F.lit(n) for n in (1, 2, 3, 4, 6, 7)]), k % 6)
+    edge = F.get(F.array(*[F.lit(x) for x in ("param", "return", "global", "call")]), k % 4)
+    risk = F.coalesce(
+        dims.lookup({"error": "critical", "purchase": "high", "click": "medium", "view": "low"}, F.col("event_type")),
+        F.lit("odd"),
+    )
+    paths = d.table(spark, sf_dir, "events").select(
+        "event_id",
+        F.array_repeat(F.lit("f"), nodes).alias("path"),
+        F.when(nodes == 1, F.array(F.lit("direct")))
+        .otherwise(F.concat(F.array(F.lit("origin")), F.array_repeat(edge, nodes - 1)))
+        .alias("edge_types"),
+        F.concat(F.array(F.lit("v")), F.array_repeat(F.lit("x"), nodes - 1)).alias("path_variables"),
+        F.when(k % 3 == 0, F.lit("use_after_free")).otherwise(F.lit("memory_leak")).alias("bug_type"),
+        F.lit("file_io").alias("source_type"),
+        F.lit("read").alias("call_site"),
+        F.lit("v").alias("tainted_var"),
+        risk.alias("risk_level"),
+    )
+    scored = graph.flow_description(graph.score_taint_paths(paths))
+    return scored.select("event_id", "confidence", F.col("data_flow_detail").alias("detail"))
 
 
 @query(
@@ -281,8 +301,8 @@ def rank_taint_paths(spark, sf_dir):
   (SELECT count(*) FROM fn) AS functions_analyzed, (SELECT count(*) FROM tainted) AS tainted_variables"""
 )
 def graph_size(spark, sf_dir):
-    functions, facts, _, flows, tainted = _tainted(spark, sf_dir)
-    return graph.graph_size(flows, graph.call_edges(facts), functions, tainted).drop("corpus_id")
+    state = jobs.taint_state(source_files(spark, sf_dir))
+    return graph.graph_size(state["edges"], state["calls"], state["functions"], state["tainted"]).drop("corpus_id")
 
 
 _CLOSURE = "WITH RECURSIVE " + d.CALL_EDGES_CTE.strip() + """,
@@ -339,7 +359,7 @@ def _doc_lines(spark, sf_dir, *swaps: tuple[str, str]) -> DataFrame:
     _LINES
     + r"""t AS (SELECT doc_id, n, replace(replace(replace(raw, ' the ', ' malloc ('), ' on ', ' // '), ' of ', ' new X[') AS text FROM l),
 c AS (SELECT doc_id, n, regexp_replace(text, '//.*$', '') AS text FROM t)
-SELECT doc_id, CAST(n AS INTEGER) AS line_no, 'malloc without free check' AS message, 'low' AS severity FROM c WHERE contains(text, ' malloc (')
+SELECT doc_id, CAST(n AS INTEGER) AS line_no, 'malloc without free check' AS message, 'low' AS severity FROM c WHERE contains(text, 'malloc (')
 UNION ALL SELECT doc_id, CAST(n AS INTEGER), 'array new — use std::vector', 'low' FROM c WHERE contains(text, ' new X[')"""
 )
 def scan_c_rules(spark, sf_dir):

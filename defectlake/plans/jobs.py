@@ -49,31 +49,48 @@ def run_scan(
     }
 
 
-def run_taint(
-    sources_corpus: DataFrame, findings: DataFrame, max_depth: int = 15
-) -> dict[str, DataFrame]:
-    """Source corpus and findings (with ``corpus_id``) to ranked attack paths."""
+def taint_state(sources_corpus: DataFrame) -> dict[str, DataFrame]:
+    """Functions, input sources, edges and tainted variables of a source corpus.
+
+    Function bodies are read once for the facts; the later joins read the narrow fact tables.
+    """
     functions = scale.materialise(corpus.extract_functions(sources_corpus), "functions")
-    facts = corpus.extract_flow_facts(functions)
+    facts = {
+        name: scale.materialise(rows, name)
+        for name, rows in corpus.extract_flow_facts(functions).items()
+    }
     inputs = scale.materialise(corpus.find_taint_sources(functions), "inputs")
     flows = scale.materialise(graph.dataflow_edges(functions, facts), "flows")
-    calls = scale.materialise(graph.call_edges(facts), "calls")
     tainted = graph.propagate_taint(
         graph.taint_seeds(inputs, facts), graph.taint_rules(functions, facts, flows)
     )
-    every = calls.unionByName(flows.select(*calls.columns))
-    paths = graph.taint_paths(inputs, findings, every, tainted, max_depth)
-    paths = scale.materialise(graph.flow_description(graph.score_taint_paths(paths)), "paths")
     return {
         "functions": functions,
         "sources": inputs,
         "edges": flows,
-        "calls": calls,
+        "calls": graph.call_edges(facts),
         "tainted": tainted,
+    }
+
+
+def run_taint(
+    sources_corpus: DataFrame, findings: DataFrame, max_depth: int = 15
+) -> dict[str, DataFrame]:
+    """Source corpus and findings (with ``corpus_id``) to ranked attack paths."""
+    state = taint_state(sources_corpus)
+    every = state["calls"].unionByName(state["edges"].select(*state["calls"].columns))
+    paths = graph.taint_paths(state["sources"], findings, every, state["tainted"], max_depth)
+    paths = scale.materialise(graph.flow_description(graph.score_taint_paths(paths)), "paths")
+    return {
+        **state,
         "paths": paths,
         "top_paths": graph.rank_taint_paths(paths),
-        "size": graph.graph_size(flows, calls, functions, tainted),
-        "summary": graph.taint_summary(paths, inputs, tainted, findings, functions),
+        "size": graph.graph_size(
+            state["edges"], state["calls"], state["functions"], state["tainted"]
+        ),
+        "summary": graph.taint_summary(
+            paths, state["sources"], state["tainted"], findings, state["functions"]
+        ),
     }
 
 
