@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-_MODULES = ("findings", "reports", "heap", "code")
+_MODULES = ("findings", "reports", "heap", "code", "exports")
 
 
 def _registries():

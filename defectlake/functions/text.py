@@ -29,10 +29,11 @@ def strip(col: Column) -> Column:
 
 def text_lines(text: Column) -> Column:
     """Array of lines without the terminators and without a trailing empty line."""
-    parts = F.split(text, LINE_END)
-    return F.when(
-        (F.size(parts) > 0) & (F.element_at(parts, -1) == ""), F.slice(parts, 1, F.size(parts) - 1)
-    ).otherwise(parts)
+    # the last terminator goes first, so the text is split once and nothing is sliced afterwards
+    body = F.regexp_replace(text, f"(?:{LINE_END})\\z", "")
+    return F.when(F.length(text) > 0, F.split(body, LINE_END)).when(
+        text.isNotNull(), F.array().cast("array<string>")
+    )
 
 
 def parse_size(number: Column, unit: Column) -> Column:

@@ -18,6 +18,8 @@ from pyspark.sql import functions as F
 SALTS = 32
 #: a frame is broadcast only when its measured row count is at most this
 BROADCAST_ROWS = 100_000
+#: default size of a file split
+SPLIT_BYTES = 128 << 20
 _LOCAL_ROOT: list[str] = []
 
 
@@ -50,6 +52,19 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def spread(df: DataFrame) -> DataFrame:
+    """Use all cores for costly per-row work on an input that is small but comes in few splits.
+
+    Above one default split per core the input is left as it is: it has enough partitions already,
+    and moving it would cost more than it brings.
+    """
+    if df.isStreaming:
+        return df
+    cores = df.sparkSession.sparkContext.defaultParallelism
+    size = int(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())
+    return df.repartition(cores) if size < cores * SPLIT_BYTES else df
+
+
 def broadcast_if_small(df: DataFrame, rows: int) -> DataFrame:
     """Hint a broadcast when the measured ``rows`` is within the bound."""
     return F.broadcast(df) if rows <= BROADCAST_ROWS else df

@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from defectlake import dims
+from defectlake import dims, scale
 from defectlake.functions.text import parse_size, strip, text_lines
 
 # Phrasings of the profiler's summary lines; of a list the first that matches is used.
@@ -61,7 +61,8 @@ def ingest_heap_summary(profiles: DataFrame) -> DataFrame:
     s = F.col("line")
     # Every summary line has one of these words; the others are dropped before the costly patterns.
     lines = (
-        profiles.select("scan_id", F.posexplode(text_lines(F.col("output"))).alias("pos", "raw"))
+        scale.spread(profiles)
+        .select("scan_id", F.posexplode(text_lines(F.col("output"))).alias("pos", "raw"))
         .where(F.col("raw").rlike(r"(?i)peak (?:heap|memory)|allocat|temporary|leaked"))
         .select("scan_id", "pos", strip(F.col("raw")).alias("line"))
     )
@@ -97,24 +98,33 @@ def _function_name(line: Column, min_prefix: int = 0) -> Column:
     return strip(F.when(cut, prefix).otherwise(line))
 
 
-def _blocks(profiles: DataFrame, header: str) -> DataFrame:
-    """Rows (scan_id, pos, lines) per header, the header being the first (stripped) line."""
-    cut = r"(?m)(?=^[^\S\n]*" + header + ")"
+#: white space before a header, on the header's own line
+INDENT = r"^[^\S\n]*"
+
+
+def _blocks(profiles: DataFrame, header: str, keep: str) -> DataFrame:
+    """Rows (scan_id, pos, block, body) per block that starts with a ``keep`` header.
+
+    Blocks run from one ``header`` line to the next; ``body`` is the trimmed lines after it.
+    """
+    cut = "(?m)(?=" + INDENT + header + ")"
     return (
-        profiles.select("scan_id", F.posexplode(F.split("output", cut)).alias("pos", "block"))
+        scale.spread(profiles)
+        .select("scan_id", F.posexplode(F.split("output", cut)).alias("pos", "block"))
+        .where(F.col("block").rlike(INDENT + keep))
         .select(
             "scan_id",
             "pos",
-            F.transform(text_lines(F.col("block")), lambda x: strip(x)).alias("lines"),
+            "block",
+            F.transform(
+                text_lines(F.regexp_replace("block", r"^[^\n]*\n?", "")), strip
+            ).alias("body"),
         )
-        .where(F.get("lines", F.lit(0)).rlike("^" + header))
     )
 
 
 def ingest_heap_sites(profiles: DataFrame) -> DataFrame:
     """Call sites: function, place, calls, peak and the first five functions of the stack."""
-    head = F.get("lines", F.lit(0))
-    body = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
     many = F.lit(1 << 30)
 
     def upto(array: Column, stop: Column) -> Column:
@@ -124,8 +134,7 @@ def ingest_heap_sites(profiles: DataFrame) -> DataFrame:
 
     # names are read up to the first blank line; a section title can only come after one
     blocks = (
-        _blocks(profiles, SITE_HEADER)
-        .select("scan_id", "pos", head.alias("head"), body.alias("body"))
+        _blocks(profiles, SITE_HEADER, SITE_HEADER)
         .withColumn("blank", F.array_position("body", ""))
     )
     after_blank = F.slice("body", (F.col("blank") + 1).cast("int"), many)
@@ -147,7 +156,7 @@ def ingest_heap_sites(profiles: DataFrame) -> DataFrame:
         lambda x: F.length(x["name"]) > 1,
     )
     blocks = blocks.select(
-        "scan_id", "pos", "head", upto(F.col("body"), section).alias("body"), named.alias("names")
+        "scan_id", "pos", "block", upto(F.col("body"), section).alias("body"), named.alias("names")
     )
     site = F.get(F.filter("names", lambda x: ~x["name"].isin(*dims.HEAP_SITE_SKIP)), F.lit(0))
     blocks = blocks.withColumn("site", site).where(F.col("site").isNotNull())
@@ -161,33 +170,32 @@ def ingest_heap_sites(profiles: DataFrame) -> DataFrame:
     )
     blocks = blocks.withColumn("place", place)
     place = F.col("place")
-    path = F.regexp_extract(place, AT_LINE, 1)
+    path, head = F.regexp_extract(place, AT_LINE, 1), INDENT + SITE_HEADER
     return blocks.select(
         "scan_id",
         F.col("pos").alias("site_no"),
         F.col("site.name").alias("function"),
         F.coalesce(F.element_at(F.split(path, "/"), -1), F.lit("??")).alias("file"),
         F.coalesce(F.regexp_extract(place, AT_LINE, 2).try_cast("int"), F.lit(0)).alias("line"),
-        F.regexp_extract("head", SITE_HEADER, 1).try_cast("bigint").alias("allocations"),
+        F.regexp_extract("block", head, 1).try_cast("bigint").alias("allocations"),
         parse_size(
-            F.regexp_extract("head", SITE_HEADER, 2), F.regexp_extract("head", SITE_HEADER, 3)
+            F.regexp_extract("block", head, 2), F.regexp_extract("block", head, 3)
         ).alias("peak_bytes"),
         F.lit(0).cast("bigint").alias("leaked_bytes"),
         F.lit(0).cast("bigint").alias("temporary"),
         F.transform(F.slice("names", 1, 5), lambda x: x["name"]).alias("stack"),
-        F.col("head").rlike("^" + CALL_HEADER).alias("is_subcall"),
+        F.col("block").rlike(INDENT + CALL_HEADER).alias("is_subcall"),
     )
 
 
 def ingest_flame_stacks(profiles: DataFrame) -> DataFrame:
     """Root-first stacks of the 'N calls with X' blocks with their bytes per profile."""
-    head = F.get("lines", F.lit(0))
-    body = F.slice("lines", 2, F.greatest(F.size("lines") - 1, F.lit(0)))
+    head = INDENT + CALL_HEADER
     either = rf"(?:{CALL_HEADER}|{ALLOCATION_HEADER})"
     names = F.filter(
         F.transform(
             F.filter(
-                body,
+                "body",
                 lambda s: (s != "") & ~s.startswith("at ") & ~s.startswith("in /"),
             ),
             lambda s: _function_name(s, 2),
@@ -195,13 +203,12 @@ def ingest_flame_stacks(profiles: DataFrame) -> DataFrame:
         lambda n: (F.length(n) > 1) & ~n.isin("from", "from:"),
     )
     blocks = (
-        _blocks(profiles, either)
-        .where(head.rlike("^" + CALL_HEADER))
+        _blocks(profiles, either, CALL_HEADER)
         .select(
             "scan_id",
             F.array_join(F.reverse(names), ";").alias("stack"),
             parse_size(
-                F.regexp_extract(head, CALL_HEADER, 2), F.regexp_extract(head, CALL_HEADER, 3)
+                F.regexp_extract("block", head, 2), F.regexp_extract("block", head, 3)
             ).alias("bytes"),
         )
         .where((F.col("stack") != "") & (F.col("bytes") > 0))

@@ -110,7 +110,8 @@ def _xml_errors(reports: DataFrame) -> DataFrame:
     """One row per ``<error>``; text that is no XML gives none."""
     fixed = F.regexp_replace("output", BARE_AMPERSAND, "&amp;")
     return (
-        reports.where(F.length("output") >= 50)
+        scale.spread(reports)
+        .where(F.length("output") >= 50)
         .withColumn("doc", F.from_xml(fixed, _VG_SCHEMA))
         .select(*_carried(reports), F.posexplode("doc.error").alias("pos", "e"))
         .select(
@@ -220,7 +221,8 @@ def _text_frames(block: Column) -> Column:
 def ingest_sanitizer(reports: DataFrame) -> DataFrame:
     """ASan, LSan, MSan, UBSan and TSan text: one finding per ERROR/WARNING block."""
     blocks = (
-        reports.select(
+        scale.spread(reports)
+        .select(
             *_carried(reports),
             "tool",
             F.posexplode(F.split("output", r"(?=ERROR:|WARNING:)")).alias("pos", "block"),
@@ -245,7 +247,8 @@ def ingest_lsan_leaks(reports: DataFrame) -> DataFrame:
         F.regexp_extract_all("output", F.lit(SANITIZER_LEAK), F.lit(g)) for g in (1, 2, 3)
     )
     leaks = (
-        reports.select(
+        scale.spread(reports)
+        .select(
             *_carried(reports),
             F.posexplode(
                 F.arrays_zip(size.alias("size"), count.alias("count"), trace.alias("trace"))
@@ -282,7 +285,8 @@ def ingest_cppcheck(reports: DataFrame) -> DataFrame:
         return F.nullif(F.coalesce(text.try_cast("int"), F.lit(0)), F.lit(0))
 
     base = (
-        reports.where(strip(F.col("output")) != "")
+        scale.spread(reports)
+        .where(strip(F.col("output")) != "")
         .withColumn("doc", F.from_xml("output", _CPP_SCHEMA))
         .select(*_carried(reports), F.posexplode(errors).alias("pos", "e"))
         .select(
@@ -318,7 +322,8 @@ def ingest_infer(reports: DataFrame, dedup: bool = True) -> DataFrame:
         F.lit("[Infer] "), F.col("kind"), F.lit(": "), F.coalesce("i.qualifier", F.lit(""))
     )
     base = (
-        reports.where(strip(F.col("output")).startswith("["))
+        scale.spread(reports)
+        .where(strip(F.col("output")).startswith("["))
         .select(
             *_carried(reports),
             F.posexplode(F.from_json("output", _INFER_SCHEMA)).alias("pos", "i"),
@@ -367,7 +372,8 @@ def ingest_allocation_stats(reports: DataFrame, n: int = 20) -> DataFrame:
     """Allocation statistics JSON: the report's first ``n`` records, rated by size."""
     size = F.coalesce("r.size", F.lit(0))
     base = (
-        reports.select(
+        scale.spread(reports)
+        .select(
             *_carried(reports),
             F.posexplode(F.slice(F.from_json("output", _ALLOC_SCHEMA), 1, n)).alias("pos", "r"),
         )
