@@ -121,7 +121,7 @@ def _facts(spark, sf_dir):
 @query(
     FN_CTE
     + """SELECT file, f AS name, start_line, CAST(start_line + 7 + has_alloc + has_pass + has_free + has_if AS INTEGER) AS end_line,
-  'buf,n' AS params, 'char *buf|int n' AS param_types, 'static int' AS return_type FROM fn"""
+  'buf,n' AS params, 'char *buf|int n' AS param_types, 'static int *' AS return_type FROM fn"""
 )
 def extract_functions(spark, sf_dir):
     return _functions(spark, sf_dir).select(
