@@ -456,8 +456,9 @@ def role_funnel(spark, sf_dir):
 
 @query(
     _ROLES
-    + """SELECT CASE WHEN is_alloc THEN 'Allocator' ELSE 'Deallocator' END AS role, '^(' || string_agg(name, '|' ORDER BY name) || ')$' AS pattern
-FROM checked WHERE validated GROUP BY 1"""
+    + """SELECT role, CAST((place - 1) // 500 AS INTEGER) AS part, '^(' || string_agg(name, '|' ORDER BY name) || ')$' AS pattern
+FROM (SELECT *, row_number() OVER (PARTITION BY role ORDER BY name) AS place FROM
+  (SELECT name, CASE WHEN is_alloc THEN 'Allocator' ELSE 'Deallocator' END AS role FROM checked WHERE validated)) GROUP BY 1, 2"""
 )
 def role_patterns(spark, sf_dir):
     checked = roles.validate_role(_claims(spark, sf_dir), _functions(spark, sf_dir))

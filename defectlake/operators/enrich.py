@@ -36,8 +36,8 @@ def resolve_frames(findings: DataFrame, symbols: DataFrame, keys=("scan_id", "or
         usable("file").alias("file"),
         F.nullif(F.col("line"), F.lit(0)).cast("int").alias("line"),
     ).dropDuplicates(["address"])
-    # a hot address (malloc) is salted over the frames that need it
-    found = scale.salted_lookup(wanted, table, ["address"], salt=keys, how="inner")
+    # an address that very many frames share (malloc) is salted
+    found = scale.skewed_lookup(wanted, table, ["address"], salt=keys, how="inner")
     resolved = found.groupBy(*keys).agg(
         F.map_from_entries(
             F.collect_list(F.struct("address", F.struct("function", "file", "line")))
@@ -91,7 +91,7 @@ def attach_source_context(
     """Add ``source_context``: lines around the primary location, the whole file when it is short.
 
     Places and files are made distinct first, so copies of a finding cost one lookup; the contexts
-    return to the findings through a salted join.
+    return to the findings through a join that salts places with very many findings.
     """
     loc = F.col("primary_location")
     placed = findings.withColumns({"__file": loc["file"], "__line": loc["line"]})
@@ -133,7 +133,7 @@ def attach_source_context(
         ).alias("source_context"),
     )
     base = placed.drop("source_context") if "source_context" in findings.columns else placed
-    joined = scale.salted_lookup(base, context, ["scan_id", "__file", "__line"], salt=["ord"])
+    joined = scale.skewed_lookup(base, context, ["scan_id", "__file", "__line"], salt=["ord"])
     return joined.drop("__file", "__line")
 
 
@@ -150,7 +150,7 @@ def attach_frame_snippets(findings: DataFrame, source_lines: DataFrame) -> DataF
     ).select("scan_id", "ord", F.col("p.file").alias("file"), F.col("p.line").alias("line_no"))
     one = source_lines.select("scan_id", "file", "line_no", "text")
     got = (
-        scale.salted_lookup(asked, one, ["scan_id", "file", "line_no"], salt=["ord"], how="inner")
+        scale.skewed_lookup(asked, one, ["scan_id", "file", "line_no"], salt=["ord"], how="inner")
         .groupBy("scan_id", "ord")
         .agg(
             F.map_from_entries(

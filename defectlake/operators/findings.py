@@ -116,8 +116,13 @@ def mark_duplicates(df: DataFrame) -> DataFrame:
     """All rows, with ``duplicate_of`` = id of the copy that :func:`dedupe_findings` keeps."""
     df = df if "fingerprint" in df.columns else with_fingerprint(df)
     order = F.struct(ff.severity_rank(F.col("severity")), F.col("ord"))
-    winners = df.groupBy("scan_id", "fingerprint").agg(F.min_by("id", order).alias("__winner"))
-    joined = scale.salted_lookup(df, winners, ["scan_id", "fingerprint"], salt=["ord"])
+    keys = ["scan_id", "fingerprint"]
+    winners = scale.materialise(
+        df.groupBy(*keys).agg(F.min_by("id", order).alias("__winner"), F.count(F.lit(1)).alias("n")),
+        "winners",
+    )
+    heavy = winners.where(F.col("n") >= scale.HEAVY_ROWS).select(*keys)
+    joined = scale.skewed_lookup(df, winners.drop("n"), keys, salt=["ord"], heavy=heavy)
     return joined.withColumn(
         "duplicate_of", F.when(F.col("__winner") != F.col("id"), F.col("__winner"))
     ).select(*df.columns)
@@ -219,7 +224,9 @@ def with_tips(df: DataFrame, tips: DataFrame | None = None) -> DataFrame:
         return df.withColumn("tips", F.coalesce(advice(F.col("bug_type")), advice(F.lit("*")), empty))
     exact = tips.select("language", "bug_type", F.col("tips").alias("__exact"))
     default = tips.where("bug_type = '*'").select("language", F.col("tips").alias("__default"))
-    joined = df.join(exact, ["language", "bug_type"], "left").join(default, "language", "left")
+    # few languages and types: without salts all findings would meet in a handful of tasks
+    joined = scale.salted_lookup(df, exact, ["language", "bug_type"], salt=["ord"])
+    joined = scale.salted_lookup(joined, default, ["language"], salt=["ord"])
     return joined.select(
         *df.columns,
         F.coalesce("__exact", "__default", F.array().cast("array<string>")).alias("tips"),

@@ -151,13 +151,17 @@ def match_recordings(scans: DataFrame, recordings: DataFrame, n: int = 5) -> Dat
         salt=["recording_id"],
         rank_col="place",
     )
-    return left.join(newest, "program").drop("binary")
+    # one program may be behind a third of the scans
+    return scale.salted_lookup(left, newest, ["program"], salt=["scan_id"], how="inner").drop("binary")
 
 
 def annotate_custom_roles(calls: DataFrame, summaries: DataFrame) -> DataFrame:
     """Calls of validated custom allocators and deallocators, with role and note text."""
     roles = summaries.where(F.col("validated")).select("name", "role", "target").distinct()
-    return calls.join(roles.withColumnRenamed("name", "callee"), "callee").withColumn(
+    named = roles.withColumnRenamed("name", "callee")
+    # a popular allocator is called from everywhere
+    hits = scale.salted_lookup(calls, named, ["callee"], salt=["function"], how="inner")
+    return hits.withColumn(
         "note", note_of(F.col("callee"), F.col("role"), F.col("target"))
     )
 

@@ -10,6 +10,8 @@ from defectlake.functions.text import alternation, quoted, regex_escape, strip,
 from defectlake.operators.corpus import FUNCTION_KEY, function_lines
 
 ALLOC_CALL = rf"\b(?:{alternation(dims.KNOWN_ALLOCATORS)})\s*\("
+#: names in one pattern row
+PATTERN_NAMES = 500
 FREE_CALL = rf"\b(?:{alternation(dims.KNOWN_DEALLOCATORS)})\s*\("
 FREE_VARIABLE = rf"(?:{alternation(dims.KNOWN_DEALLOCATORS)})\s*\((\w+)"
 BRANCH_LINE = r"^(?:if|else|switch|while|for)\b"
@@ -159,14 +161,15 @@ def role_funnel(functions: DataFrame, candidates: DataFrame, summaries: DataFram
 
 
 def role_patterns(summaries: DataFrame, escape: bool = True) -> DataFrame:
-    """Per corpus and role: ``^(a|b)$`` over the validated names.
+    """Per corpus and role: ``^(a|b)$`` over the validated names, at most PATTERN_NAMES in one row.
 
-    The names of custom roles are a short dictionary (one entry per distinct function name), made
-    distinct before they are put together.
+    A name matches when it matches any of its role's patterns.
     """
     name = regex_escape(F.col("name")) if escape else F.col("name")
     distinct = summaries.where("validated").select("corpus_id", "role", name.alias("n")).distinct()
-    return distinct.groupBy("corpus_id", "role").agg(
+    placed = scale.ordered_position(distinct, ["corpus_id", "role"], [F.asc("n")], "place")
+    part = F.floor((F.col("place") - 1) / PATTERN_NAMES).cast("int")
+    return placed.groupBy("corpus_id", "role", part.alias("part")).agg(
         F.concat(F.lit("^("), F.array_join(F.array_sort(F.collect_list("n")), "|"), F.lit(")$")).alias("pattern")
     )
 

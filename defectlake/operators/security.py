@@ -13,7 +13,7 @@ from defectlake.functions.text import basename
 def match_cve(findings: DataFrame, patterns: DataFrame | None = None) -> DataFrame:
     """CVEs whose group shares a defect type with the scan's findings."""
     # Fixed 161-row table; a given table is joined without a hint.
-    table = F.broadcast(dims.cve_patterns(findings.sparkSession)) if patterns is None else patterns
+    table = dims.cve_patterns(findings.sparkSession) if patterns is None else patterns
     rank = {s: i for i, s in enumerate(reversed(dims.SEVERITIES))}
     types = findings.groupBy("scan_id", "bug_type").agg(
         F.count(F.lit(1)).alias("n"),
@@ -21,10 +21,15 @@ def match_cve(findings: DataFrame, patterns: DataFrame | None = None) -> DataFra
     )
     groups = table.select("group_id", "bug_types").distinct()
     member = groups.select("group_id", F.explode("bug_types").alias("bug_type"))
-    if patterns is None:
-        member = F.broadcast(member)
+
+    def meet(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+        # few types and groups: a table of the user is met over salts, the fixed one is broadcast
+        if patterns is None:
+            return left.join(F.broadcast(right), key)
+        return scale.salted_lookup(left, right, [key], salt=["scan_id"], how="inner")
+
     hits = (
-        types.join(member, "bug_type")
+        meet(types, member, "bug_type")
         .groupBy("scan_id", "group_id")
         .agg(
             F.sum("n").alias("matching_bugs"),
@@ -33,7 +38,7 @@ def match_cve(findings: DataFrame, patterns: DataFrame | None = None) -> DataFra
         )
     )
     names = F.array(*[F.lit(s) for s in reversed(dims.SEVERITIES)])
-    return hits.join(table, "group_id").select(
+    return meet(hits, table, "group_id").select(
         "scan_id",
         "group_id",
         "pos",
@@ -164,7 +169,8 @@ def hardening_score(mitigations: DataFrame, weights: DataFrame | None = None) ->
         points = F.coalesce(dims.lookup(dims.MITIGATION_WEIGHTS, F.col("name")), F.lit(0))
         scored = mitigations.withColumn("points", points)
     else:
-        scored = mitigations.join(weights.select("name", F.col("weight").alias("points")), "name", "left")
+        points = weights.select("name", F.col("weight").alias("points"))
+        scored = scale.salted_lookup(mitigations, points, ["name"], salt=["scan_id"])
     score = F.sum(F.when(F.col("enabled"), F.coalesce("points", F.lit(0))).otherwise(0))
     out = scored.groupBy("scan_id").agg(score.cast("bigint").alias("hardening_score"))
     grade = F.when(F.lit(False), "")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from defectlake import dims
+from defectlake import dims, scale
 from defectlake.functions import findings as ff
 
 
@@ -112,7 +112,8 @@ def share_of_total(
     """``value`` as a percentage of its key's total (0 when the total is 0)."""
     totals = df.groupBy(*keys).agg(F.sum(value).alias("__total"))
     share = F.when(F.col("__total") != 0, F.col(value) / F.col("__total") * 100).otherwise(0.0)
-    return df.join(totals, keys).withColumn(name, F.round(share, digits)).drop("__total")
+    joined = scale.salted_lookup(df, totals, keys, salt=df.columns, how="inner")
+    return joined.withColumn(name, F.round(share, digits)).drop("__total")
 
 
 def bar_width(
@@ -123,7 +124,8 @@ def bar_width(
     width = F.greatest(
         F.lit(float(floor)), F.col(value) / F.coalesce(F.nullif("__top", F.lit(0)), F.lit(1)) * 100
     )
-    return df.join(tops, keys).withColumn(name, F.round(width, 4)).drop("__top")
+    joined = scale.salted_lookup(df, tops, keys, salt=df.columns, how="inner")
+    return joined.withColumn(name, F.round(width, 4)).drop("__top")
 
 
 def session_progress(sessions: DataFrame) -> DataFrame:

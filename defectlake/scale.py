@@ -20,6 +20,8 @@ SALTS = 32
 BROADCAST_ROWS = 100_000
 #: default size of a file split
 SPLIT_BYTES = 128 << 20
+#: a key is heavy from this many rows on
+HEAVY_ROWS = 1_000_000
 _LOCAL_ROOT: list[str] = []
 
 
@@ -169,10 +171,10 @@ def salted_lookup(
     how: str = "left",
     buckets: int = SALTS,
 ) -> DataFrame:
-    """Equi-join with a ``right`` that has one row per key, spreading hot left keys over salts.
+    """Equi-join with a ``right`` of few or small rows, spreading every left key over salts.
 
     The right rows are copied once per salt, so a key that holds a third of ``left`` is joined by
-    ``buckets`` tasks. Rows keep their multiplicity.
+    ``buckets`` tasks. For a large ``right`` use :func:`skewed_lookup`. Rows keep their multiplicity.
     """
     spread = right.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(buckets - 1))))
     return (
@@ -180,3 +182,40 @@ def salted_lookup(
         .join(spread, [*keys, "__salt"], how)
         .drop("__salt")
     )
+
+
+def heavy_keys(df: DataFrame, keys: Sequence[str], rows: int | None = None) -> DataFrame:
+    """Keys with at least ``rows`` rows (written once; there are at most total/rows of them)."""
+    limit = HEAVY_ROWS if rows is None else rows
+    counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n"))
+    return materialise(counts.where(F.col("__n") >= limit).select(*keys), "heavy")
+
+
+def skewed_lookup(
+    left: DataFrame,
+    right: DataFrame,
+    keys: Sequence[str],
+    salt: Sequence[str],
+    how: str = "left",
+    heavy: DataFrame | None = None,
+) -> DataFrame:
+    """Equi-join with a large ``right``: only keys that are heavy in ``left`` are salted.
+
+    Heavy keys are counted first (after map-side folding) unless given. Without any the join is a
+    plain one; otherwise the right rows of heavy keys alone are copied per salt.
+    """
+    keys = list(keys)
+    hot = heavy_keys(left, keys) if heavy is None else heavy
+    n = hot.count()
+    if n == 0:
+        return left.join(right, keys, how)
+    flags = broadcast_if_small(hot.withColumn("__hot", F.lit(True)), n)
+    salts = F.when(F.col("__hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
+    copies = right.join(flags, keys, "left").withColumn("__salt", F.explode(salts)).drop("__hot")
+    return (
+        left.join(flags, keys, "left")
+        .withColumn("__salt", F.when(F.col("__hot"), salt_of(*salt)).otherwise(F.lit(0)))
+        .drop("__hot")
+        .join(copies, [*keys, "__salt"], how)
+        .drop("__salt")
+    )

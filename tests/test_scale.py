@@ -51,6 +51,20 @@ def test_salted_lookup_keeps_every_row(spark):
         assert rows(got, "k", "o", "c") == rows(df.join(side, "k", how), "k", "o", "c")
 
 
+def test_skewed_lookup_salts_only_heavy_keys(spark, monkeypatch):
+    df = _skewed(spark)
+    side = df.groupBy("k").agg(F.count("o").alias("c")).where("k != 'k1'")
+    monkeypatch.setattr(scale, "HEAVY_ROWS", 1000)
+    assert rows(scale.heavy_keys(df, ["k"])) == [("hot",)]
+    for how in ("left", "inner"):
+        want = rows(df.join(side, "k", how), "k", "o", "c")
+        assert rows(scale.skewed_lookup(df, side, ["k"], ["o"], how), "k", "o", "c") == want
+    monkeypatch.setattr(scale, "HEAVY_ROWS", 10**9)
+    assert rows(scale.skewed_lookup(df, side, ["k"], ["o"], "left"), "k", "o", "c") == rows(
+        df.join(side, "k", "left"), "k", "o", "c"
+    )
+
+
 def test_first_by_folds_before_the_shuffle(spark):
     df = _skewed(spark)
     got = scale.first_by(df, ["k"], F.struct(-F.col("v"), F.col("o")))
