@@ -592,3 +592,41 @@ def correct_cwe(spark, sf_dir):
     return d.findings(spark, sf_dir).select(
         "scan_id", "ord", F.array_join(ff.corrected_cwe(F.col("bug_type"), given), ",").alias("cwe")
     )
+
+
+@query(
+    _ROLES
+    + """SELECT name, CASE WHEN is_alloc THEN 'Allocator' ELSE 'Deallocator' END AS role, CASE WHEN is_alloc THEN 'return' ELSE 'arg0' END AS target,
+  validated, 0.7::DOUBLE AS confidence FROM checked"""
+)
+def role_documents(spark, sf_dir):
+    """Role summaries written as documents and read back."""
+    from defectlake.sources import scans
+
+    checked = roles.validate_role(_claims(spark, sf_dir), _functions(spark, sf_dir))
+    return scans.read_role_summaries(roles.role_documents(checked))
+
+
+@query(
+    FN_CTE
+    + """SELECT f AS name, CASE WHEN p % 5 < 3 THEN '  buf = fn_' || a || '(buf, got);' END AS snippet, CASE WHEN p % 5 < 3 THEN CAST(start_line + 3 AS INTEGER) END AS snippet_start_line FROM fn"""
+)
+def attach_frame_snippets(spark, sf_dir):
+    """The source line of one frame per function; frames past the fifth get none."""
+    from defectlake import schemas
+    from defectlake.operators import enrich
+
+    files = source_files(spark, sf_dir)
+    lines = files.select(
+        F.lit("s").alias("scan_id"), F.col("path").alias("file"), F.posexplode(F.split("text", "\n")).alias("p", "text")
+    ).select("scan_id", "file", (F.col("p") + 1).cast("int").alias("line_no"), "text")
+    key = F.col("p_partkey")
+    here = schemas.frame(F.lit(9), file=_text("src/fn_", key, ".c"), line=key % 5 + 5, function=_text("fn_", key))
+    # three fifths of the functions have their frame first, the others after six unplaced frames
+    deep = F.concat(F.array_repeat(schemas.frame(F.lit(0), function=F.lit("x")), 6), F.array(here))
+    found = d.table(spark, sf_dir, "part").select(
+        F.lit("s").alias("scan_id"), key.alias("ord"), F.when(key % 5 < 3, F.array(here)).otherwise(deep).alias("stack")
+    )
+    out = enrich.attach_frame_snippets(found, lines)
+    last = F.try_element_at("stack", F.lit(-1))
+    return out.select(last["function"].alias("name"), last["snippet"].alias("snippet"), last["snippet_start_line"].alias("snippet_start_line"))

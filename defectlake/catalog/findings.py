@@ -534,3 +534,40 @@ def match_cve(spark, sf_dir):
 def top_cves(spark, sf_dir):
     out = security.top_cves(security.match_cve(d.findings(spark, sf_dir)), 3)
     return out.select("scan_id", "cve_id", "similarity", "rank")
+
+
+@query(
+    d.FINDINGS_CTE
+    + ", m AS (" + d.MITIGATIONS_SQL.format(findings="findings_d") + """)
+SELECT scan_id, bool_or(enabled) FILTER (name = 'PIE') AS "PIE", bool_or(enabled) FILTER (name = 'Stack Canary') AS "Stack Canary",
+  bool_or(enabled) FILTER (name = 'NX (No-Execute)') AS "NX (No-Execute)", bool_or(enabled) FILTER (name = 'RELRO') AS "RELRO",
+  bool_or(enabled) FILTER (name = 'FORTIFY_SOURCE') AS "FORTIFY_SOURCE", bool_or(enabled) FILTER (name = 'Sanitizer') AS "Sanitizer",
+  bool_or(enabled) FILTER (name = 'Debug Info') AS "Debug Info", bool_or(enabled) FILTER (name = 'ASLR (System)') AS "ASLR (System)"
+FROM m GROUP BY 1"""
+)
+def mitigation_matrix(spark, sf_dir):
+    return security.mitigation_matrix(d.mitigations(spark, sf_dir))
+
+
+@query(
+    """WITH e AS (SELECT event_id, CAST(regexp_extract(props, '([0-9]+)', 1) AS INTEGER) AS k FROM events)
+SELECT event_id, 'valgrind' AS tool, CASE k % 4 WHEN 0 THEN 'memory_leak' WHEN 1 THEN 'buffer_overflow' WHEN 2 THEN 'null_deref' ELSE 'unknown' END AS bug_type,
+  CASE k % 4 WHEN 0 THEN 'info' WHEN 1 THEN 'high' WHEN 2 THEN 'critical' ELSE 'medium' END AS severity FROM e
+UNION ALL SELECT event_id, 'helgrind', 'race_condition', CASE k % 4 WHEN 0 THEN 'critical' WHEN 1 THEN 'high' ELSE 'medium' END FROM e
+UNION ALL SELECT event_id, 'infer', CASE k % 4 WHEN 0 THEN 'dangling_pointer' WHEN 1 THEN 'unknown' WHEN 2 THEN 'race_condition' ELSE 'unknown' END,
+  CASE k % 4 WHEN 3 THEN 'medium' ELSE 'high' END FROM e"""
+)
+def classify_kind(spark, sf_dir):
+    k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
+
+    def kinds(tool, *names):
+        rows = d.table(spark, sf_dir, "events").select(
+            "event_id", F.lit(tool).alias("tool"), F.get(F.array(*[F.lit(n) for n in names]), k % 4).alias("kind")
+        )
+        return fo.classify_kind(rows, tool).drop("kind")
+
+    return (
+        kinds("valgrind", "Leak_StillReachable", "Overlap", "InvalidJump", "Else")
+        .unionByName(kinds("helgrind", "Race", "UnlockBogus", "PthAPIerror", "Else"))
+        .unionByName(kinds("infer", "STACK_VARIABLE_ADDRESS_ESCAPE", "DIVIDE_BY_ZERO", "LOCK_CONSISTENCY_VIOLATION", "Else"))
+    )
