@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from defectlake.catalog import derived as d
 from defectlake.catalog.registry import Registry
 from defectlake.catalog.reports import mixed_reports
-from defectlake.operators import export, findings as fo, relations, stats
+from defectlake.operators import export, findings as fo, heap, relations, stats
 from defectlake.plans import jobs
 from defectlake.streaming import jobs as streams
 
@@ -211,10 +211,9 @@ SELECT process_id, '0x' || slot AS address, arg_max(op, ts) = 'malloc' AS live,
 """
 
 
-@query(_LIVE)
-def stream_live_objects(spark, sf_dir):
-    """State of every (process, address slot) after the whole event stream."""
-    events = _memory_events(_events_stream(spark, sf_dir)).select(
+def _addressed(events):
+    """Memory events with one of fifty addresses per process."""
+    return _memory_events(events).select(
         "process_id",
         F.concat(F.lit("0x"), (F.col("event_id") % 50).cast("string")).alias("address"),
         "op",
@@ -222,6 +221,17 @@ def stream_live_objects(spark, sf_dir):
         "ts",
         F.col("event_id").alias("seq"),
     )
+
+
+@query(_LIVE)
+def live_objects(spark, sf_dir):
+    return heap.live_objects(_addressed(d.table(spark, sf_dir, "events")))
+
+
+@query(_LIVE)
+def stream_live_objects(spark, sf_dir):
+    """State of every (process, address slot) after the whole event stream."""
+    events = _addressed(_events_stream(spark, sf_dir))
     updates = streams.run_to_table(streams.stream_live_objects(events), "live", "update")
     return streams.latest_rows(updates, ["process_id", "address"])
 

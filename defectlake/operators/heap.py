@@ -220,6 +220,49 @@ def heap_peak(events: DataFrame) -> DataFrame:
     )
 
 
+def live_objects(events: DataFrame) -> DataFrame:
+    """State of every (process, address) after all events: live size, double and unmatched frees.
+
+    The event before each event is met by position, an equi-join on (process, address, position),
+    so an address with very many events is spread like any other rows.
+    """
+    keys = ["process_id", "address"]
+    placed = scale.ordered_fold(
+        events.select(*keys, "op", "size", "ts", "seq"),
+        keys,
+        [F.col("ts").asc(), F.col("seq").asc()],
+        {
+            "pos": F.lit(1).cast("bigint"),
+            "made": F.when(F.col("op") == "malloc", 1).otherwise(0).cast("bigint"),
+        },
+        label="live",
+    )
+    placed = scale.materialise(placed, "live")
+    before = placed.select(*keys, (F.col("pos") + 1).alias("pos"), F.col("op").alias("before"))
+    dead = (F.col("op") == "free") & (F.coalesce("before", F.lit("free")) == "free")
+    last = F.struct(F.col("op"), F.col("size"))
+    return (
+        placed.join(before, [*keys, "pos"], "left")
+        .groupBy(*keys)
+        .agg(
+            F.max_by(last, F.col("pos")).alias("last"),
+            F.count_if(F.col("op") == "malloc").alias("mallocs"),
+            F.count_if(F.col("op") == "free").alias("frees"),
+            F.count_if(dead & (F.col("made") > 0)).alias("double_frees"),
+            F.count_if(dead & (F.col("made") == 0)).alias("unmatched_frees"),
+        )
+        .select(
+            *keys,
+            (F.col("last.op") != "free").alias("live"),
+            F.when(F.col("last.op") != "free", F.col("last.size")).otherwise(0).cast("bigint").alias("size"),
+            "mallocs",
+            "frees",
+            "double_frees",
+            "unmatched_frees",
+        )
+    )
+
+
 def flame_totals(stacks: DataFrame) -> DataFrame:
     """Bytes per distinct stack."""
     return stacks.groupBy("scan_id", "stack").agg(F.sum("bytes").alias("bytes"))

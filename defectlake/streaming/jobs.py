@@ -128,37 +128,42 @@ _LIVE_STATE = (
 )
 
 
-def _live_step(
-    key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-) -> Iterator[pd.DataFrame]:
-    live, size, mallocs, frees, double, unmatched = (
-        state.get if state.exists else (False, 0, 0, 0, 0, 0)
-    )
-    rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-    for op, n in zip(rows["op"], rows["size"]):
-        if op == "free":
-            frees += 1
-            if not live:
-                double, unmatched = (double + 1, unmatched) if mallocs else (double, unmatched + 1)
-            live, size = False, 0
-        else:  # malloc and realloc make the block live with its new size
-            mallocs += op == "malloc"
-            live, size = True, int(n)
-    state.update((live, size, int(mallocs), int(frees), int(double), int(unmatched)))
-    yield pd.DataFrame(
-        [(*key, live, size, mallocs, frees, double, unmatched)],
-        columns=[c.split()[0] for c in LIVE_DDL.split(", ")],
-    )
+def _live_stepper():
+    """The state step of one (process, address), made here so that it travels without this package."""
+    columns = [c.split()[0] for c in LIVE_DDL.split(", ")]
+
+    def step(
+        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        live, size, mallocs, frees, double, unmatched = (
+            state.get if state.exists else (False, 0, 0, 0, 0, 0)
+        )
+        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
+        for op, n in zip(rows["op"], rows["size"]):
+            if op == "free":
+                frees += 1
+                if not live:
+                    double, unmatched = (double + 1, unmatched) if mallocs else (double, unmatched + 1)
+                live, size = False, 0
+            else:  # malloc and realloc make the block live with its new size
+                mallocs += op == "malloc"
+                live, size = True, int(n)
+        state.update((live, size, int(mallocs), int(frees), int(double), int(unmatched)))
+        yield pd.DataFrame([(*key, live, size, mallocs, frees, double, unmatched)], columns=columns)
+
+    return step
 
 
 def stream_live_objects(events: DataFrame) -> DataFrame:
     """State of every (process, address): live size, double frees, frees without allocation.
 
     ``events`` are (process_id, address, op, size, ts, seq). A key is one address of one process, so
-    state and work spread by address; rows are emitted in update mode.
+    state and work spread by address; rows are emitted in update mode. One step sees a key's events of
+    one micro-batch, which the source's trigger limit bounds; over stored events of any size use
+    :func:`defectlake.operators.heap.live_objects`.
     """
     return events.groupBy("process_id", "address").applyInPandasWithState(
-        _live_step, LIVE_DDL, _LIVE_STATE, "update", GroupStateTimeout.NoTimeout
+        _live_stepper(), LIVE_DDL, _LIVE_STATE, "update", GroupStateTimeout.NoTimeout
     )
 
 
