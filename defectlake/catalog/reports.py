@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from defectlake.catalog import derived as d
 from defectlake.catalog.registry import Registry
 from defectlake.functions.text import format_bytes, lenient_json, parse_size
-from defectlake.operators import enrich, findings as fo, stats
+from defectlake.operators import enrich, stats
 from defectlake.sources import heap_text, reports, scans
 
 query = Registry()
