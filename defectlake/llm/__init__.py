@@ -7,7 +7,7 @@ Nothing outside this folder imports it. ``queries`` and ``oracle_sql`` list what
 from __future__ import annotations
 
 from importlib import import_module
-_MODULES = ("packing", "records")
+_MODULES = ("packing", "secret_scan", "chat", "language", "near_dup", "records", "privacy")
 
 
 def queries() -> dict:
