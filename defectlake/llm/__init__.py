@@ -7,7 +7,11 @@ Nothing outside this folder imports it. ``queries`` and ``oracle_sql`` list what
 from __future__ import annotations
 
 from importlib import import_module
-_MODULES = ("packing", "secret_scan", "chat", "language", "near_dup", "records", "privacy")
+
+_MODULES = (
+    "packing", "secret_scan", "decontaminate", "chat", "token_counts",
+    "language", "near_dup", "records", "audio", "privacy",
+)
 
 
 def queries() -> dict:

@@ -39,6 +39,8 @@ SLICE = 1 << 20
 #: symbols: 0 is outside a word, 1 a letter that training hasn't seen
 OTHER = 1
 MAX_SYMBOLS = 255
+UNKNOWN = "und"
+PREDICTION = "lang_pred string, score double, bits double, rejected boolean"
 
 
 @lru_cache(maxsize=1)
@@ -320,11 +322,7 @@ def _calibration(model: Model):
     return run
 
 
-PREDICTION = "lang_pred string, score double, bits double, rejected boolean"
-UNKNOWN = "und"
-
-
-def _predict(model: Model):
+def _predict(model: Model, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, size=SLICE):
             n = part.num_rows
@@ -340,7 +338,7 @@ def _predict(model: Model):
                 rejected = (letters == 0) | (bits > limit)
                 lang = [model.langs[k] if m else UNKNOWN for k, m in zip(best, letters)]
                 score, bits = np.where(letters > 0, score, 0.0), np.where(letters > 0, bits, 0.0)
-            kept = [c for c in part.schema.names if c != "text"]
+            kept = [c for c in part.schema.names if with_text or c != "text"]
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score), pa.array(bits), pa.array(rejected)],
                 [*kept, "lang_pred", "score", "bits", "rejected"],
@@ -349,15 +347,31 @@ def _predict(model: Model):
     return run
 
 
+def _scored(docs: DataFrame, model: Model, keep: list[str]) -> tuple[DataFrame, list[Column]]:
+    """Predictions beside the columns ``keep``, which go by numbers here so that no name clashes."""
+    inner = {c: "text" if c == "text" else f"c{i}" for i, c in enumerate(keep)}
+    rows = docs.select(
+        *[F.col(f"`{c}`").alias(name) for c, name in inner.items() if c != "text"], F.col("text").cast("string").alias("text")
+    )
+    fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text" or "text" in keep]
+    scored = rows.mapInArrow(_predict(model, "text" in keep), ", ".join([*fields, PREDICTION]))
+    return scored, [F.col(name).alias(c) for c, name in inner.items()]
+
+
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",)) -> DataFrame:
     """``keep`` columns of each row of ``docs`` with lang_pred, score, bits (per letter) and rejected.
 
     A null text or one without a letter is ``und``, score 0, rejected. Repeated rows are kept. Ties go to the
     first language by name. Without any labelled text all is ``und``.
     """
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields if f.name in keep)
-    rows = docs.select(*[f"`{c}`" for c in docs.columns if c in keep], F.col("text").cast("string").alias("text"))
-    return rows.mapInArrow(_predict(model), f"{fields}, {PREDICTION}")
+    scored, columns = _scored(docs, model, list(keep))
+    return scored.select(*columns, "lang_pred", "score", "bits", "rejected")
+
+
+def of_known_language(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs`` that aren't rejected, all columns as they are."""
+    scored, columns = _scored(docs, model, docs.columns)
+    return scored.where(~F.col("rejected")).select(*columns)
 
 
 def held_out(doc_id: Column) -> Column:

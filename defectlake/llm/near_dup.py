@@ -228,7 +228,7 @@ def components(edges: DataFrame) -> DataFrame:
 def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
     """Node, class and kept document of every distinct text of ``docs`` (doc_id, text).
 
-    Columns: node, rep (least doc_id of the node), class_id (least doc_id of the class).
+    Columns: node, rep (least doc_id of the node), class_id (least doc_id of the class), root (one per class).
     """
     hashed = with_node(docs)
     signed = store(
@@ -292,7 +292,7 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
         roots = components(first.unionByName(second))
     rooted = store(nodes.select("gid", "node", "rep").join(roots, "gid", "left").withColumn("root", F.coalesce("root", "gid")), "rooted")
     least = store(rooted.groupBy("root").agg(F.min("rep").alias("class_id")), "least")
-    return rooted.join(least, "root").select("node", "rep", "class_id")
+    return rooted.join(least, "root").select("node", "rep", "class_id", "root")
 
 
 def near_duplicates(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS, rows: int = ROWS) -> DataFrame:
@@ -314,10 +314,10 @@ def without_copies(docs: DataFrame, similarity: float = SIMILARITY) -> DataFrame
     kept = (
         classes(docs, similarity)
         .where(F.col("rep").eqNullSafe(F.col("class_id")))
-        .groupBy(id_key(F.col("rep")).alias("__id"))  # texts that share a doc_id and a class leave one row
+        .groupBy("root", id_key(F.col("rep")).alias("__id"))  # texts that share a doc_id and a class leave one row
         .agg(F.min("node").alias("__node"))
     )
-    kept = store(kept, "kept")
+    kept = store(kept.select("__id", "__node"), "kept")
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
     keyed = (
         docs.select(row, F.col("doc_id").alias("__doc"), F.col("text").alias("__text"))

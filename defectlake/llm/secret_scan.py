@@ -145,13 +145,13 @@ def _oracle() -> str:
     assign = _ASSIGN % "1,"
     keep = {"assign": "length(regexp_extract(m, '{}', 2)) >= 6".format(assign.replace("'", "''"))}
     lists = [_sql_spans("t", r.name, i, r.pattern, keep.get(r.name, "true")) for i, r in enumerate(RULES)]
-    base = [f"list_filter(s, lambda x: x.kind = '{k}')" for k in BASE]
+    base = [f"list_filter(found, lambda x: x.kind = '{k}')" for k in BASE]
     counts = ", ".join(f"len({b})::BIGINT AS n_{k}" for b, k in zip(base, BASE))
     return f"""
 SELECT doc_id, {counts},
-       sha256({_sql_listed("list_filter(s, lambda x: x.ord < 3)")}) AS base_sha256,
-       {_sql_listed("s")} AS spans
-FROM (SELECT doc_id, {" || ".join(lists)} AS s FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
+       sha256({_sql_listed("list_filter(found, lambda x: x.ord < 3)")}) AS base_sha256,
+       {_sql_listed("found")} AS spans
+FROM (SELECT doc_id, {" || ".join(lists)} AS found FROM (SELECT doc_id, coalesce(text, '') AS t FROM documents))
 """
 
 
