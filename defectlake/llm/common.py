@@ -2,7 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import atexit
+import shutil
+import tempfile
+from collections.abc import Callable, Iterator
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +17,27 @@ from defectlake.scale import scratch_path
 
 #: bytes of text that Python code works on at once
 SLICE_BYTES = 4 << 20
+_SENT: set[str] = set()
+
+
+def send_package(spark: SparkSession) -> None:
+    """Give the workers this package, once per application, as ``--py-files`` would."""
+    context = spark.sparkContext
+    if context.applicationId in _SENT:
+        return
+    root = Path(__file__).resolve().parents[2]
+    if not root.is_dir():  # it is in an archive that was sent already
+        return
+    folder = tempfile.mkdtemp(prefix="package-")  # the driver serves the archive from here
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    context.addPyFile(shutil.make_archive(f"{folder}/defectlake", "zip", root, "defectlake"))
+    _SENT.add(context.applicationId)
+
+
+def arrow_map(df: DataFrame, fn: Callable, schema: str) -> DataFrame:
+    """``df.mapInArrow`` with functions of this package."""
+    send_package(df.sparkSession)
+    return df.mapInArrow(fn, schema)
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

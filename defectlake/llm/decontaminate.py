@@ -23,7 +23,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectlake.llm.common import documents, ragged_index, store, text_slices
+from defectlake.llm.common import arrow_map, documents, ragged_index, store, text_slices
 from defectlake.llm.near_dup import words_of
 
 SEED = 3
@@ -189,7 +189,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) ->
     )
     items = listed.select("item", "item_words").dropDuplicates(["item"])
     seeds = store(
-        items.withColumnRenamed("item_words", "words").mapInArrow(_item_seeds, "item bigint, place bigint, seed bigint"),
+        items.withColumnRenamed("item_words", "words").transform(arrow_map, _item_seeds, "item bigint, place bigint, seed bigint"),
         "seeds",
     )
     size = 1 << TABLE_BITS
@@ -202,7 +202,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) ->
         F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64("text").alias("text_hash"),
         words_of(F.col("text")).alias("words"),
     )
-    read = store(rows.mapInArrow(_cut_passages(bits), PASSAGE), "passages")
+    read = store(rows.transform(arrow_map, _cut_passages(bits), PASSAGE), "passages")
     passages = read.where("passage IS NOT NULL").select("doc_id", "text_hash", "passage", "first_word", "words", "hits")
     total = max(2, read.agg(F.sum("grams")).first()[0] or 2)
     counted = read.select(F.explode(F.arrays_zip("seen", "times")).alias("x")).groupBy(F.col("x.seen").alias("seed")).agg(
@@ -226,8 +226,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, score: float = SCORE) ->
     scored = (
         candidates.join(items, "item").join(passages.drop("hits"), "passage")
         .select("doc_id", "text_hash", "item", "item_words", "first_word", "words")
-        .mapInArrow(
-            _score_pairs(score), "doc_id bigint, text_hash bigint, item bigint, score double, start_word bigint, n_words bigint"
+        .transform(
+            arrow_map, _score_pairs(score), "doc_id bigint, text_hash bigint, item bigint, score double, start_word bigint, n_words bigint"
         )
         .groupBy("doc_id", "text_hash", "item")
         .agg(F.max(F.struct("score", -F.col("start_word"), "n_words")).alias("best"))

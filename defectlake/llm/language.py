@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectlake.llm.common import documents, text_slices
+from defectlake.llm.common import arrow_map, documents, text_slices
 
 ORDER = 4
 #: documented bound of the sample: letters of labelled text, per language, that the models are made from (as
@@ -278,12 +278,12 @@ def train(labelled: DataFrame, order: int = ORDER, sample_chars: int = SAMPLE_CH
         extra = F.when(F.col("lang") == lang, some + int(steps * min(0.1, CALIBRATION_DOCS / docs)) + 1).otherwise(extra)
     sample = rows.where(draw < share)
     alphabet = (
-        sample.mapInArrow(_sampled_counts(), "lang string, code bigint, n bigint")
+        sample.transform(arrow_map, _sampled_counts(), "lang string, code bigint, n bigint")
         .groupBy("code").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "code").limit(MAX_SYMBOLS - 2)
     )
     points = np.sort(np.array([r.code for r in alphabet.collect()], dtype=np.uint32))
     grams = (
-        sample.mapInArrow(_sampled_grams(order, points), "lang string, n int, gram bigint, count bigint")
+        sample.transform(arrow_map, _sampled_grams(order, points), "lang string, n int, gram bigint, count bigint")
         .groupBy("lang", "n", "gram").agg(F.sum("count").alias("count"))
         .toPandas()
     )
@@ -293,7 +293,7 @@ def train(labelled: DataFrame, order: int = ORDER, sample_chars: int = SAMPLE_CH
     model = kneser_ney(counts, langs, points)
 
     held = rows.where((draw >= share) & (draw < extra))
-    scored = held.mapInArrow(_calibration(model), "lang string, mean double, variance double, letters bigint").toPandas()
+    scored = held.transform(arrow_map, _calibration(model), "lang string, mean double, variance double, letters bigint").toPandas()
     model.mean, model.deviation = np.full(len(langs), 8.0), np.full(len(langs), 4.0)
     for k, lang in enumerate(langs):
         own = scored[scored["lang"] == lang]
@@ -354,7 +354,7 @@ def _scored(docs: DataFrame, model: Model, keep: list[str]) -> tuple[DataFrame,
         *[F.col(f"`{c}`").alias(name) for c, name in inner.items() if c != "text"], F.col("text").cast("string").alias("text")
     )
     fields = [f"{f.name} {f.dataType.simpleString()}" for f in rows.schema.fields if f.name != "text" or "text" in keep]
-    scored = rows.mapInArrow(_predict(model, "text" in keep), ", ".join([*fields, PREDICTION]))
+    scored = rows.transform(arrow_map, _predict(model, "text" in keep), ", ".join([*fields, PREDICTION]))
     return scored, [F.col(name).alias(c) for c, name in inner.items()]
 
 

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectlake.llm.common import documents, store, text_slices
+from defectlake.llm.common import arrow_map, documents, store, text_slices
 from defectlake.llm.encode import default_tokenizer, encoder
 
 CAPACITY = 1024
@@ -147,7 +147,7 @@ def pack_documents(
     """
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
     run = _first_round(tokenizer or default_tokenizer(), capacity, end_id, slack)
-    pieces = store(narrow.mapInArrow(run, f"{PIECES}, {BINS}"), "pieces")
+    pieces = store(narrow.transform(arrow_map, run, f"{PIECES}, {BINS}"), "pieces")
 
     # a bin starts with the piece at offset 0; underfull bins are the items of the next round
     def underfull(table: DataFrame) -> DataFrame:
@@ -163,7 +163,7 @@ def pack_documents(
         tasks = tasks if stalled else max(-(-tasks // fan_in), -(-left // ITEMS_PER_TASK))
         last = stalled or tasks == 1
         merge = _later_round(capacity, slack, len(levels) + 1, last)
-        level = store(items.repartition(tasks).mapInArrow(merge, f"item bigint, {BINS}"), "bins")
+        level = store(items.repartition(tasks).transform(arrow_map, merge, f"item bigint, {BINS}"), "bins")
         levels.append(level)
         items, before = underfull(level), left
         left = items.count()

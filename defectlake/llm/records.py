@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from defectlake.llm.common import documents, text_slices
+from defectlake.llm.common import arrow_map, documents, text_slices
 from defectlake.llm.encode import default_tokenizer, encoder
 from defectlake.scale import scratch_path
 
@@ -122,7 +122,7 @@ def write_records(
         .select("doc_id", "ord", "text")
     )
     writer = _writer(f"{folder}/data", tokenizer or default_tokenizer(), end_id)
-    ordered.mapInArrow(writer, INDEX).write.parquet(f"{folder}/index")
+    ordered.transform(arrow_map, writer, INDEX).write.parquet(f"{folder}/index")
     return read_index(docs.sparkSession, folder)
 
 
@@ -169,7 +169,7 @@ def _reader(folder: str):
 def read_records(index: DataFrame, folder: str) -> DataFrame:
     """Read the records that ``index`` names, in any order, with checks: doc_id, start, n_tokens, ids_crc32."""
     rows = index.select("file", "byte_offset", "n_tokens", "id_bytes", "doc_id", "start")
-    return rows.mapInArrow(_reader(f"{folder}/data"), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
+    return rows.transform(arrow_map, _reader(f"{folder}/data"), "doc_id bigint, start bigint, n_tokens bigint, ids_crc32 bigint")
 
 
 def op8_record_output(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -22,7 +22,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectlake.llm.common import documents, text_slices
+from defectlake.llm.common import arrow_map, documents, text_slices
 
 SLICE = 4 << 20
 #: words walked one by one once so few are left of a slice
@@ -162,8 +162,8 @@ def count_tokens(docs: DataFrame, path: str | None = None) -> DataFrame:
     import public_tokenizers
 
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(
-        _counts(path or public_tokenizers.path("byte_bpe_50k.tiktoken")), "doc_id bigint, n_tokens bigint"
+    return narrow.transform(
+            arrow_map, _counts(path or public_tokenizers.path("byte_bpe_50k.tiktoken")), "doc_id bigint, n_tokens bigint"
     )
 
 
