@@ -6,9 +6,11 @@ a slot with their probability Jaccard similarity. A shingle stops when its next
 last slot was filled, so a signature costs about as much as the shingles and m log m arrivals together.
 
 Bands of slots put documents into buckets. Exact copies (of the words) are one node from the start, so a bucket
-holds different texts. In each bucket all are compared with one leader, not with each other; only where a bucket
-still holds several classes after that are members of different classes compared. A comparison is exact,
-on the whole shingle sets. Classes are the connected components of the links.
+holds different texts. In each bucket all are compared with one leader, the text that shares most buckets with
+others, and not with each other. Where a bucket still holds several classes after that, members of different classes
+are compared if what they share with the leader leaves it possible that they are similar enough. A comparison is exact:
+the Jaccard similarity of the whole sets of shingles, which is what probability Jaccard is for equal weights. Classes
+are the connected components of the links.
 """
 
 from __future__ import annotations
@@ -22,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectlake.llm.common import documents, ragged_index, store, text_slices
+from defectlake.llm.common import arrow_map, documents, ragged_index, store, text_slices
 
 SHINGLE = 5
 SIMILARITY = 0.8
@@ -156,50 +158,76 @@ def _band_rows(bands: int, rows: int):
 
 def _profiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for part in text_slices(batches, "words", SLICE):
-        text, value, counts = shingles(part.column("words"))
+        text, value, _ = shingles(part.column("words"))
         ends = np.searchsorted(text, np.arange(part.num_rows + 1))
         spans = list(zip(ends[:-1].tolist(), ends[1:].tolist()))
         yield pa.RecordBatch.from_arrays(
-            [
-                part.column("gid"), pa.array([value[a:b].tobytes() for a, b in spans], pa.binary()),
-                pa.array([counts[a:b].astype(np.uint32).tobytes() for a, b in spans], pa.binary()),
-            ],
-            ["gid", "shingles", "counts"],
+            [part.column("gid"), pa.array([value[a:b].tobytes() for a, b in spans], pa.binary())], ["gid", "shingles"]
         )
 
 
-def probability_jaccard(a: np.ndarray, wa: np.ndarray, b: np.ndarray, wb: np.ndarray) -> float:
-    """Sum over common elements of 1 / sum_k max(p_k / p_i, q_k / q_i); Jaccard if all weights are equal."""
-    both, at_a, at_b = np.intersect1d(a, b, assume_unique=True, return_indices=True)
-    if not len(both):
-        return 0.0
-    p, q = wa / wa.sum(), wb / wb.sum()
-    pc_, qc = p[at_a], q[at_b]
-    order = np.argsort(-(pc_ / qc), kind="stable")
-    pc_, qc = pc_[order], qc[order]
-    # elements of a alone have the largest ratio p/q, those of b alone the least
-    p_from = (1 - pc_.sum()) + np.cumsum(pc_)
-    q_below = (1 - qc.sum()) + qc.sum() - np.cumsum(qc)
-    return float((1 / (p_from / pc_ + q_below / qc)).sum())
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Similarity of two sets of shingles, given as sorted distinct hashes."""
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both) if both else 0.0
 
 
 def _verify(similarity: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, "shingles_a", 16 << 20):
-            columns = [part.column(c).to_pylist() for c in ("shingles_a", "counts_a", "shingles_b", "counts_b")]
-            found = np.array([
-                probability_jaccard(
-                    np.frombuffer(a, np.uint64), weight(np.frombuffer(ca, np.uint32)),
-                    np.frombuffer(b, np.uint64), weight(np.frombuffer(cb, np.uint32)),
-                )
-                for a, ca, b, cb in zip(*columns)
-            ])
+            columns = [part.column(c).to_pylist() for c in ("shingles_a", "shingles_b")]
+            found = np.array([jaccard(np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)) for a, b in zip(*columns)])
             keep = pa.array(np.flatnonzero(found >= similarity - 1e-9))
             yield pa.RecordBatch.from_arrays([part.column("a").take(keep), part.column("b").take(keep)], ["a", "b"])
 
     return run
 
 
+RELATION = "a bigint, b bigint, size_a bigint, size_b bigint, removed bigint, added array<bigint>"
+
+
+def _relate(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """What of the leader's shingles (a) a member (b) lacks, and which others it has."""
+    for part in text_slices(batches, "shingles_a", 16 << 20):
+        rows = []
+        for x, y in zip(part.column("shingles_a").to_pylist(), part.column("shingles_b").to_pylist()):
+            leader, own = np.frombuffer(x, np.uint64), np.frombuffer(y, np.uint64)
+            added = np.setdiff1d(own, leader, assume_unique=True)
+            rows.append((len(leader), len(own), len(leader) - len(own) + len(added), added.view(np.int64)))
+        kinds = [pa.int64()] * 3 + [pa.list_(pa.int64())]
+        columns = [pa.array(x, kind) for x, kind in zip(zip(*rows), kinds)]
+        names = ["size_a", "size_b", "removed", "added"]
+        yield pa.RecordBatch.from_arrays([part.column("a"), part.column("b"), *columns], ["a", "b", *names])
+
+
+def _across(mixed: DataFrame, relations: DataFrame, similarity: float) -> DataFrame:
+    """Pairs of members of different classes of a bucket that can be similar enough, by what is known of its leader.
+
+    Two members have in common at most what neither lacks of the leader, and those of their other shingles that more
+    than one member of this leader has. Pairs that can't reach the similarity by that are not formed.
+    """
+    each = relations.select(F.col("a").alias("leader"), F.col("b").alias("gid"), F.explode("added").alias("shingle"))
+    common = store(each.groupBy("leader", "shingle").agg(F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"), "common")
+    extra = each.join(common, ["leader", "shingle"]).groupBy("leader", "gid").agg(F.count(F.lit(1)).alias("extra"))
+    known = store(
+        relations.select(F.col("a").alias("leader"), F.col("b").alias("gid"), "size_a", "size_b", "removed")
+        .join(extra, ["leader", "gid"], "left")
+        .withColumn("extra", F.coalesce("extra", F.lit(0))),
+        "known",
+    )
+    placed = store(mixed.where("gid != leader").join(known, ["leader", "gid"]), "placed")
+    names = ("gid", "root", "size_b", "removed", "extra")
+    one = placed.select("bucket", "size_a", *[F.col(c).alias(f"{c}_1") for c in names])
+    other = placed.select("bucket", *[F.col(c).alias(f"{c}_2") for c in names])
+    most = F.col("size_a") - F.greatest("removed_1", "removed_2") + F.least("extra_1", "extra_2")
+    needed = (F.col("size_b_1") + F.col("size_b_2")) * (similarity / (1 + similarity))
+    return (
+        one.join(other, (one["bucket"] == other["bucket"]) & (F.col("root_1") < F.col("root_2")) & (most >= needed - 1e-6))
+        .select(F.least("gid_1", "gid_2").alias("a"), F.greatest("gid_1", "gid_2").alias("b"))
+        .distinct()
+    )
+
+
 def components(edges: DataFrame) -> DataFrame:
     """(gid, root) of every node with an edge in ``edges`` (a, b), by alternating large and small stars.
 
@@ -232,8 +260,8 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     """
     hashed = with_node(docs)
     signed = store(
-        hashed.select("doc_id", "node", "words").mapInArrow(
-            _band_rows(bands, rows), "doc_id bigint, node binary, bands array<bigint>"
+        hashed.select("doc_id", "node", "words").transform(
+            arrow_map, _band_rows(bands, rows), "doc_id bigint, node binary, bands array<bigint>"
         ),
         "signed",
     )
@@ -244,11 +272,16 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
         "nodes",
     )
     members = nodes.select("gid", F.explode("bands").alias("bucket"))
-    buckets = store(
-        members.groupBy("bucket").agg(F.min("gid").alias("leader"), F.count(F.lit(1)).alias("n")).where("n > 1").drop("n"),
-        "buckets",
+    buckets = store(members.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where("n > 1"), "buckets")
+    crowded = store(members.join(buckets, "bucket"), "crowded")
+    # the leader is the text that shares most buckets with others: of a text and its edited copies, the text
+    central = store(crowded.groupBy("gid").agg(F.sum("n").alias("weight")), "central")
+    ranked = store(crowded.select("gid", "bucket").join(central, "gid"), "ranked")
+    leaders = store(
+        ranked.groupBy("bucket").agg(F.max(F.struct("weight", "gid")).alias("top")).select("bucket", F.col("top.gid").alias("leader")),
+        "leaders",
     )
-    shared = store(members.join(buckets, "bucket"), "shared")
+    shared = store(ranked.select("gid", "bucket").join(leaders, "bucket"), "shared")
     stars = store(
         shared.where("gid != leader").select(F.col("leader").alias("a"), F.col("gid").alias("b")).distinct(), "stars"
     )
@@ -259,33 +292,32 @@ def classes(docs: DataFrame, similarity: float = SIMILARITY, bands: int = BANDS,
     profiles = store(
         hashed.join(wanted.hint("shuffle_hash"), (F.col("node") == F.col("of_node")) & (F.col("id_key") == F.col("of_id")))
         .select("gid", "words")
-        .mapInArrow(_profiles, "gid bigint, shingles binary, counts binary")
+        .transform(arrow_map, _profiles, "gid bigint, shingles binary")
         .dropDuplicates(["gid"]),
         "profiles",
     )
 
-    def links(pairs: DataFrame) -> DataFrame:
+    def with_profiles(pairs: DataFrame) -> DataFrame:
         for side in ("a", "b"):
-            own = profiles.select(
-                F.col("gid").alias(side), F.col("shingles").alias(f"shingles_{side}"), F.col("counts").alias(f"counts_{side}")
-            )
+            own = profiles.select(F.col("gid").alias(side), F.col("shingles").alias(f"shingles_{side}"))
             pairs = pairs.join(own, side)
-        return pairs.mapInArrow(_verify(similarity), "a bigint, b bigint")
+        return pairs
+
+    def links(pairs: DataFrame) -> DataFrame:
+        return with_profiles(pairs).transform(arrow_map, _verify(similarity), "a bigint, b bigint")
 
     first = store(links(stars), "links")
     roots = components(first)
     # buckets that hold more than one class: members of different classes meet
     placed = store(
-        shared.select("bucket", "gid").join(roots, "gid", "left").select("bucket", "gid", F.coalesce("root", "gid").alias("root")),
-        "placed",
+        shared.join(roots, "gid", "left").select("bucket", "gid", "leader", F.coalesce("root", "gid").alias("root")), "placed"
     )
     mixed = placed.groupBy("bucket").agg(F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo != hi").select("bucket")
     mixed = store(placed.join(mixed, "bucket"), "mixed")
-    others = mixed.select("bucket", F.col("gid").alias("b"), F.col("root").alias("root_b"))
-    across = (
-        mixed.join(others, "bucket").where("root < root_b")
-        .select(F.least("gid", "b").alias("a"), F.greatest("gid", "b").alias("b")).distinct()
-        .join(stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
+    led = mixed.where("gid != leader").select(F.col("leader").alias("a"), F.col("gid").alias("b")).distinct()
+    relations = store(with_profiles(led).transform(arrow_map, _relate, RELATION), "relations")
+    across = _across(mixed, relations, similarity).join(
+        stars.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti"
     )
     second = store(links(across), "links")
     if not second.isEmpty():
