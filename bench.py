@@ -1,7 +1,7 @@
 """Times the headline queries at $BENCH_SF_DIR on local[$BENCH_CPUS] and prints one JSON line.
 
-Every query's whole result goes to the ``noop`` sink. A query that takes less than WARM_BELOW seconds
-is run again and the second time counts, so that code generation and file caches do not weigh in.
+Every query's whole result goes to the ``noop`` sink. Each query runs twice and the second time counts, so
+that code generation and file caches do not weigh in.
 """
 
 from __future__ import annotations
@@ -25,8 +25,6 @@ HEADLINE = (
     "stream_scan_stats",
 )
 
-WARM_BELOW = 15.0
-
 
 def main() -> None:
     sf_dir = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -42,8 +40,8 @@ def main() -> None:
         return time.perf_counter() - start
 
     for name in names:
-        first = run(name)
-        seconds[name] = round(run(name) if first < WARM_BELOW else first, 3)
+        run(name)
+        seconds[name] = round(run(name), 3)
     total = round(sum(seconds.values()), 3)
     print(
         json.dumps(

@@ -202,7 +202,7 @@ _PATHS = (
 bugs AS (SELECT substr(sha256(scan_id || ':' || ord), 1, 8) AS bug_id, bug_type, f0 AS target, split_part(file, '/', 2) || ':' || line AS place
   FROM deduped_d WHERE f0 IN (SELECT f FROM tainted)),
 back AS (SELECT DISTINCT target, target AS node, 0 AS depth FROM bugs
-  UNION SELECT b.target, e.x, b.depth + 1 FROM back b JOIN edges e ON e.y = b.node WHERE b.depth < 15),
+  UNION SELECT b.target, e.x, b.depth + 1 FROM back b JOIN edges e ON e.y = b.node WHERE b.depth < 60),
 near AS (SELECT target, node, min(depth) AS hops FROM back GROUP BY 1, 2),
 hits AS (SELECT i.call_site, i.line_no, i.risk_level, i.source_type, g.bug_id, g.bug_type, n.hops,
     row_number() OVER (PARTITION BY i.call_site, i.line_no, g.bug_id ORDER BY n.hops, i.f) AS pick
@@ -311,18 +311,18 @@ reach AS (SELECT p_partkey AS node, 0 AS depth FROM part WHERE p_size = 50
 """
 
 
-@query(_CLOSURE.format(depth=6) + "SELECT 'fn_' || node AS function, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY 1")
+@query(_CLOSURE.format(depth=60) + "SELECT 'fn_' || node AS function, CAST(min(depth) AS INTEGER) AS depth FROM reach GROUP BY 1")
 def reachability_closure(spark, sf_dir):
-    """Functions reachable within six calls of an input function (parts of size 50)."""
+    """Functions reachable from an input function (parts of size 50)."""
     part = d.table(spark, sf_dir, "part").where("p_size = 50")
     seeds = part.select(F.lit("parts").alias("corpus_id"), _text("fn_", F.col("p_partkey")).alias("function"))
-    return graph.reachability_closure(seeds, d.call_edges(spark, sf_dir), 6).drop("corpus_id")
+    return graph.reachability_closure(seeds, d.call_edges(spark, sf_dir)).drop("corpus_id")
 
 
 @query(
     "WITH RECURSIVE " + d.CALL_EDGES_CTE.strip() + """,
 back AS (SELECT p_partkey AS target, p_partkey AS node, 0 AS depth FROM part WHERE p_size = 25
-  UNION SELECT b.target, e.a, b.depth + 1 FROM back b JOIN call_edges_d e ON e.b = b.node WHERE b.depth < 15)
+  UNION SELECT b.target, e.a, b.depth + 1 FROM back b JOIN call_edges_d e ON e.b = b.node WHERE b.depth < 60)
 SELECT 'fn_' || node AS source, 'fn_' || target AS target, CAST(min(depth) AS INTEGER) AS path_length,
   CAST(min(depth) + 1 AS INTEGER) AS nodes
 FROM back WHERE node IN (SELECT p_partkey FROM part WHERE p_size = 50) GROUP BY node, target"""
@@ -335,7 +335,7 @@ def shortest_paths(spark, sf_dir):
             F.lit("parts").alias("corpus_id"), _text("fn_", F.col("p_partkey")).alias("function")
         )
 
-    out = graph.shortest_paths(nodes(50), nodes(25), d.call_edges(spark, sf_dir), 15)
+    out = graph.shortest_paths(nodes(50), nodes(25), d.call_edges(spark, sf_dir))
     return out.select("source", "target", "path_length", F.size("path").alias("nodes"))
 
 

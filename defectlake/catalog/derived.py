@@ -27,11 +27,11 @@ SELECT event_id AS ord, ts,
   CASE event_type WHEN 'error' THEN 'critical' WHEN 'purchase' THEN 'high'
     WHEN 'click' THEN 'medium' WHEN 'view' THEN 'low' ELSE 'info' END AS severity,
   CASE WHEN k % 10 = 0 THEN CAST(floor(value * 100) AS BIGINT) END AS bytes_leaked,
-  concat('src/m', user_id % 4, '.c') AS file, CAST(k % 10 + 1 AS INT) AS line,
-  concat('fn_', user_id % 8) AS f0, concat('fn_', k % 5) AS f1, 'main' AS f2
-FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k FROM {events}) e
-WHERE NOT (ts < {split} AND user_id % 8 = 3)
-  AND NOT (ts >= {split} AND user_id % 8 = 5)
+  concat('src/m', u % 4, '.c') AS file, CAST(k % 10 + 1 AS INT) AS line,
+  concat('fn_', u) AS f0, concat('fn_', k % 5) AS f1, 'main' AS f2
+FROM (SELECT *, CAST(regexp_extract(props, '([0-9]+)', 1) AS INT) AS k,
+  CASE WHEN ts < {split} AND user_id % 8 = 3 THEN 2 WHEN ts >= {split} AND user_id % 8 = 5 THEN 4
+    ELSE user_id % 8 END AS u FROM {events}) e
 """
 
 #: oracle view of the findings with the fingerprint; every oracle that needs it starts with this

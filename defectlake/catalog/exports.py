@@ -115,10 +115,10 @@ def session_progress(spark, sf_dir):
     )
 
 
-@query("SELECT d.doc_id, d.lang, c.role FROM documents d LEFT JOIN conversations c ON d.doc_id = c.conv_id AND c.turn = 0")
+@query("SELECT d.doc_id, d.lang, c.turn, c.role FROM documents d LEFT JOIN conversations c ON d.doc_id = c.conv_id")
 def findings_with_session(spark, sf_dir):
     docs = d.table(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "lang")
-    turns = d.table(spark, sf_dir, "conversations").where("turn = 0").select(F.col("conv_id").alias("error_id"), "role")
+    turns = d.table(spark, sf_dir, "conversations").select(F.col("conv_id").alias("error_id"), "turn", "role")
     return relations.findings_with_session(docs, turns).withColumnRenamed("id", "doc_id")
 
 
@@ -151,14 +151,14 @@ m AS (SELECT scan_id, 'valgrind' AS tool, u || '/' || k AS what, 1 AS n FROM e W
   UNION ALL SELECT scan_id, 'lsan', 'direct', 1 FROM e WHERE t = 2
   UNION ALL SELECT scan_id, 'cppcheck', CAST(k AS VARCHAR), 1 FROM e WHERE t = 3
   UNION ALL SELECT scan_id, 'infer', u || '/' || k, 1 FROM e WHERE t = 4 AND k % 5 <> 3 AND k <> 98
-  UNION ALL SELECT scan_id, 'tracemalloc', CAST(k AS VARCHAR), 20 FROM e WHERE t = 5)
+  UNION ALL SELECT scan_id, 'tracemalloc', CAST(k AS VARCHAR), 21 FROM e WHERE t = 5)
 """
 
 
 @query(
     _MIXED
     + """SELECT scan_id, CAST(sum(n) AS BIGINT) AS total, CAST(count(DISTINCT tool || what) AS BIGINT) AS "unique",
-  CAST(least(count(DISTINCT tool || what), 500) AS BIGINT) AS capped FROM m GROUP BY 1"""
+  CAST(count(DISTINCT tool || what) AS BIGINT) AS capped FROM m GROUP BY 1"""
 )
 def scan_job(spark, sf_dir):
     """The whole scan job over the mixed reports: funnel per scan."""
@@ -257,10 +257,11 @@ def stream_scan_progress(spark, sf_dir):
 
 
 @query(
-    """WITH g AS (SELECT user_id, ts, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
+    """WITH g AS (SELECT user_id, ts, event_type, CASE WHEN ts - lag(ts) OVER (PARTITION BY user_id ORDER BY ts) < INTERVAL 6 HOUR THEN 0 ELSE 1 END AS fresh FROM events),
 s AS (SELECT *, sum(fresh) OVER (PARTITION BY user_id ORDER BY ts ROWS UNBOUNDED PRECEDING) AS burst FROM g),
-b AS (SELECT user_id, burst, max(ts) + INTERVAL 6 HOUR AS request_at, count(*) AS changes FROM s GROUP BY 1, 2)
-SELECT user_id, CAST(changes AS BIGINT) AS changes, strftime(request_at, '%Y-%m-%d %H:%M:%S') AS request_at FROM b
+b AS (SELECT user_id, burst, max(ts) + INTERVAL 6 HOUR AS request_at, count(*) AS changes,
+  arg_min(event_type, {'t': ts, 'p': event_type}) AS first_path FROM s GROUP BY 1, 2)
+SELECT user_id, first_path, CAST(changes AS BIGINT) AS changes, strftime(request_at, '%Y-%m-%d %H:%M:%S') AS request_at FROM b
 WHERE request_at <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events)"""
 )
 def debounce_changes(spark, sf_dir):
@@ -270,7 +271,7 @@ def debounce_changes(spark, sf_dir):
     )
     out = streams.run_to_table(streams.debounce_changes(changes, "6 hours"), "debounce")
     return out.select(
-        F.col("project").alias("user_id"), "changes", F.date_format("request_at", "yyyy-MM-dd HH:mm:ss").alias("request_at")
+        F.col("project").alias("user_id"), "first_path", "changes", F.date_format("request_at", "yyyy-MM-dd HH:mm:ss").alias("request_at")
     )
 
 

@@ -22,11 +22,11 @@ def _both(spark, sf_dir):
     + """SELECT scan_id, rank AS number, severity, replace(bug_type, '_', ' ') AS type,
   concat(split_part(file, '/', 2), ':', line) AS location, tool,
   CASE WHEN coalesce(bytes_leaked, 0) = 0 THEN '—' ELSE format('{:,}', bytes_leaked) END AS bytes
-FROM ranked_d WHERE rank <= 500"""
+FROM ranked_d"""
 )
 def issue_table(spark, sf_dir):
-    """The worst distinct issues of every scan (fingerprint, dedup, rank, cap, table)."""
-    return fo.issue_table(fo.drop_uninformative(fo.dedupe_findings(d.findings(spark, sf_dir))), 500)
+    """The worst distinct issues of every scan (fingerprint, dedup, rank, table)."""
+    return fo.issue_table(fo.drop_uninformative(fo.dedupe_findings(d.findings(spark, sf_dir))))
 
 
 @query(
@@ -323,7 +323,7 @@ def verify_fix_diff(spark, sf_dir):
 
 # -- relations --------------------------------------------------------------------------------
 _RELATED = d.FINDINGS_CTE + """, listed AS (SELECT *, list_distinct(list_filter([f0, f1, f2], lambda x: x <> 'main')) AS fns
-  FROM ranked_d WHERE rank <= 500),
+  FROM ranked_d),
 pairs AS (SELECT a.scan_id, a.rank AS a_pos, b.rank AS b_pos, a.ord AS a_ord, b.ord AS b_ord,
     a.line AS a_line, a.file AS a_file, b.bug_type AS b_type,
     array_to_string(list_sort(list_intersect(a.fns, b.fns)), ', ') AS shared,
@@ -347,6 +347,23 @@ def relate_findings(spark, sf_dir):
     return relations.relate_findings(fo.dedupe_findings(d.findings(spark, sf_dir)))
 
 
+@query(
+    _RELATED
+    + """, members AS (
+  SELECT scan_id, ord, unnest(fns) AS function, kind, file, bucket, leads FROM (
+    SELECT scan_id, ord, fns, 'same_root_cause' AS kind, file, (line // 5)::BIGINT AS bucket, true AS leads FROM listed
+    UNION ALL SELECT scan_id, ord, fns, 'same_root_cause', file, (line // 5)::BIGINT - 1, false FROM listed
+    UNION ALL SELECT scan_id, ord, fns, 'masks', '', -1, bug_type = 'memory_leak' FROM listed WHERE bug_type IN ('memory_leak', 'use_after_free')
+    UNION ALL SELECT scan_id, ord, fns, 'amplifies', '', -1, bug_type = 'race_condition' FROM listed))
+SELECT scan_id, function, kind, file, bucket, leads, ord FROM (SELECT *, count(*) FILTER (leads) OVER g AS leaders, count(*) OVER g AS n FROM members
+  WINDOW g AS (PARTITION BY scan_id, function, kind, file, bucket))
+WHERE leaders > 0 AND CASE WHEN kind = 'same_root_cause' THEN n > 1 ELSE n > leaders END"""
+)
+def related_groups(spark, sf_dir):
+    groups = relations.related_groups(fo.dedupe_findings(d.findings(spark, sf_dir)))
+    return groups.select("scan_id", "function", "kind", "file", "bucket", "leads", "ord")
+
+
 @query(
     _RELATED
     + """SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY scan_id ORDER BY a_pos, b_pos) AS rank FROM rel)

@@ -235,7 +235,7 @@ def allocation_reports(spark, sf_dir) -> DataFrame:
     + f"""SELECT 'scan' || user_id % 7 AS scan_id, event_id * {SPAN} + i AS ord, 'python_large_object' AS bug_type,
   CASE WHEN cents * 100 > 1000000 THEN 'high' WHEN cents * 100 > 100000 THEN 'medium' ELSE 'low' END AS severity,
   'Large allocation: ' || format('{{:,}}', cents * 100) || ' bytes in ' || k || ' objects' AS message,
-  cents * 100 AS bytes_leaked, CAST(k + 1 AS INTEGER) AS line FROM e, range(20) r(i)"""
+  cents * 100 AS bytes_leaked, CAST(k + 1 AS INTEGER) AS line FROM e, range(21) r(i)"""
 )
 def ingest_allocation_stats(spark, sf_dir):
     return reports.ingest_allocation_stats(allocation_reports(spark, sf_dir)).select(
@@ -491,7 +491,7 @@ def resolve_frames(spark, sf_dir):
     """WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
 f AS (SELECT doc_id, max(n) // 2 + 1 AS line, max(n) AS total FROM lines GROUP BY 1)
 SELECT f.doc_id, CAST(f.line AS INTEGER) AS line, md5(t.text) AS target, CAST(least(f.line - 1, 8) AS INTEGER) AS n_before,
-  CAST(least(f.total - f.line, 8) AS INTEGER) AS n_after, f.total < 300 AS has_full
+  CAST(least(f.total - f.line, 8) AS INTEGER) AS n_after, true AS has_full
 FROM f JOIN lines t ON t.doc_id = f.doc_id AND t.n = f.line"""
 )
 def attach_source_context(spark, sf_dir):

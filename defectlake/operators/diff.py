@@ -103,6 +103,7 @@ def diff_summary(a: DataFrame, b: DataFrame, a_id: str = "A", b_id: str = "B") -
 def summary_text(new: Column, fixed: Column, persistent: Column, delta: Column) -> Column:
     """REGRESSION, IMPROVEMENT, MIXED or UNCHANGED sentence."""
     plus = F.when(delta > 0, F.lit("+")).otherwise(F.lit(""))
+    # The sentences of the summary.
     return (
         F.when(
             (new > 0) & (fixed == 0),

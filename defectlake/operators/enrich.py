@@ -10,7 +10,6 @@ from defectlake.functions.text import nonempty
 
 CONTEXT_LINES = 8
 SNIPPET_FRAMES = 5
-FULL_FILE_LINES = 300
 
 
 def resolve_frames(findings: DataFrame, symbols: DataFrame, keys=("scan_id", "ord")) -> DataFrame:
@@ -86,9 +85,11 @@ def line_windows(places: DataFrame, source_lines: DataFrame, before: int, after:
 
 
 def attach_source_context(
-    findings: DataFrame, source_lines: DataFrame, full_file_lines: int = FULL_FILE_LINES
+    findings: DataFrame, source_lines: DataFrame, full_file_lines: int | None = None
 ) -> DataFrame:
-    """Add ``source_context``: lines around the primary location, the whole file when it is short.
+    """Add ``source_context``: lines around the primary location, and the whole file.
+
+    ``full_file_lines`` keeps whole texts to files of fewer lines.
 
     Places and files are made distinct first, so copies of a finding cost one lookup; the contexts
     return to the findings through a join that salts places with very many findings.
@@ -102,9 +103,10 @@ def attach_source_context(
     )
     windows = line_windows(places, source_lines, CONTEXT_LINES, CONTEXT_LINES)
     files = places.select("scan_id", "file").distinct()
-    # only files below the limit are ever assembled, so no group grows past it
-    sizes = source_lines.groupBy("scan_id", "file").agg(F.max("line_no").alias("n_lines"))
-    short = files.join(sizes.where(F.col("n_lines") < full_file_lines), ["scan_id", "file"], "left_semi")
+    short = files
+    if full_file_lines is not None:
+        sizes = source_lines.groupBy("scan_id", "file").agg(F.max("line_no").alias("n_lines"))
+        short = files.join(sizes.where(F.col("n_lines") < full_file_lines), ["scan_id", "file"], "left_semi")
     whole = (
         source_lines.join(short, ["scan_id", "file"], "left_semi")
         .groupBy("scan_id", "file")

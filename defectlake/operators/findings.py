@@ -148,8 +148,10 @@ def with_priority(df: DataFrame, name: str = "priority") -> DataFrame:
     return scale.ordered_position(df, ["scan_id"], rank_order(), name)
 
 
-def cap_findings(df: DataFrame, n: int = 500) -> DataFrame:
-    """The scan's first ``n`` findings in priority order, with their ``rank``."""
+def cap_findings(df: DataFrame, n: int | None = None) -> DataFrame:
+    """The scan's findings with their ``rank`` in priority order; only the first ``n`` if given."""
+    if n is None:
+        return with_priority(df, "rank")
     return scale.top_n(df, ["scan_id"], rank_order(), n, salt=["ord"])
 
 
@@ -240,11 +242,12 @@ def _tip_rows():
             yield "cpp", bug, advice
 
 
-def issue_table(df: DataFrame, n: int = 500) -> DataFrame:
-    """Numbered issue list: severity, type, place, tool and bytes, as shown to a user."""
+def issue_table(df: DataFrame, n: int | None = None) -> DataFrame:
+    """Numbered issue list: severity, type, place, tool and bytes, as shown to a user; all unless ``n`` is given."""
     loc = F.col("primary_location")
     place = F.concat_ws(":", basename(loc["file"]), loc["line"].cast("string"))
-    return cap_findings(df, n).select(
+    needed = df.select("scan_id", "ord", "severity", "bug_type", "primary_location", "tool", "bytes_leaked")
+    return cap_findings(needed, n).select(
         "scan_id",
         F.col("rank").alias("number"),
         "severity",

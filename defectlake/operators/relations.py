@@ -13,34 +13,28 @@ from defectlake.operators.findings import cap_findings
 NEAR_LINES = 5
 
 
-def relate_findings(df: DataFrame, max_findings: int = 500) -> DataFrame:
+def relate_findings(df: DataFrame, max_findings: int | None = None) -> DataFrame:
     """Related pairs (a before b in priority order) that share a user function.
 
-    As in the scan itself, the list that is related is the scan's reported one: its first
-    ``max_findings`` in priority order, so a scan has a bounded number of pairs. A pair is the
-    first of: same_root_cause (same file, lines less than 5 apart), masks (leak before a
+    All findings of a scan are related, or its first ``max_findings`` in priority order if given.
+    Where a scan has very many findings of one function, :func:`related_groups` says the same
+    without a row for every pair. A pair is the first of: same_root_cause (same file, lines less than 5 apart), masks (leak before a
     use-after-free), amplifies (race before anything).
 
     Each kind is its own equi-join, so only pairs that can be related are formed: near lines meet
     through (scan, file, line bucket), the others through (scan, function) with the leading
     finding restricted to leaks or races.
     """
-    # At most max_findings small rows per scan, used on both sides of three joins: written once.
-    listed = cap_findings(df, max_findings).select(
+    # small rows that are used on both sides of three joins: written once
+    needed = df.select("scan_id", "ord", "id", "severity", "bytes_leaked", "bug_type", "primary_location", "stack")
+    listed = cap_findings(needed, max_findings).select(
         "scan_id",
         F.col("rank").alias("pos"),
         "id",
         "bug_type",
         F.col("primary_location.file").alias("file"),
         F.coalesce("primary_location.line", F.lit(0)).alias("line"),
-        F.array_sort(
-            F.array_distinct(
-                F.filter(
-                    F.transform("stack", lambda f: f["function"]),
-                    lambda fn: F.coalesce(~fn.isin("main", "??", ""), F.lit(False)),
-                )
-            )
-        ).alias("functions"),
+        _functions().alias("functions"),
     )
     listed = scale.materialise(listed, "listed")
     names = ("pos", "id", "bug_type", "file", "line", "functions")
@@ -98,6 +92,7 @@ def relate_findings(df: DataFrame, max_findings: int = 500) -> DataFrame:
             text.alias("explanation"),
         )
 
+    # The sentences of the explanations.
     return (
         emit(
             near,
@@ -120,6 +115,57 @@ def relate_findings(df: DataFrame, max_findings: int = 500) -> DataFrame:
     )
 
 
+def _functions() -> Column:
+    """User functions of a stack, distinct and sorted."""
+    names = F.transform("stack", lambda f: f["function"])
+    return F.array_sort(
+        F.array_distinct(F.filter(names, lambda fn: F.coalesce(~fn.isin("main", "??", ""), F.lit(False))))
+    )
+
+
+def related_groups(df: DataFrame) -> DataFrame:
+    """Related findings as groups: a row per group and member, so the rows grow with the findings.
+
+    A group is a scan, a function and a kind: ``same_root_cause`` with a file and a bucket of five lines, whose
+    members lie in it or in the next one; ``masks`` with leaks as leaders and uses after free as members;
+    ``amplifies`` with races as leaders and the other findings as members. Groups without both sides (for
+    ``same_root_cause``, of one finding) are left out.
+    """
+    bucket = F.floor(F.coalesce("primary_location.line", F.lit(0)) / NEAR_LINES)
+    file, bug = F.col("primary_location.file"), F.col("bug_type")
+
+    def entry(kind: str, place: Column | None, number: Column | None, leads: Column) -> Column:
+        return F.struct(
+            F.lit(kind).alias("kind"),
+            (F.lit("") if place is None else place).alias("file"),
+            (F.lit(-1) if number is None else number).cast("bigint").alias("bucket"),
+            leads.alias("leads"),
+        )
+
+    entries = F.array_compact(
+        F.array(
+            F.when(file.isNotNull(), entry("same_root_cause", file, bucket, F.lit(True))),
+            F.when(file.isNotNull(), entry("same_root_cause", file, bucket - 1, F.lit(False))),
+            F.when(bug == "memory_leak", entry("masks", None, None, F.lit(True))),
+            F.when(bug == "use_after_free", entry("masks", None, None, F.lit(False))),
+            entry("amplifies", None, None, bug == "race_condition"),
+        )
+    )
+    key = ["scan_id", "function", "kind", "file", "bucket"]
+    members = (
+        df.select("scan_id", "ord", "id", F.explode(_functions()).alias("function"), entries.alias("entries"))
+        .select("scan_id", "function", F.inline("entries"), "ord", "id")
+    )
+    sides = members.groupBy(*key).agg(F.count_if("leads").alias("leaders"), F.count_if(~F.col("leads")).alias("others"))
+    alone = F.col("kind") == "same_root_cause"
+    whole = sides.where(
+        (F.col("leaders") > 0) & F.when(alone, F.col("leaders") + F.col("others") > 1).otherwise(F.col("others") > 0)
+    )
+    # a function may be in a third of all stacks: the side of groups is small, and a hot group is split at run time
+    whole = scale.materialise(whole, "groups")
+    return members.join(whole.select(*key), key)
+
+
 def limit_relationships(rels: DataFrame, n: int = 5) -> DataFrame:
     """First ``n`` relationships of every scan in list order."""
     order = [F.col("a_pos").asc(), F.col("b_pos").asc()]

@@ -238,6 +238,7 @@ def leak_feasibility(
 
     has_free, has_escape = F.size("free_lines") > 0, F.size("escape_lines") > 0
     feasible = F.col("alloc_line").isNotNull() & ~has_free & ~has_escape
+    # The sentences of the reasons.
     reason = (
         F.when(
             feasible,
@@ -287,6 +288,7 @@ def proof_of_fix(
         (before & ~after).alias("proven"),
         "original_sat",
         "fixed_sat",
+        # The sentences of the verdict.
         F.when(before & ~after, F.lit("Fix PROVEN correct: original has feasible leak, fix eliminates it"))
         .when(~before, F.lit("Original code has no feasible leak (may be ownership transfer)"))
         .otherwise(F.lit("Fix does NOT eliminate the leak — still feasible after fix"))

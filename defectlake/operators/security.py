@@ -192,6 +192,7 @@ def critical_findings(correlations: DataFrame, mitigations: DataFrame) -> DataFr
         F.count_if(F.col("exploitability") == "LIKELY").alias("likely"),
     )
     lines = F.array(
+        # The sentences of the list.
         F.struct(
             F.lit(0).alias("pos"),
             F.when(

@@ -63,8 +63,8 @@ def scan_stats_sets(df: DataFrame) -> DataFrame:
     )
 
 
-def funnel_counts(parsed: DataFrame, max_errors: int = 500) -> DataFrame:
-    """Per scan: parsed, unique and capped counts."""
+def funnel_counts(parsed: DataFrame, max_errors: int | None = None) -> DataFrame:
+    """Per scan: parsed, unique and listed findings (``capped``: at most ``max_errors`` if given)."""
     # Distinct fingerprints are folded first, so a hot scan never sits in one count-distinct task.
     prints = parsed.groupBy("scan_id", "fingerprint").agg(
         F.count(F.lit(1)).alias("n"),
@@ -73,10 +73,11 @@ def funnel_counts(parsed: DataFrame, max_errors: int = 500) -> DataFrame:
             F.struct(ff.severity_rank(F.col("severity")), F.col("ord")),
         ).alias("bare"),
     )
+    listed = F.count_if(~F.col("bare"))
     return prints.groupBy("scan_id").agg(
         F.sum("n").alias("total"),
         F.count(F.lit(1)).alias("unique"),
-        F.least(F.count_if(~F.col("bare")), F.lit(max_errors)).alias("capped"),
+        (listed if max_errors is None else F.least(listed, F.lit(max_errors))).alias("capped"),
     )
 
 

@@ -25,11 +25,11 @@ from defectlake.sources.reports import ingest_reports, rejected_reports
 
 def run_scan(
     raw_reports: DataFrame,
-    max_errors: int = 500,
+    max_errors: int | None = None,
     symbols: DataFrame | None = None,
     source_lines: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
-    """Reports to ranked, enriched findings with statistics."""
+    """Reports to ranked, enriched findings with statistics; all findings unless ``max_errors`` is given."""
     parsed = scale.materialise(ingest_reports(raw_reports), "parsed")
     unique = fo.drop_uninformative(fo.dedupe_findings(parsed))
     listed = fo.cap_findings(unique, max_errors)
@@ -52,13 +52,13 @@ def run_scan(
 def taint_state(sources_corpus: DataFrame) -> dict[str, DataFrame]:
     """Functions, input sources, edges and tainted variables of a source corpus.
 
-    Function bodies are read once for the facts; the later joins read the narrow fact tables.
+    Function bodies are read once for the facts and once for the inputs; the later joins read the stored,
+    narrow fact table.
     """
     functions = scale.materialise(corpus.extract_functions(sources_corpus), "functions")
-    facts = {
-        name: scale.materialise(rows, name)
-        for name, rows in corpus.extract_flow_facts(functions).items()
-    }
+    facts = corpus.extract_flow_facts(functions)
+    for name in ("calls", "call_args", "globals_read", "globals_written"):
+        facts[name] = scale.materialise(facts[name], name)
     inputs = scale.materialise(corpus.find_taint_sources(functions), "inputs")
     flows = scale.materialise(graph.dataflow_edges(functions, facts), "flows")
     tainted = graph.propagate_taint(
@@ -74,9 +74,9 @@ def taint_state(sources_corpus: DataFrame) -> dict[str, DataFrame]:
 
 
 def run_taint(
-    sources_corpus: DataFrame, findings: DataFrame, max_depth: int = 15
+    sources_corpus: DataFrame, findings: DataFrame, max_depth: int | None = None
 ) -> dict[str, DataFrame]:
-    """Source corpus and findings (with ``corpus_id``) to ranked attack paths."""
+    """Source corpus and findings (with ``corpus_id``) to ranked attack paths, of any length unless ``max_depth`` is given."""
     state = taint_state(sources_corpus)
     every = state["calls"].unionByName(state["edges"].select(*state["calls"].columns))
     paths = graph.taint_paths(state["sources"], findings, every, state["tainted"], max_depth)

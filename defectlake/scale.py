@@ -7,6 +7,8 @@ totals, and top-n runs in a salted stage before the final one.
 
 from __future__ import annotations
 
+import atexit
+import shutil
 import tempfile
 import uuid
 from collections.abc import Sequence
@@ -28,9 +30,10 @@ _LOCAL_ROOT: list[str] = []
 def shared_dir(spark: SparkSession) -> str:
     """Folder for written intermediate tables: the cluster's ``spark.checkpoint.dir``.
 
-    Only a local master without the setting falls back to a temporary folder.
+    The context's own checkpoint folder serves where the setting is missing. Only a local master
+    without either falls back to a temporary folder, which goes when the process ends.
     """
-    root = spark.conf.get("spark.checkpoint.dir", None)
+    root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if root:
         return root.rstrip("/")
     master = spark.conf.get("spark.master", "local")
@@ -38,6 +41,7 @@ def shared_dir(spark: SparkSession) -> str:
         raise ValueError("set spark.checkpoint.dir to a folder all executors share")
     if not _LOCAL_ROOT:
         _LOCAL_ROOT.append(tempfile.mkdtemp(prefix="spark-"))
+        atexit.register(shutil.rmtree, _LOCAL_ROOT[0], ignore_errors=True)
     return _LOCAL_ROOT[0]
 
 

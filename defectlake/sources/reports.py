@@ -368,14 +368,15 @@ def ingest_infer(reports: DataFrame, dedup: bool = True) -> DataFrame:
     return _finish(classify_kind(base, "infer"), dedup)
 
 
-def ingest_allocation_stats(reports: DataFrame, n: int = 20) -> DataFrame:
-    """Allocation statistics JSON: the report's first ``n`` records, rated by size."""
+def ingest_allocation_stats(reports: DataFrame, n: int | None = None) -> DataFrame:
+    """Allocation statistics JSON: the report's records (the first ``n`` if given), rated by size."""
     size = F.coalesce("r.size", F.lit(0))
+    records = F.from_json("output", _ALLOC_SCHEMA)
     base = (
         scale.spread(reports)
         .select(
             *_carried(reports),
-            F.posexplode(F.slice(F.from_json("output", _ALLOC_SCHEMA), 1, n)).alias("pos", "r"),
+            F.posexplode(records if n is None else F.slice(records, 1, n)).alias("pos", "r"),
         )
         .where(F.col("r").isNotNull())
         .withColumns(

@@ -112,8 +112,8 @@ def select_sources(files: DataFrame, skip_dirs=dims.TAINT_SKIP_DIRS) -> DataFram
     return files.where(F.col("path").rlike(r"\.(?:c|cpp|cc|h)$") & ~skipped)
 
 
-def cap_files(files: DataFrame, max_files: int = 300) -> DataFrame:
-    """The first ``max_files`` files of a corpus by path (300 for taint, 500 for roles)."""
+def cap_files(files: DataFrame, max_files: int) -> DataFrame:
+    """The first ``max_files`` files of a corpus by path, for callers who want but a part."""
     from defectlake import scale
 
     return scale.top_n(

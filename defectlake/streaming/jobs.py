@@ -70,7 +70,7 @@ def stream_scan_progress(events: DataFrame) -> DataFrame:
     """State per scan: latest kind, tools done, errors, first and last event (update mode)."""
     kind = F.col("kind")
     return events.groupBy("scan_id").agg(
-        F.max_by("kind", "ts").alias("state"),
+        F.max_by("kind", F.struct("ts", "kind")).alias("state"),
         F.count_if(kind == "tool_done").alias("tools_done"),
         F.count_if(kind == "error").alias("errors"),
         F.bool_or(kind == "complete").alias("complete"),
@@ -84,7 +84,7 @@ def debounce_changes(changes: DataFrame, gap: str = "2 seconds", delay: str = "1
     return (
         changes.withWatermark("ts", delay)
         .groupBy("project", F.session_window("ts", gap))
-        .agg(F.count(F.lit(1)).alias("changes"), F.min("path").alias("first_path"))
+        .agg(F.count(F.lit(1)).alias("changes"), F.min_by("path", F.struct("ts", "path")).alias("first_path"))
         .select(
             "project",
             F.col("session_window.start").alias("started_at"),
