@@ -15,7 +15,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from defectlake.llm.common import documents, store
-from defectlake.llm.secret_scan import _sql_listed, _sql_spans
 from defectlake.llm.spans import Kind, kind_spans, listed, masked, no_spans, of_kinds, places
 
 #: characters on either side of an entity in which terms count as beside it
