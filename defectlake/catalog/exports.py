@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from defectlake import scale
 from defectlake.catalog import derived as d
 from defectlake.catalog.registry import Registry
 from defectlake.catalog.reports import mixed_reports
@@ -88,6 +89,21 @@ def export_json(spark, sf_dir):
     )
 
 
+@query(
+    d.FINDINGS_CTE
+    + """SELECT scan_id, ord, bug_type, severity, fp AS fingerprint, bytes_leaked, CAST(3 AS INTEGER) AS frames FROM deduped_d"""
+)
+def write_scans(spark, sf_dir):
+    """Distinct findings written by scan bucket and read back."""
+    path = scale.scratch_path(spark, "scans")
+    found = _listed(spark, sf_dir)
+    export.write_scans(found, path)
+    back = spark.read.schema(found.schema).parquet(path)
+    return back.select(
+        "scan_id", "ord", "bug_type", "severity", "fingerprint", "bytes_leaked", F.size("stack").alias("frames")
+    )
+
+
 @query(
     """SELECT conv_id, CAST(count(*) AS INTEGER) AS total_steps, CAST(count(*) FILTER (role = 'user') AS INTEGER) AS completed,
   CAST(count(*) FILTER (role = 'assistant') AS INTEGER) AS skipped, CAST(count(*) FILTER (role NOT IN ('user', 'assistant')) AS INTEGER) AS remaining
