@@ -49,9 +49,23 @@ def sarif_results(findings: DataFrame) -> DataFrame:
     return findings.select("scan_id", "ord", sarif_result(findings).alias("result"))
 
 
-def export_sarif(findings: DataFrame) -> DataFrame:
-    """Lines of one SARIF document per scan, results in priority order."""
-    placed = scale.ordered_position(findings, ["scan_id"], rank_order(), "line_no")
+#: what the priority order reads
+_ORDER = ("scan_id", "ord", "severity", "bytes_leaked", "primary_location")
+
+
+def _scan_sizes(findings: DataFrame, scans: DataFrame | None) -> DataFrame:
+    """Number of findings of each scan; with ``scans`` also of those that have none."""
+    counts = findings.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
+    if scans is None:
+        return counts
+    every = scans.select("scan_id").distinct().join(counts, "scan_id", "full")
+    return every.select("scan_id", F.coalesce("n", F.lit(0).cast("bigint")).alias("n"))
+
+
+def export_sarif(findings: DataFrame, scans: DataFrame | None = None) -> DataFrame:
+    """Lines of one SARIF document per scan, results in priority order; an empty one for scans without findings."""
+    needed = findings.select(*_ORDER, "bug_type", "message")
+    placed = scale.ordered_position(needed, ["scan_id"], rank_order(), "line_no")
     comma = F.when(F.col("line_no") > 1, F.lit(",")).otherwise(F.lit(""))
     body = placed.select(
         "scan_id", "line_no", F.concat(comma, sarif_result(placed)).alias("text")
@@ -60,15 +74,19 @@ def export_sarif(findings: DataFrame) -> DataFrame:
         F.struct(F.lit(0).cast("bigint").alias("line_no"), F.lit(SARIF_HEAD).alias("text")),
         F.struct((F.col("n") + 1).alias("line_no"), F.lit(SARIF_TAIL).alias("text")),
     )
-    frame = findings.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n"))
+    frame = _scan_sizes(findings, scans)
     return body.unionByName(frame.select("scan_id", F.inline(ends)))
 
 
 def export_markdown(
     findings: DataFrame, analyses: DataFrame | None = None, scans: DataFrame | None = None
 ) -> DataFrame:
-    """Blocks of one Markdown report per scan: block 0 is the summary, then one per finding."""
-    placed = scale.ordered_position(findings, ["scan_id"], rank_order(), "line_no")
+    """Blocks of one Markdown report per scan: block 0 is the summary, then one per finding.
+
+    With ``scans``, scans without findings have their summary too.
+    """
+    needed = findings.select(*_ORDER, "id", "bug_type", "tool", "message")
+    placed = scale.ordered_position(needed, ["scan_id"], rank_order(), "line_no")
     if analyses is not None:
         one = analyses.groupBy(F.col("error_id").alias("id")).agg(
             F.min_by(F.struct("root_cause", "fixes"), F.col("model")).alias("__a")
@@ -109,7 +127,7 @@ def export_markdown(
 
     counts = scan_stats(findings)
     if scans is not None:
-        counts = counts.join(scans.select("scan_id", "started_at", "duration_ms"), "scan_id", "left")
+        counts = counts.join(scans.select("scan_id", "started_at", "duration_ms"), "scan_id", "full")
         when = F.concat(
             F.lit("**Date**: "), F.col("started_at").cast("string"), F.lit("  |  **Duration**: "),
             F.col("duration_ms").cast("string"), F.lit("ms\n"),
@@ -136,7 +154,7 @@ def export_markdown(
         F.lit("## Summary"),
         F.lit("| Severity | Count |"),
         F.lit("|----------|-------|"),
-        F.array_join(rows, "\n"),
+        F.coalesce(F.array_join(rows, "\n"), F.lit("")),
         F.lit("\n## Issues\n"),
     )
     return body.unionByName(
@@ -144,12 +162,14 @@ def export_markdown(
     )
 
 
-def export_suppressions(findings: DataFrame, name_prefix: str = TOOL_NAME) -> DataFrame:
+def export_suppressions(findings: DataFrame, name_prefix: str = TOOL_NAME, scans: DataFrame | None = None) -> DataFrame:
     """Memcheck suppressions: block 0 is the header, then one block per memcheck finding.
 
-    A suppression's number is the finding's place in the scan's whole list.
+    A suppression's number is the finding's place in the scan's whole list. With ``scans``, scans without findings
+    have their header too.
     """
-    placed = scale.ordered_position(findings, ["scan_id"], rank_order(), "line_no")
+    needed = findings.select(*_ORDER, "bug_type", "tool", "stack")
+    placed = scale.ordered_position(needed, ["scan_id"], rank_order(), "line_no")
     kind = F.coalesce(
         dims.lookup(dims.SUPPRESSION_KINDS, F.col("bug_type")), F.lit("Leak_DefinitelyLost")
     )
@@ -181,7 +201,7 @@ def export_suppressions(findings: DataFrame, name_prefix: str = TOOL_NAME) -> Da
         "\n",
     )
     body = placed.where(F.col("tool") == "valgrind").select("scan_id", "line_no", text.alias("text"))
-    head = findings.groupBy("scan_id").agg(F.count(F.lit(1)).alias("n")).select(
+    head = _scan_sizes(findings, scans).select(
         "scan_id",
         F.lit(0).cast("bigint").alias("line_no"),
         F.concat(

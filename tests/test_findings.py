@@ -111,3 +111,16 @@ def test_sarif_without_place(spark):
     df = spark.createDataFrame([("s", 1, "unknown", "info", "m", None)], f"scan_id STRING, ord BIGINT, bug_type STRING, severity STRING, message STRING, primary_location {schemas.LOCATION}")
     assert '"level":"none"' in export.sarif_results(df).first()["result"]
     assert '"locations":[]' in export.sarif_results(df).first()["result"]
+
+
+def test_documents_of_scans_without_findings(spark, sf_dir):
+    found = fo.dedupe_findings(d.findings(spark, sf_dir))
+    scans = spark.createDataFrame(
+        [("A", None, 5), ("empty", None, 7)], "scan_id STRING, started_at TIMESTAMP, duration_ms BIGINT"
+    )
+    sarif = export.export_sarif(found, scans).where("scan_id = 'empty'").orderBy("line_no").collect()
+    assert [r.line_no for r in sarif] == [0, 1]
+    assert export.export_markdown(found, scans=scans).where("scan_id = 'empty'").count() == 1
+    head = export.export_suppressions(found, scans=scans).where("scan_id = 'empty'").first().text
+    assert " 0 suppression(s)" in head
+    assert export.export_sarif(found, scans).where("scan_id = 'B'").count() > 2
