@@ -244,11 +244,12 @@ def components(edges: DataFrame) -> DataFrame:
         seen = mark
         # large star: a node's larger neighbours go to the least of its neighbourhood
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        # written first, so that the join is of two plain sides and a hub's edges can be split at run time
+        least = store(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")), "least")
         large = both.join(least, "a").where("b > a").select(F.col("m").alias("a"), "b").distinct()
         # small star: a node and its smaller neighbours go to the least of them
         large = store(large, "large")
-        least = large.groupBy("b").agg(F.min("a").alias("m"))
+        least = store(large.groupBy("b").agg(F.min("a").alias("m")), "least")
         small = large.join(least, "b").where("a != m").select(F.col("m").alias("a"), F.col("a").alias("b"))
         now = store(small.unionByName(least.select(F.col("m").alias("a"), "b")).distinct(), "small")
 
