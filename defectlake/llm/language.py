@@ -32,8 +32,8 @@ ORDER = 4
 SAMPLE_CHARS = 1_500_000
 CALIBRATION_DOCS = 400
 #: standard deviations, and bits, by which a text's cross-entropy may exceed what is usual for its language
-REJECT_SIGMAS = 6.0
-REJECT_BITS = 1.0
+REJECT_SIGMAS = 7.0
+REJECT_BITS = 2.0
 #: bytes of text scored at once
 SLICE = 1 << 20
 #: symbols: 0 is outside a word, 1 a letter that training hasn't seen
