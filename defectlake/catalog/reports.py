@@ -265,7 +265,7 @@ def mixed_reports(spark, sf_dir) -> DataFrame:
   UNION ALL SELECT user_id, 'lsan', 1 FROM e WHERE event_id % 7 = 2
   UNION ALL SELECT user_id, 'cppcheck', 1 FROM e WHERE event_id % 7 = 3
   UNION ALL SELECT user_id, 'infer', CASE WHEN k % 5 = 3 OR k = 98 THEN 0 ELSE 1 END FROM e WHERE event_id % 7 = 4
-  UNION ALL SELECT user_id, 'tracemalloc', 20 FROM e WHERE event_id % 7 = 5)
+  UNION ALL SELECT user_id, 'tracemalloc', 21 FROM e WHERE event_id % 7 = 5)
 GROUP BY 1, 2 HAVING sum(n) > 0"""
 )
 def ingest_reports(spark, sf_dir):
