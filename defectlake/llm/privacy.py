@@ -1,12 +1,12 @@
 """Personal data and what gives it away, in DataFrame functions only.
 
 Direct identifiers (e-mail and IP addresses, card and phone numbers) are found by pattern. Each distinct
-identifier is a protected entity. Over the whole corpus it is counted how often a term occurs and how often it
-occurs within a window around an entity; the disclosure of entity e by term t is its normalised
-pointwise mutual information, log(p(e|t) / p(e)) / -log p(e): 1 if the term occurs nowhere but beside the
-entity, 0 if it says nothing. A term beside an entity that it discloses by GENERALISE_FROM or more is
-replaced by its outline, by REMOVE_FROM or more it is removed. Terms are judged only beside entities, so a text
-without identifiers is left as it is.
+identifier is a protected entity. Over the whole corpus it is counted in how many documents a term occurs and in how
+many it occurs together with an entity; the disclosure of entity e by term t is its normalised pointwise mutual
+information, log(p(e|t) / p(e)) / -log p(e): 1 if the term occurs nowhere without the entity, 0 if it says nothing.
+p(e|t) counts SMOOTHING documents more that have the term without the entity, so that one document proves less than
+many. Each document counts, copies too. A term that discloses an entity by GENERALISE_FROM or more is replaced by its
+outline, by REMOVE_FROM or more it is removed.
 """
 
 from __future__ import annotations
@@ -17,14 +17,13 @@ from pyspark.sql import functions as F
 from defectlake.llm.common import documents, store
 from defectlake.llm.spans import Kind, kind_spans, listed, masked, no_spans, of_kinds, places
 
-#: characters on either side of an entity in which terms count as beside it
-WINDOW = 60
-#: distinct texts in which a term must stand beside an entity
-SUPPORT = 3
+#: documents with a term and without the entity that are added to what was counted
+SMOOTHING = 1.0
 GENERALISE_FROM = 0.8
 REMOVE_FROM = 0.95
 #: letters of a term
-TERM = r"\p{L}{4,}"
+TERM_LETTERS = 4
+TERM = rf"\p{{L}}{{{TERM_LETTERS},}}"
 
 
 def _digits(match: Column) -> Column:
@@ -72,123 +71,145 @@ def identifiers(text: Column) -> Column:
     return F.array_sort(F.concat(*[kind_spans(text, kind, i) for i, kind in enumerate(KINDS)]))
 
 
-def _beside(text: Column, spans: Column, span: Column) -> Column:
-    """(term, start, end) of whole terms within WINDOW of a span that lie in no identifier."""
-    left = F.greatest(span["start"] - WINDOW, F.lit(0))
-    before = F.substring(text, (left + 1).cast("int"), (span["start"] - left).cast("int"))
-    after = F.substring(text, (span["end"] + 1).cast("int"), WINDOW)
+def _entities(text: Column, spans: Column) -> Column:
+    """Distinct entities of the identifiers in a text."""
 
-    def terms(part: Column, at: Column, cut_first: Column, cut_last: Column) -> Column:
-        found = F.transform(
-            places(part, TERM),
-            lambda p: F.struct(
-                F.lower(p["match"]).alias("term"), (at + p["start"]).alias("start"),
-                (at + p["start"] + F.length(p["match"])).alias("end"),
-            ),
+    def entity(span: Column) -> Column:
+        value = F.substring(text, (span["start"] + 1).cast("int"), (span["end"] - span["start"]).cast("int"))
+        return F.xxhash64(span["kind"], F.when(span["kind"] == "email", F.lower(value)).otherwise(_digits(value)))
+
+    return F.array_distinct(F.transform(spans, entity))
+
+
+def _blanked(text: Column, spans: Column) -> Column:
+    """``text`` with blanks for identifiers, as long as before."""
+    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.array().cast("array<string>").alias("parts"))
+
+    def step(state: Column, span: Column) -> Column:
+        between = F.substring(
+            text, (state["at"] + 1).cast("int"), F.greatest(span["start"] - state["at"], F.lit(0)).cast("int")
         )
-        return F.filter(
-            found,
-            lambda t: ~(cut_first & (t["start"] == at))
-            & ~(cut_last & (t["end"] == at + F.length(part)))
-            & ~F.exists(spans, lambda s: (s["start"] < t["end"]) & (t["start"] < s["end"])),
+        blanks = F.repeat(F.lit(" "), (span["end"] - F.greatest(span["start"], state["at"])).cast("int"))
+        return F.struct(
+            F.greatest(state["at"], span["end"]).alias("at"), F.concat(state["parts"], F.array(between, blanks)).alias("parts")
         )
 
-    return F.concat(
-        terms(before, left, left > 0, F.lit(False)),
-        terms(after, span["end"], F.lit(False), span["end"] + WINDOW < F.length(text)),
-    )
+    def finish(state: Column) -> Column:
+        return F.concat(F.array_join(state["parts"], ""), F.substring(text, (state["at"] + 1).cast("int"), F.length(text)))
+
+    return F.when(F.size(spans) > 0, F.aggregate(F.array_sort(spans), start, step, finish)).otherwise(text)
+
+
+def _term_hashes(blanked: Column) -> Column:
+    """Distinct terms of a text without its identifiers."""
+    words = F.filter(F.split(blanked, r"[^\p{L}]+"), lambda w: F.length(w) >= TERM_LETTERS)
+    return F.array_distinct(F.transform(words, lambda w: F.xxhash64(F.lower(w))))
 
 
 def disclosing_terms(
-    docs: DataFrame, beside: DataFrame, support: int = SUPPORT, generalise_from: float = GENERALISE_FROM
+    terms: DataFrame, private: DataFrame, smoothing: float = SMOOTHING, generalise_from: float = GENERALISE_FROM
 ) -> DataFrame:
-    """(entity, term, disclosure) of the pairs at or over the threshold.
+    """(term_hash, disclosure) of the terms at or over the threshold, with the entity that each discloses most.
 
-    ``docs`` (text) is the whole corpus, ``beside`` (entity, term, text_hash) has a row for each time that a
-    term stands beside a mention of an entity.
+    ``terms`` (term_hashes) has a row for each document of the corpus, ``private`` (text_hash, entities, term_hashes) for
+    each with an entity.
     """
-    near = (
-        beside.groupBy("entity", "term", "text_hash")
-        .agg(F.count(F.lit(1)).alias("n"))
-        .groupBy("entity", "term")
-        .agg(F.sum("n").alias("n_both"), F.count(F.lit(1)).alias("texts"))
-        .where(F.col("texts") >= support)
+    counts = store(
+        terms.select(F.explode("term_hashes").alias("term_hash")).groupBy("term_hash").agg(F.count(F.lit(1)).alias("n_term")),
+        "term_counts",
     )
-    words = docs.select(F.explode(F.split(F.lower("text"), r"[^\p{L}]+")).alias("word"))
-    counts = (
-        words.where(F.length("word") > 0)
-        .select(F.xxhash64("word").alias("term_hash"))
-        .groupBy("term_hash")
-        .agg(F.count(F.lit(1)).alias("n_term"))
+    total = float(max(1, terms.count()))
+    held = store(
+        private.select("text_hash", F.explode("entities").alias("entity"))
+        .groupBy("text_hash", "entity").agg(F.count(F.lit(1)).alias("copies")),
+        "held",
     )
-    total = float(docs.agg(F.sum(F.length("text"))).first()[0] or 1)
-    mentions = beside.groupBy("entity").agg(F.count(F.lit(1)).alias("n_entity"))
-    p_both = F.least(F.col("n_both") / F.col("n_term"), F.lit(1.0))
     p_entity = F.least(F.col("n_entity") / total, F.lit(0.5))
+    # no pair of the entity can reach the threshold with a term of more documents
+    sized = held.groupBy("entity").agg(F.sum("copies").alias("n_entity")).withColumn(
+        "most", F.col("n_entity") * F.pow(p_entity, F.lit(generalise_from - 1.0)) * (1 + 1e-9)
+    )
+    sized = store(held.join(sized, "entity"), "sized")
+    bounds = sized.groupBy("text_hash").agg(F.max("most").alias("most_of_text"))
+    rare = store(
+        private.select("text_hash", F.explode("term_hashes").alias("term_hash")).distinct()
+        .join(counts.where(F.col("n_term") <= (sized.agg(F.max("most")).first()[0] or 0.0)), "term_hash")
+        .join(bounds, "text_hash").where("n_term <= most_of_text").select("text_hash", "term_hash", "n_term"),
+        "rare",
+    )
+    p_given = F.col("n_both") / (F.col("n_term") + smoothing)
     return (
-        near.withColumn("term_hash", F.xxhash64("term"))
-        .join(counts, "term_hash")
-        .join(mentions, "entity")
-        .select("entity", "term", (F.log(p_both / p_entity) / -F.log(p_entity)).alias("disclosure"))
+        rare.join(sized, "text_hash").where("n_term <= most")
+        .groupBy("entity", "term_hash")
+        .agg(F.sum("copies").alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
+        .select("term_hash", (F.log(p_given / p_entity) / -F.log(p_entity)).alias("disclosure"))
         .where(F.col("disclosure") >= generalise_from)
+        .groupBy("term_hash").agg(F.max("disclosure").alias("disclosure"))
     )
 
 
 def sanitise(
     docs: DataFrame,
-    support: int = SUPPORT,
+    smoothing: float = SMOOTHING,
     generalise_from: float = GENERALISE_FROM,
     remove_from: float = REMOVE_FROM,
+    everywhere: bool = False,
 ) -> DataFrame:
     """Spans and sanitised text of each row of ``docs`` (doc_id, text).
 
     Returns doc_id, spans (identifiers, then ``term`` for generalised and ``term_removed`` for removed terms, sorted)
-    and sanitised. A null text is empty. Rows with equal or null doc_id are kept, each with the spans of its own text.
+    and sanitised. Disclosing terms are marked wherever they stand in a text with identifiers, and with ``everywhere``
+    in all texts. A null text is empty. Rows with equal or null doc_id are kept, each with the spans of its own text.
     Other columns are not read. An empty table gives no rows.
     """
     whole = docs.select(
         F.col("doc_id").cast("bigint").alias("doc_id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text")
     )
     found = whole.withColumn("spans", identifiers(F.col("text"))).withColumn("text_hash", F.xxhash64("text"))
-    # texts without an identifier leave here with no spans
     private = store(found.where(F.size("spans") > 0), "private")
-    beside = store(
-        private.select("doc_id", "text", "spans", "text_hash", F.explode("spans").alias("span"))
-        .withColumn("value", F.expr("substring(text, int(span.start + 1), int(span.end - span.start))"))
-        .withColumn(
-            "entity",
-            F.xxhash64("span.kind", F.when(F.col("span.kind") == "email", F.lower("value")).otherwise(_digits(F.col("value")))),
-        )
+    clean = found.where(F.size("spans") == 0)
+    told = private.withColumn("term_hashes", _term_hashes(_blanked(F.col("text"), F.col("spans"))))
+    free = clean.withColumn("term_hashes", _term_hashes(F.col("text")))
+    terms = told.select("text_hash", "term_hashes").unionByName(free.select("text_hash", "term_hashes"))
+    holders = told.select("text_hash", _entities(F.col("text"), F.col("spans")).alias("entities"), "term_hashes")
+    pairs = store(disclosing_terms(terms, holders, smoothing, generalise_from), "disclosing")
+    searched = terms if everywhere else told.select("text_hash", "term_hashes")
+    hits = store(
+        searched.select("text_hash", F.explode("term_hashes").alias("term_hash"))
+        .join(pairs, "term_hash")
+        .groupBy("text_hash")
+        .agg(F.collect_set(F.struct("term_hash", "disclosure")).alias("list"))
+        # a map is searched from its start, so a text with n terms has about sqrt(n) maps
+        .withColumn("n", F.ceil(F.sqrt(F.size("list"))).cast("int"))
         .select(
-            "doc_id", "text_hash", "entity",
-            F.explode(_beside(F.col("text"), F.col("spans"), F.col("span"))).alias("near"),
-        )
-        .select("doc_id", "text_hash", "entity", "near.term", "near.start", "near.end"),
-        "beside",
+            "text_hash",
+            F.transform(
+                F.sequence(F.lit(0), F.col("n") - 1),
+                lambda b: F.map_from_entries(F.filter("list", lambda x: F.pmod(x["term_hash"], F.col("n")) == b)),
+            ).alias("hits"),
+        ),
+        "hits",
     )
-    pairs = store(disclosing_terms(whole, beside, support, generalise_from), "disclosing")
-    terms = (
-        beside.join(pairs, ["entity", "term"])
-        .groupBy("doc_id", "text_hash", "start", "end")
-        .agg(F.max("disclosure").alias("disclosure"))
-        .select(
-            "doc_id", "text_hash",
-            F.struct(
-                "start", F.lit(len(KINDS)).alias("ord"), "end",
-                F.when(F.col("disclosure") >= remove_from, "term_removed").otherwise("term").alias("kind"),
-            ).alias("term"),
+
+    def told_by(match: Column) -> Column:
+        own, key = F.col("hits"), F.xxhash64(F.lower(match))
+        return own[F.pmod(key, F.size(own)).cast("int")][key]
+
+    def mark(rows: DataFrame) -> DataFrame:
+        text, spans, own = F.col("text"), F.col("spans"), F.col("hits")
+        placed = F.transform(
+            places(_blanked(text, spans), TERM, lambda m: told_by(m).isNotNull()),
+            lambda p: F.struct(
+                p["start"].alias("start"), F.lit(len(KINDS)).alias("ord"), (p["start"] + F.length(p["match"])).alias("end"),
+                F.when(told_by(p["match"]) >= remove_from, "term_removed").otherwise("term").alias("kind"),
+            ),
         )
-        .groupBy("doc_id", "text_hash")
-        .agg(F.collect_list("term").alias("terms"))
-        .withColumnRenamed("doc_id", "of_doc")
-        .withColumnRenamed("text_hash", "of_text")
-    )
-    on = F.col("doc_id").eqNullSafe(F.col("of_doc")) & (F.col("text_hash") == F.col("of_text"))
-    marked = private.join(terms, on, "left").select(
-        "doc_id", "text", F.array_sort(F.concat("spans", F.coalesce("terms", no_spans()))).alias("spans")
-    )
-    clean = found.where(F.size("spans") == 0).select("doc_id", "text", "spans")
-    return marked.unionByName(clean).select("doc_id", "spans", sanitised(F.col("text"), F.col("spans")).alias("sanitised"))
+        return rows.join(hits, "text_hash", "left").select(
+            "doc_id", "text", F.when(own.isNull(), spans).otherwise(F.array_sort(F.concat(spans, placed))).alias("spans")
+        )
+
+    marked = mark(private).unionByName(mark(clean) if everywhere else clean.select("doc_id", "text", "spans"))
+    return marked.select("doc_id", "spans", sanitised(F.col("text"), F.col("spans")).alias("sanitised"))
 
 
 def sanitised(text: Column, spans: Column) -> Column:
@@ -207,7 +228,7 @@ def sanitised(text: Column, spans: Column) -> Column:
 
 
 def op10_private_data(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = sanitise(documents(spark, sf_dir))
+    found = sanitise(documents(spark, sf_dir), everywhere=True)
     counts = [F.size(of_kinds(F.col("spans"), [k])).cast("bigint").alias(f"n_{k}") for k in BASE]
     return found.select(
         "doc_id", *counts,

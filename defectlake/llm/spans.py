@@ -33,28 +33,44 @@ def _total(values: Column, start: Column, count: Column) -> Column:
     return F.aggregate(F.slice(values, start, count), F.lit(0).cast("bigint"), lambda a, x: a + x)
 
 
-def places(text: Column, pattern: str) -> Column:
-    """Array of (start, match) of all matches of ``pattern``."""
+def _with(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then`` of a value that is made once: an expression that a lambda uses would be made again for each element."""
+    return F.transform(F.array(value), then)[0]
+
+
+def places(text: Column, pattern: str, chosen: Callable[[Column], Column] | None = None) -> Column:
+    """Array of (start, match) of all matches of ``pattern``, or of those matches that are ``chosen``."""
     gaps = F.split(text, pattern, -1)
     found = F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
 
-    def placed(parts: Column) -> Column:
-        gaps, found = parts["gaps"], parts["found"]
-        sizes = F.zip_with(gaps, found, lambda g, m: (F.length(g) + F.coalesce(F.length(m), F.lit(0))).cast("bigint"))
+    def sized(parts: Column) -> Column:
+        sizes = F.zip_with(
+            parts["gaps"], parts["found"], lambda g, m: (F.length(g) + F.coalesce(F.length(m), F.lit(0))).cast("bigint")
+        )
+        return F.struct(parts["gaps"].alias("gaps"), parts["found"].alias("found"), sizes.alias("sizes"))
+
+    def blocked(parts: Column) -> Column:
         blocks = F.transform(
-            F.sequence(F.lit(0), F.floor(F.size(found) / BLOCK).cast("int")),
-            lambda b: _total(sizes, b * BLOCK + 1, F.lit(BLOCK)),
+            F.sequence(F.lit(0), F.floor(F.size(parts["found"]) / BLOCK).cast("int")),
+            lambda b: _total(parts["sizes"], b * BLOCK + 1, F.lit(BLOCK)),
         )
+        return F.struct(parts.alias("parts"), blocks.alias("blocks"))
+
+    def placed(state: Column) -> Column:
+        gaps, found, sizes = (state["parts"][c] for c in ("gaps", "found", "sizes"))
 
         def one(m: Column, i: Column) -> Column:
             block = F.floor(i / BLOCK).cast("int")
-            before = _total(blocks, F.lit(1), block) + _total(sizes, block * BLOCK + 1, i - block * BLOCK)
+            before = _total(state["blocks"], F.lit(1), block) + _total(sizes, block * BLOCK + 1, i - block * BLOCK)
             return F.struct((before + F.length(gaps[i])).alias("start"), m.alias("match"))
 
-        return F.transform(found, one)
+        if chosen is None:
+            return F.transform(found, one)
+        numbered = F.transform(found, lambda m, i: F.struct(m.alias("match"), i.alias("i")))
+        return F.transform(F.filter(numbered, lambda x: chosen(x["match"])), lambda x: one(x["match"], x["i"]))
 
-    # a one-element array, so that both lists are made once
-    return F.transform(F.array(F.struct(gaps.alias("gaps"), found.alias("found"))), placed)[0]
+    lists = F.struct(gaps.alias("gaps"), found.alias("found"))
+    return _with(lists, lambda x: _with(sized(x), lambda y: _with(blocked(y), placed)))
 
 
 def kind_spans(text: Column, kind: Kind, order: int) -> Column:

@@ -125,3 +125,19 @@ def test_empty_tables(spark, tmp_path):
 
 def test_digest_of_nothing():
     assert hashlib.sha256(b"").hexdigest().startswith("e3b0c442")
+
+
+def test_disclosing_terms_are_counted_by_document_and_marked_everywhere(spark):
+    filler = "plain common words stand here too "
+    rows = [(1, "mail max@corp.org " + filler * 5 + "Zorblatt")]  # one document, far from the identifier
+    rows += [(2, filler + "Zorblatt")]  # the term alone
+    rows += [(10 + i, "call +49 30 1234567 " + filler * 4 + "Quendel") for i in range(6)]  # copies count
+    rows += [(100 + i, filler * 3 + "mail") for i in range(300)] + [(500 + i, filler + "call") for i in range(300)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
+    told = {r.doc_id: r for r in privacy.sanitise(docs, everywhere=True).collect()}
+    assert "Zorblatt" not in told[1].sanitised and "Zorblatt" not in told[2].sanitised
+    assert [s.kind for s in told[1].spans] == ["email", "term"] and [s.kind for s in told[2].spans] == ["term"]
+    assert {tuple(s.kind for s in told[10 + i].spans) for i in range(6)} == {("phone", "term_removed")}
+    assert "common" in told[1].sanitised and told[100].spans == [] and len(told) == len(rows)
+    only = {r.doc_id: r for r in privacy.sanitise(docs).collect()}
+    assert "Zorblatt" not in only[1].sanitised and only[2].spans == []
