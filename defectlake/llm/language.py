@@ -38,7 +38,8 @@ REJECT_BITS = 2.0
 SLICE = 1 << 20
 #: symbols: 0 is outside a word, 1 a letter that training hasn't seen
 OTHER = 1
-MAX_SYMBOLS = 255
+#: symbols that 16 bits tell apart; four of them fill a key
+MAX_SYMBOLS = 1 << 16
 UNKNOWN = "und"
 PREDICTION = "lang_pred string, score double, bits double, rejected boolean"
 
@@ -59,8 +60,21 @@ def _codes(text: str) -> np.ndarray:
     return np.where(letter[points], lower[points], 0)
 
 
+def _width(points: np.ndarray) -> int:
+    """Bits of a symbol in a key: 8 for small alphabets, or 16."""
+    return 8 if len(points) + 2 <= 1 << 8 else 16
+
+
+def _low(width: int, n: int) -> np.uint64:
+    """Mask of a key's last ``n`` symbols."""
+    return np.uint64((1 << width * n) - 1)
+
+
 def _grams(symbols: np.ndarray, order: int) -> np.ndarray:
-    """Key of the n-gram that ends at each position, padded with 0 before the word; 8 bits a symbol."""
+    """Key of the n-gram that ends at each position, padded with 0 before the word; as many bits as a symbol has."""
+    width = 8 * symbols.dtype.itemsize
+    if width * order > 64:
+        raise ValueError(f"n-grams of {order} symbols of {width} bits don't fit a key")
     keys = symbols.astype(np.uint64)
     inside = symbols != 0
     padded = np.concatenate([np.zeros(order, np.uint64), symbols.astype(np.uint64)])
@@ -68,7 +82,7 @@ def _grams(symbols: np.ndarray, order: int) -> np.ndarray:
     for back in range(1, order):
         earlier = padded[order - back : order - back + len(symbols)]
         alive &= earlier != 0  # once outside the word, what lies before doesn't count
-        keys |= np.where(alive, earlier, 0).astype(np.uint64) << np.uint64(8 * back)
+        keys |= np.where(alive, earlier, 0).astype(np.uint64) << np.uint64(width * back)
     return keys
 
 
@@ -123,14 +137,15 @@ class Model:
         place = np.searchsorted(self.points, codes)
         place[place == len(self.points)] = 0
         known = self.points[place] == codes if len(self.points) else np.zeros(len(codes), bool)
-        return np.where(codes == 0, 0, np.where(known, place + 2, OTHER)).astype(np.uint8)
+        return np.where(codes == 0, 0, np.where(known, place + 2, OTHER)).astype(f"u{_width(self.points) // 8}")
 
     def log_probs(self, keys: np.ndarray) -> np.ndarray:
         """log2-probability of the last symbol of each n-gram, a column for each language."""
+        width = _width(self.points)
         out = np.empty((len(keys), len(self.langs)), dtype=np.float32)
         left, added = np.arange(len(keys)), np.zeros((len(keys), len(self.langs)), dtype=np.float32)
         for order in range(len(self.grams), 0, -1):
-            own = keys[left] & np.uint64((1 << 8 * order) - 1)
+            own = keys[left] & _low(width, order)
             rows = self.grams[order - 1].find(own)
             hit = rows >= 0
             out[left[hit]] = self.grams[order - 1].values[rows[hit]] + added[hit]
@@ -138,7 +153,7 @@ class Model:
             if not len(left):
                 return out
             if order > 1:  # what the unseen n-gram's context leaves to the lower order
-                context = own[~hit] >> np.uint64(8)
+                context = own[~hit] >> np.uint64(width)
                 rows = self.weights[order - 2].find(context)
                 seen = rows >= 0
                 added[seen] += self.weights[order - 2].values[rows[seen]]
@@ -172,17 +187,17 @@ class Model:
 
 def kneser_ney(counts: list[dict[str, pd.Series]], langs: list[str], points: np.ndarray) -> Model:
     """The models from ``counts``: per order and language, counts by n-gram key (highest order last)."""
-    order = len(counts)
+    order, width = len(counts), _width(points)
     used: list[dict[str, pd.Series]] = [{} for _ in range(order)]
     used[-1] = counts[-1]
     for n in range(order - 1, 0, -1):
         for lang in langs:
             # lower orders count distinct left neighbours; an n-gram at a word's start has none and keeps its count
             longer = counts[n].get(lang, pd.Series(dtype=np.int64)).index.to_numpy(np.uint64)
-            longer = longer[longer >> np.uint64(8 * n) != 0]
-            neighbours = pd.Series(1, index=longer & np.uint64((1 << 8 * n) - 1)).groupby(level=0).sum()
+            longer = longer[longer >> np.uint64(width * n) != 0]
+            neighbours = pd.Series(1, index=longer & _low(width, n)).groupby(level=0).sum()
             own = counts[n - 1].get(lang, pd.Series(dtype=np.int64))
-            starts = own[(own.index.to_numpy(np.uint64) >> np.uint64(8 * (n - 1))) == 0] if n > 1 else own.iloc[:0]
+            starts = own[(own.index.to_numpy(np.uint64) >> np.uint64(width * (n - 1))) == 0] if n > 1 else own.iloc[:0]
             used[n - 1][lang] = neighbours.add(starts, fill_value=0)
 
     size = len(points) + 2
@@ -191,14 +206,14 @@ def kneser_ney(counts: list[dict[str, pd.Series]], langs: list[str], points: np.
     lower = None
     for n in range(1, order + 1):
         keys = np.unique(np.concatenate([used[n - 1][x].index.to_numpy(np.uint64) for x in langs]))
-        contexts = np.unique(keys >> np.uint64(8))
+        contexts = np.unique(keys >> np.uint64(width))
         probs = np.zeros((len(keys), len(langs)))
         rests = np.ones((len(contexts), len(langs)))
         for k, lang in enumerate(langs):
             count = used[n - 1][lang].reindex(keys).fillna(0).to_numpy(np.float64)
             ones, twos = (count == 1).sum(), (count == 2).sum()
             discount = ones / (ones + 2 * twos) if ones and twos else 0.5
-            place = np.searchsorted(contexts, keys >> np.uint64(8))
+            place = np.searchsorted(contexts, keys >> np.uint64(width))
             total = np.bincount(place, weights=count, minlength=len(contexts))
             kinds = np.bincount(place, weights=count > 0, minlength=len(contexts))
             safe = np.maximum(total, 1)
@@ -206,7 +221,7 @@ def kneser_ney(counts: list[dict[str, pd.Series]], langs: list[str], points: np.
             if lower is None:
                 below = np.full(len(keys), 1 / size)
             else:
-                below = 2.0 ** lower.log_probs(keys & np.uint64((1 << 8 * (n - 1)) - 1))[:, k]
+                below = 2.0 ** lower.log_probs(keys & _low(width, n - 1))[:, k]
             probs[:, k] = np.maximum(count - discount, 0) / safe[place] + rests[place, k] * below
         grams.append(Table(keys, np.log2(probs).astype(np.float32)))
         if n > 1:
@@ -243,7 +258,7 @@ def _sampled_grams(order: int, points: np.ndarray):
                 codes = np.concatenate([np.append(_codes(t), 0) for t, x in zip(texts, langs) if x == lang])
                 keys, symbols = _grams(shell.symbols(codes), order), codes != 0
                 for n in range(1, order + 1):
-                    own, count = np.unique(keys[symbols] & np.uint64((1 << 8 * n) - 1), return_counts=True)
+                    own, count = np.unique(keys[symbols] & _low(_width(points), n), return_counts=True)
                     yield pa.RecordBatch.from_arrays(
                         [
                             pa.array([lang] * len(own), pa.string()), pa.array([n] * len(own), pa.int32()),

@@ -77,3 +77,21 @@ def test_nothing_to_learn_from(spark):
     none = spark.createDataFrame([(1, "text", None)], "doc_id bigint, text string, lang string")
     assert language.identify(none, language.train(none)).first().lang_pred == "und"
     assert language.identify(none.limit(0), language.train(none.limit(0))).count() == 0
+
+
+def test_every_letter_of_large_alphabets_counts(spark):
+    rng = np.random.default_rng(11)
+    # two languages of 3000 letters each that share half of them
+    alphabets = {"x": np.arange(0x4E00, 0x4E00 + 3000), "y": np.arange(0x4E00 + 1500, 0x4E00 + 4500)}
+    chance = 1 / np.arange(1, 3001)
+    text = lambda k: "".join(map(chr, rng.choice(rng_order[k], 400, p=chance / chance.sum())))
+    rng_order = {k: rng.permutation(v) for k, v in alphabets.items()}
+    rows = [(i, text(k), k) for i in range(120) for k in alphabets]
+    model = language.train(spark.createDataFrame(rows, "doc_id int, text string, lang string"))
+    seen = {ord(c) for _, t, _ in rows for c in t}
+    assert len(model.points) > 0.9 * len(seen) > 253
+    # letters that are rare in both, of which each still has its own symbol
+    rare = {k: "".join(map(chr, [p for p in rng_order[k][300:900] if (p in alphabets["x"]) != (p in alphabets["y"])])) for k in alphabets}
+    told = language.identify(spark.createDataFrame(list(rare.items()), "doc_id string, text string"), model).collect()
+    assert {r.doc_id: r.lang_pred for r in told} == {"x": "x", "y": "y"}
+    assert len(set(model.symbols(model.points.copy()).tolist())) == len(model.points)
