@@ -1,7 +1,7 @@
 """Best-fit packing by hierarchical residual packing.
 
-Every task packs its own pieces best-fit, largest first, and closes bins that are nearly full. What
-lies in underfull bins goes on to the next round, where fewer tasks pack what several former ones left;
+Every task packs its own pieces best-fit, largest first, and closes bins that are nearly full. The
+pieces of underfull bins go on singly to the next round, where fewer tasks pack what several former ones left;
 rounds go on until one task has packed the rest, or until a round closes hardly any bin, after which
 each task keeps the bins it makes. Only (bin, fill) rows move; the token ids stay where they were made.
 """
