@@ -1,5 +1,6 @@
 """Operators for training-data pipelines: packing, scans, decontamination, formatting, counting,
-language identification, near-duplicate detection, binary output, audio and privacy.
+language identification, near-duplicate detection, binary output, audio, privacy, vector links, fill-in-the-middle
+and resampling.
 
 Nothing outside this folder imports it. ``queries`` and ``oracle_sql`` list what it registers.
 """
@@ -10,7 +11,7 @@ from importlib import import_module
 
 _MODULES = (
     "packing", "secret_scan", "decontaminate", "chat", "token_counts",
-    "language", "near_dup", "records", "audio", "privacy",
+    "language", "near_dup", "records", "audio", "privacy", "vector_links",
 )
 
 
