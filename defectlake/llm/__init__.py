@@ -11,7 +11,7 @@ from importlib import import_module
 
 _MODULES = (
     "packing", "secret_scan", "decontaminate", "chat", "token_counts",
-    "language", "near_dup", "records", "audio", "privacy", "vector_links", "fill_middle",
+    "language", "near_dup", "records", "audio", "privacy", "vector_links", "fill_middle", "resample",
 )
 
 
