@@ -191,6 +191,18 @@ def dataflow_edges(spark, sf_dir):
     return edges.groupBy("source_func", "target_func", "edge_type", "variable", "line").agg(F.count(F.lit(1)).alias("n"))
 
 
+@query(
+    FN_CTE
+    + """SELECT function, variable, writes, CAST(count(*) AS BIGINT) AS n FROM (
+  SELECT f AS function, 'SHARED_LEN' AS variable, TRUE AS writes FROM fn WHERE s = 7
+  UNION ALL SELECT f, 'tmp', TRUE FROM fn WHERE has_alloc = 1
+  UNION ALL SELECT f, 'SHARED_LEN', FALSE FROM fn WHERE s IN (7, 8)) GROUP BY ALL"""
+)
+def flow_hubs(spark, sf_dir):
+    """Writers and readers of globals, which stand for the pairs of them."""
+    return graph.flow_relations(_functions(spark, sf_dir), _facts(spark, sf_dir))["hubs"].select("function", "variable", "writes", "n")
+
+
 @query(FN_CTE + "SELECT f AS function, v AS variable FROM tainted")
 def propagate_taint(spark, sf_dir):
     return jobs.taint_state(source_files(spark, sf_dir))["tainted"].select("function", "variable")
@@ -198,15 +210,27 @@ def propagate_taint(spark, sf_dir):
 
 _PATHS = (
     FN_CTE.replace("WITH RECURSIVE fn AS", "WITH RECURSIVE base_d AS" + d.FINDINGS_CTE.split("base_d AS", 1)[1] + ", fn AS")
-    + """, edges AS (SELECT DISTINCT f AS x, callee AS y FROM calls UNION SELECT DISTINCT source_func, target_func FROM flows),
+    + """, edges AS (SELECT x, y, min(t) AS t FROM (SELECT f AS x, callee AS y, 'call' AS t FROM calls
+    UNION ALL SELECT source_func, target_func, edge_type FROM flows) GROUP BY x, y),
 bugs AS (SELECT substr(sha256(scan_id || ':' || ord), 1, 8) AS bug_id, bug_type, f0 AS target, split_part(file, '/', 2) || ':' || line AS place
   FROM deduped_d WHERE f0 IN (SELECT f FROM tainted)),
 back AS (SELECT DISTINCT target, target AS node, 0 AS depth FROM bugs
   UNION SELECT b.target, e.x, b.depth + 1 FROM back b JOIN edges e ON e.y = b.node WHERE b.depth < 60),
 near AS (SELECT target, node, min(depth) AS hops FROM back GROUP BY 1, 2),
-hits AS (SELECT i.call_site, i.line_no, i.risk_level, i.source_type, g.bug_id, g.bug_type, n.hops,
+after_node AS (SELECT n.target, n.node, min(e.y) AS y FROM near n JOIN edges e ON e.x = n.node
+  JOIN near m ON m.target = n.target AND m.node = e.y AND m.hops = n.hops - 1 GROUP BY 1, 2),
+named AS (SELECT f, min(v) AS v FROM tainted GROUP BY f),
+way AS (SELECT target, node AS source, node, hops, [node] AS path, ['origin'] AS types, CAST([] AS VARCHAR[]) AS vars
+  FROM near WHERE node IN (SELECT f FROM inputs)
+  UNION ALL SELECT w.target, w.source, a.y, w.hops - 1, list_append(path, a.y), list_append(types, e.t), list_append(vars, coalesce(nm.v, '??'))
+  FROM way w JOIN after_node a ON a.target = w.target AND a.node = w.node JOIN edges e ON e.x = a.node AND e.y = a.y
+  LEFT JOIN named nm ON nm.f = a.y WHERE w.hops > 0),
+routes AS (SELECT source, target, array_to_string(path, ',') AS path, len(path) - 1 AS hops, vars,
+  CASE WHEN len(path) = 1 THEN 'direct' ELSE array_to_string(types, ',') END AS edge_types FROM way WHERE hops = 0),
+hits AS (SELECT i.call_site, i.line_no, i.risk_level, i.source_type, g.bug_id, g.bug_type, n.hops, n.path, n.edge_types,
+    array_to_string(list_prepend(i.tainted_var, n.vars), ',') AS variables,
     row_number() OVER (PARTITION BY i.call_site, i.line_no, g.bug_id ORDER BY n.hops, i.f) AS pick
-  FROM inputs i JOIN near n ON n.node = i.f JOIN bugs g ON g.target = n.target),
+  FROM inputs i JOIN routes n ON n.source = i.f JOIN bugs g ON g.target = n.target),
 paths AS (SELECT * FROM hits WHERE pick = 1)
 """
 )
@@ -220,14 +244,15 @@ def _attack(spark, sf_dir):
 @query(
     _PATHS
     + """SELECT call_site, CAST(line_no AS INTEGER) AS source_line, bug_id, bug_type, CAST(hops AS INTEGER) AS path_length, risk_level,
-  CASE WHEN source_type = 'network' AND bug_type IN ('buffer_overflow', 'use_after_free', 'double_free') THEN 'CRITICAL'
+  path, edge_types, variables, CASE WHEN source_type = 'network' AND bug_type IN ('buffer_overflow', 'use_after_free', 'double_free') THEN 'CRITICAL'
     WHEN bug_type = 'memory_leak' THEN 'MEDIUM' WHEN source_type = 'stdin' THEN 'HIGH' ELSE 'Tainted data from ' || call_site || '() → ''buf'' reaches ' || bug_type || ' via fn_' END AS verdict
 FROM paths"""
 )
 def taint_paths(spark, sf_dir):
     verdict = F.regexp_extract("risk_assessment", r"^(CRITICAL|HIGH|MEDIUM|.*? via fn_)", 1)
     return _attack(spark, sf_dir)["paths"].select(
-        "call_site", "source_line", "bug_id", "bug_type", "path_length", "risk_level", verdict.alias("verdict")
+        "call_site", "source_line", "bug_id", "bug_type", "path_length", "risk_level", verdict.alias("verdict"),
+        *[F.array_join(c, ",").alias(n) for c, n in (("path", "path"), ("edge_types", "edge_types"), ("path_variables", "variables"))],
     )
 
 
@@ -302,7 +327,7 @@ def score_taint_paths(spark, sf_dir):
 )
 def graph_size(spark, sf_dir):
     state = jobs.taint_state(source_files(spark, sf_dir))
-    return graph.graph_size(state["edges"], state["calls"], state["functions"], state["tainted"]).drop("corpus_id")
+    return graph.graph_size(state["edges"], state["calls"], state["functions"], state["tainted"], state["hubs"]).drop("corpus_id")
 
 
 _CLOSURE = "WITH RECURSIVE " + d.CALL_EDGES_CTE.strip() + """,
@@ -630,3 +655,50 @@ def attach_frame_snippets(spark, sf_dir):
     out = enrich.attach_frame_snippets(found, lines)
     last = F.try_element_at("stack", F.lit(-1))
     return out.select(last["function"].alias("name"), last["snippet"].alias("snippet"), last["snippet_start_line"].alias("snippet_start_line"))
+
+
+@query(
+    FN_CTE
+    + """, src AS (SELECT *, start_line + 3 + p % 3 AS line, list_concat(list_transform(range(off), lambda i: '// part'), list_filter([
+    'static int *' || f || '(char *buf, int n) {', '  int got;', CASE WHEN s = 50 THEN '  got = recv(buf, n);' WHEN s % 10 = 1 THEN '  got = fgets(buf, n);'
+      WHEN s = 7 THEN '  SHARED_LEN = n;' WHEN s = 8 THEN '  got = SHARED_LEN;' ELSE '  got = n + 1;' END, '  buf = fn_' || a || '(buf, got);',
+    '  ctx->len = got;', '  fn_' || b || '(buf, n);', CASE WHEN has_alloc = 1 THEN '  tmp = malloc(n);' END, CASE WHEN has_pass = 1 THEN '  ctx->ptr = tmp;' END,
+    CASE WHEN has_free = 1 THEN '  free(tmp);' END, CASE WHEN has_if = 1 THEN '  if (n) return buf;' END, '  return buf;', '}', CASE WHEN p % 2 = 0 THEN '' END],
+    lambda x: x IS NOT NULL)) AS lines FROM fn),
+body AS (SELECT *, CASE WHEN p % 4 < 2 THEN start_line ELSE line END AS start_at,
+  CASE WHEN p % 4 < 2 THEN list_position(lines, '}') ELSE least(line + 3, list_position(lines, '}')) END AS end_at FROM src)
+SELECT f AS name, CAST(start_at AS INTEGER) AS function_start_line, CASE WHEN p % 4 < 2 THEN 'c' ELSE 'python' END AS language,
+  concat_ws(chr(10), '## NULL POINTER DEREFERENCE', 'Tool: asan | Severity: high', 'Message: bad pointer',
+    chr(10) || 'FUNCTION (starting line ' || start_at || '):', array_to_string(list_transform(range(start_at, end_at + 1), lambda n:
+      CASE WHEN n = line THEN ' >>> ' ELSE '     ' END || lpad(CAST(n AS VARCHAR), 4, ' ') || ' | ' || lines[n]), chr(10)),
+    chr(10) || '### Analysis Instructions') AS context_text
+FROM body"""
+)
+def function_context(spark, sf_dir):
+    """The whole context text of a finding in each function, with the function around it and not the whole file.
+
+    Half of the functions count as Python, where no line looks like a function's first, so the text begins at the finding.
+    """
+    from defectlake import schemas
+    from defectlake.operators import enrich
+
+    # the files of even parts end with a line break and have an empty last line
+    text = F.when(F.col("path").rlike("[02468].c$"), F.col("text")).otherwise(F.rtrim("text", F.lit("\n")))
+    lines = source_files(spark, sf_dir).select(
+        F.lit("s").alias("scan_id"), F.col("path").alias("file"), F.posexplode(F.split(text, "\n")).alias("p", "text")
+    ).select("scan_id", "file", (F.col("p") + 1).cast("int").alias("line_no"), "text")
+    key = F.col("p_partkey")
+    found = schemas.conform(
+        d.table(spark, sf_dir, "part").select(
+            F.lit("s").alias("scan_id"), key.alias("ord"), F.lit("asan").alias("tool"), F.lit("null_deref").alias("bug_type"),
+            F.lit("high").alias("severity"), F.lit("bad pointer").alias("message"),
+            F.when(key % 4 < 2, "c").otherwise("python").alias("language"),
+            schemas.location(_text("src/fn_", key, ".c"), (2 + key % 5 + 3 + key % 3).cast("int")).alias("primary_location"),
+        )
+    )
+    placed = enrich.attach_source_context(found, lines, full_file_lines=1)
+    told = fo.finding_context_text(placed).select("scan_id", "ord", "context_text")
+    return placed.join(told, ["scan_id", "ord"]).select(
+        F.regexp_extract("primary_location.file", r"(fn_\d+)", 1).alias("name"), "source_context.function_start_line",
+        "source_context.language", "context_text",
+    )

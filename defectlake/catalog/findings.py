@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from defectlake import dims
 from defectlake.catalog import derived as d
 from defectlake.catalog.registry import Registry
 from defectlake.functions import findings as ff
@@ -161,22 +162,26 @@ def with_tips(spark, sf_dir):
     return fo.with_tips(d.findings(spark, sf_dir)).select("scan_id", "ord", F.size("tips").alias("n_tips"))
 
 
+def _quoted(text: str) -> str:
+    return "'" + text.replace("'", "''") + "'"
+
+
+_HEADING = "CASE bug_type " + " ".join(f"WHEN {_quoted(k)} THEN {_quoted(v)}" for k, v in dims.CONTEXT_HEADINGS.items()) + " ELSE upper(bug_type) END"
+_GUIDANCE = "CASE " + " ".join(f"WHEN {c} = {_quoted(v)} THEN {_quoted(t)}" for c, v, t in dims.CONTEXT_GUIDANCE) + " END"
+
+
 @query(
     d.FINDINGS_CTE
-    + """SELECT scan_id, ord, context_head, n_lines FROM (SELECT scan_id, ord,
-  'Tool: ' || tool || ' | Severity: ' || severity AS context_head,
-  CAST(3 + CASE WHEN coalesce(bytes_leaked, 0) > 0 THEN 1 ELSE 0 END
-    + CASE WHEN bytes_leaked IS NOT NULL THEN 1 ELSE 0 END
-    + 2 + 3 + 3 + 2
-    + CASE WHEN bug_type IN ('memory_leak','use_after_free','double_free','buffer_overflow','uninit_read','race_condition')
-        OR tool = 'infer' THEN 1 ELSE 0 END AS INTEGER) AS n_lines
-FROM findings_d)"""
+    + f"""SELECT scan_id, ord, concat_ws(chr(10), '## ' || {_HEADING}, 'Tool: ' || tool || ' | Severity: ' || severity,
+  'Message: ' || tool || ' ' || bug_type, 'Bytes leaked: ' || format('{{:,}}', nullif(bytes_leaked, 0)),
+  CASE WHEN bytes_leaked IS NOT NULL THEN 'Blocks: 1' END, chr(10) || '### Error Stack Trace',
+  '  #0 ' || f0 || ' at ' || file || ':' || line, '  #1 ' || f1 || ' at ' || file || ':' || line, '  #2 main at ' || file || ':' || line,
+  chr(10) || 'USER CODE RESPONSIBLE: ' || f0 || ' at ' || file || ':' || line, 'CALLED FROM: ' || f1 || ' at ' || file || ':' || line,
+  chr(10) || '### Analysis Instructions', {_GUIDANCE}) AS context_text
+FROM findings_d"""
 )
 def finding_context_text(spark, sf_dir):
-    text = F.split("context_text", "\n")
-    return fo.finding_context_text(d.findings(spark, sf_dir)).select(
-        "scan_id", "ord", F.get(text, F.lit(1)).alias("context_head"), F.size(text).alias("n_lines")
-    )
+    return fo.finding_context_text(d.findings(spark, sf_dir)).select("scan_id", "ord", "context_text")
 
 
 # -- statistics -------------------------------------------------------------------------------

@@ -256,21 +256,26 @@ def mixed_reports(spark, sf_dir) -> DataFrame:
     return out.unionByName(other)
 
 
-@query(
-    _E
-    + """SELECT 'scan' || user_id % 7 AS scan_id, tool, CAST(sum(n) AS BIGINT) AS findings FROM (
-  SELECT user_id, 'valgrind' AS tool, CASE WHEN k = 99 THEN 0 ELSE 1 END AS n FROM e WHERE event_id % 7 = 0
-  UNION ALL SELECT user_id, 'helgrind', 1 FROM e WHERE event_id % 7 = 1
-  UNION ALL SELECT user_id, 'asan', 2 FROM e WHERE event_id % 7 = 2
-  UNION ALL SELECT user_id, 'lsan', 1 FROM e WHERE event_id % 7 = 2
-  UNION ALL SELECT user_id, 'cppcheck', 1 FROM e WHERE event_id % 7 = 3
-  UNION ALL SELECT user_id, 'infer', CASE WHEN k % 5 = 3 OR k = 98 THEN 0 ELSE 1 END FROM e WHERE event_id % 7 = 4
-  UNION ALL SELECT user_id, 'tracemalloc', 21 FROM e WHERE event_id % 7 = 5)
-GROUP BY 1, 2 HAVING sum(n) > 0"""
-)
+def _mixed_sql() -> str:
+    """The findings of the single formats, each of its share of the reports."""
+    sanitizer, leak = "'asan' AS tool, bug_type, severity, NULL AS message", "tool, 'memory_leak', 'high', message"
+    parts = [
+        ("memcheck", 0, "'valgrind' AS tool, bug_type, severity, message"), ("helgrind", 1, "'helgrind' AS tool, bug_type, severity, message"),
+        ("sanitizer", 2, sanitizer), ("lsan_leaks", 2, leak), ("cppcheck", 3, "'cppcheck' AS tool, bug_type, severity, message"),
+        ("infer", 4, "'infer' AS tool, bug_type, severity, message"), ("allocation_stats", 5, "'tracemalloc' AS tool, bug_type, severity, message"),
+    ]
+    return " UNION ALL ".join(
+        f"SELECT scan_id, ord, {columns} FROM ({query.oracle[f'ingest_{name}']}) WHERE (ord // {SPAN}) % 7 = {share}"
+        for name, share, columns in parts
+    )
+
+
+@query(_mixed_sql())
 def ingest_reports(spark, sf_dir):
+    """Every finding of a mixed table (of sanitizer blocks without the message)."""
     found = reports.ingest_reports(mixed_reports(spark, sf_dir))
-    return stats.parsed_per_tool(found).withColumnRenamed("error_count", "findings")
+    said = F.when(F.col("tool") != "asan", F.col("message"))
+    return found.select("scan_id", "ord", "tool", "bug_type", "severity", said.alias("message"))
 
 
 @query(
@@ -490,8 +495,10 @@ def resolve_frames(spark, sf_dir):
 @query(
     """WITH lines AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS text, generate_subscripts(string_split(text, chr(10)), 1) AS n FROM documents),
 f AS (SELECT doc_id, max(n) // 2 + 1 AS line, max(n) AS total FROM lines GROUP BY 1)
-SELECT f.doc_id, CAST(f.line AS INTEGER) AS line, md5(t.text) AS target, CAST(least(f.line - 1, 8) AS INTEGER) AS n_before,
-  CAST(least(f.total - f.line, 8) AS INTEGER) AS n_after, true AS has_full
+SELECT f.doc_id, CAST(f.line AS INTEGER) AS line, md5(t.text) AS target, 
+  (SELECT md5(string_agg(text, chr(10) ORDER BY n)) FROM lines l WHERE l.doc_id = f.doc_id AND l.n BETWEEN f.line - 8 AND f.line - 1) AS before_md5,
+  (SELECT md5(string_agg(text, chr(10) ORDER BY n)) FROM lines l WHERE l.doc_id = f.doc_id AND l.n BETWEEN f.line + 1 AND f.line + 8) AS after_md5,
+  (SELECT md5(string_agg(text, chr(10) ORDER BY n)) FROM lines l WHERE l.doc_id = f.doc_id) AS full_md5
 FROM f JOIN lines t ON t.doc_id = f.doc_id AND t.n = f.line"""
 )
 def attach_source_context(spark, sf_dir):
@@ -513,11 +520,15 @@ def attach_source_context(spark, sf_dir):
     )
     out = enrich.attach_source_context(found, lines)
     c = F.col("source_context")
+
+    def joined(texts):
+        return F.when(F.size(texts) > 0, F.array_join(texts, "\n"))
+
     return out.select(
         F.col("ord").alias("doc_id"),
         F.col("primary_location.line").alias("line"),
         F.md5(c["target_line"]).alias("target"),
-        F.size(c["before_lines"]).alias("n_before"),
-        F.size(c["after_lines"]).alias("n_after"),
-        c["full_file_content"].isNotNull().alias("has_full"),
+        F.md5(joined(c["before_lines"])).alias("before_md5"),
+        F.md5(joined(c["after_lines"])).alias("after_md5"),
+        F.md5(c["full_file_content"]).alias("full_md5"),
     )

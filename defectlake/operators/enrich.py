@@ -10,6 +10,12 @@ from defectlake.functions.text import nonempty
 
 CONTEXT_LINES = 8
 SNIPPET_FRAMES = 5
+#: a function's first line is looked for in this many lines up to the finding's; lines lie in blocks of this size
+HEADER_LINES = 80
+#: lines of a function that are shown, and the least length of its text
+BODY_LINES, BODY_CHARS = 150, 20
+#: What the first line of a function looks like
+HEADER, PYTHON_HEADER = r"\)\s*\{?\s*$", r"^(def |async def )"
 
 
 def resolve_frames(findings: DataFrame, symbols: DataFrame, keys=("scan_id", "ord")) -> DataFrame:
@@ -84,23 +90,93 @@ def line_windows(places: DataFrame, source_lines: DataFrame, before: int, after:
     )
 
 
+def _block(line: Column) -> Column:
+    return F.floor(line / HEADER_LINES)
+
+
+def enclosing_functions(places: DataFrame, source_lines: DataFrame) -> DataFrame:
+    """``places`` (scan_id, file, line, language) with function_body and function_start_line.
+
+    A function begins at the last line up to the place that looks like a function's first line, or at the place itself if
+    none of ``HEADER_LINES`` lines does. It ends where its braces are closed again, past its third line, after ``BODY_LINES``
+    lines or with the file. Both are null for a text of ``BODY_CHARS`` characters or less.
+
+    Lines lie in blocks, and only blocks near a place are read. A place meets the first lines of its own block and of
+    the one before, so the search backward is an equi-join; bodies are put together once per function, from three blocks.
+    """
+    file, key = ["scan_id", "file"], ["scan_id", "file", "line", "language"]
+    at = _block(F.col("line"))
+    near = places.select(*file, F.explode(F.sequence(at - 1, at + 2)).alias("block")).distinct()
+    lines = scale.materialise(
+        source_lines.select(*file, "line_no", "text", _block(F.col("line_no")).alias("block"))
+        .join(near, [*file, "block"], "left_semi")
+        .select("*", F.col("text").rlike(HEADER).alias("heads"), F.col("text").rlike(PYTHON_HEADER).alias("heads_python")),
+        "near_lines",
+    )
+    heads = lines.where("heads or heads_python").groupBy(*file, "block").agg(
+        F.collect_list(F.when(F.col("heads"), F.col("line_no"))).alias("heads"),
+        F.collect_list(F.when(F.col("heads_python"), F.col("line_no"))).alias("heads_python"),
+    )
+    line = F.col("line")
+    own = F.when(F.col("language") == "python", F.col("heads_python")).otherwise(F.col("heads"))
+    last = F.array_max(F.filter(own, lambda n: (n <= line) & (n > line - HEADER_LINES)))
+    started = (
+        places.select(*key, F.explode(F.array(at - 1, at)).alias("block"))
+        .join(heads, [*file, "block"], "left")
+        .groupBy(*key)
+        .agg(F.coalesce(F.max(last), line).cast("int").alias("start"))
+    )
+    started = scale.materialise(started, "started")
+    blocks = lines.groupBy(*file, "block").agg(F.collect_list(F.struct("line_no", "text")).alias("lines"))
+    start, first = F.col("start"), _block(F.col("start"))
+    texts = F.filter(
+        F.array_sort(F.flatten(F.collect_list("lines"))), lambda x: (x["line_no"] >= start) & (x["line_no"] < start + BODY_LINES)
+    )
+
+    def braces(text: Column) -> Column:
+        return F.length(F.replace(text, F.lit("}"), F.lit(""))) - F.length(F.replace(text, F.lit("{"), F.lit("")))
+
+    def walk(seen: Column, x: Column) -> Column:
+        depth = seen["depth"] + braces(x["text"])
+        closed = (depth < 0) | ((depth == 0) & (x["line_no"] > start + 2))
+        return F.struct(depth.alias("depth"), F.coalesce(seen["end"], F.when(closed, x["line_no"])).alias("end"))
+
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(None).cast(source_lines.schema["line_no"].dataType).alias("end"))
+    end = F.coalesce(F.aggregate("texts", begin, walk, lambda seen: seen["end"]), start + BODY_LINES)
+    body = F.array_join(F.transform(F.filter("texts", lambda x: x["line_no"] <= end), lambda x: x["text"]), "\n")
+    bodies = (
+        started.select(*file, "start").distinct()
+        .select(*file, "start", F.explode(F.sequence(first, first + 2)).alias("block"))
+        .join(blocks, [*file, "block"])
+        .groupBy(*file, "start")
+        .agg(texts.alias("texts"))
+        .select(*file, "start", body.alias("body"))
+        .where(F.length("body") > BODY_CHARS)
+        .select(*file, "start", F.col("body").alias("function_body"), start.alias("function_start_line"))
+    )
+    return started.join(bodies, [*file, "start"], "left").drop("start")
+
+
 def attach_source_context(
     findings: DataFrame, source_lines: DataFrame, full_file_lines: int | None = None
 ) -> DataFrame:
-    """Add ``source_context``: lines around the primary location, and the whole file.
+    """Add ``source_context``: lines around the primary location, the enclosing function, and the whole file.
 
-    ``full_file_lines`` keeps whole texts to files of fewer lines.
+    ``full_file_lines`` keeps whole texts to files of fewer lines. The finding's ``language``, if there is that column,
+    says what a function looks like.
 
     Places and files are made distinct first, so copies of a finding cost one lookup; the contexts
     return to the findings through a join that salts places with very many findings.
     """
     loc = F.col("primary_location")
-    placed = findings.withColumns({"__file": loc["file"], "__line": loc["line"]})
-    places = (
+    language = F.coalesce("language", F.lit("unknown")) if "language" in findings.columns else F.lit("unknown")
+    placed = findings.withColumns({"__file": loc["file"], "__line": loc["line"], "__language": language})
+    spoken = (
         placed.where(nonempty(F.col("__file")) & (F.col("__line") > 0))
-        .select("scan_id", F.col("__file").alias("file"), F.col("__line").alias("line"))
+        .select("scan_id", F.col("__file").alias("file"), F.col("__line").alias("line"), F.col("__language").alias("language"))
         .distinct()
     )
+    places = spoken.select("scan_id", "file", "line").distinct()
     windows = line_windows(places, source_lines, CONTEXT_LINES, CONTEXT_LINES)
     files = places.select("scan_id", "file").distinct()
     short = files
@@ -121,22 +197,30 @@ def attach_source_context(
     def texts(test):
         return F.transform(F.filter("around", test), lambda x: x["text"])
 
-    context = windows.join(whole, ["scan_id", "file"], "left").select(
+    target = F.get(texts(lambda x: x["line_no"] == F.col("line")), F.lit(0))
+    functions = enclosing_functions(spoken, source_lines)
+    found = windows.join(functions, ["scan_id", "file", "line"]).join(whole, ["scan_id", "file"], "left")
+    context = found.select(
         "scan_id",
         F.col("file").alias("__file"),
         F.col("line").alias("__line"),
+        F.col("language").alias("__language"),
         F.struct(
             schemas.location(F.col("file"), F.col("line")).alias("location"),
             texts(lambda x: x["line_no"] < F.col("line")).alias("before_lines"),
-            F.coalesce(F.get(texts(lambda x: x["line_no"] == F.col("line")), F.lit(0)), F.lit("")).alias("target_line"),
+            F.coalesce(target, F.lit("")).alias("target_line"),
             texts(lambda x: x["line_no"] > F.col("line")).alias("after_lines"),
+            F.col("language").alias("language"),
+            # past the file's end there are lines before the place but no function around it
+            F.when(target.isNotNull(), F.col("function_body")).alias("function_body"),
+            F.when(target.isNotNull(), F.col("function_start_line")).alias("function_start_line"),
             F.greatest(F.col("line") - CONTEXT_LINES, F.lit(1)).cast("int").alias("snippet_start_line"),
             F.col("full_file_content"),
         ).alias("source_context"),
     )
     base = placed.drop("source_context") if "source_context" in findings.columns else placed
-    joined = scale.skewed_lookup(base, context, ["scan_id", "__file", "__line"], salt=["ord"])
-    return joined.drop("__file", "__line")
+    joined = scale.skewed_lookup(base, context, ["scan_id", "__file", "__line", "__language"], salt=["ord"])
+    return joined.drop("__file", "__line", "__language")
 
 
 def attach_frame_snippets(findings: DataFrame, source_lines: DataFrame) -> DataFrame:

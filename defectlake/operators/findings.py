@@ -33,25 +33,26 @@ def with_primary_location(df: DataFrame) -> DataFrame:
     )
 
 
+def kind_of(tool: str, kind: Column, severity: Column | None = None) -> tuple[Column, Column]:
+    """Bug type and severity of a tool's kind (the block text for sanitizers; cppcheck also names a ``severity``)."""
+    if tool == "valgrind":
+        return dims.kind_columns(dims.MEMCHECK_KINDS, kind, ("unknown", "medium"))
+    if tool == "helgrind":
+        return dims.kind_columns(dims.HELGRIND_KINDS, kind, ("race_condition", "medium"))
+    if tool == "infer":
+        return dims.kind_columns(dims.INFER_KINDS, kind, ("unknown", "medium"))
+    if tool == "cppcheck":
+        bug = F.coalesce(dims.lookup(dims.CPPCHECK_KINDS, kind), F.lit("unknown"))
+        return bug, F.coalesce(dims.lookup(dims.CPPCHECK_SEVERITIES, severity), F.lit("info"))
+    if tool in ("asan", "lsan", "msan", "ubsan", "tsan"):
+        return sanitizer_kind(kind)
+    raise ValueError(f"no kind table for {tool!r}")
+
+
 def classify_kind(df: DataFrame, tool: str, kind: str = "kind") -> DataFrame:
     """Add ``bug_type`` and ``severity`` for a tool's kind column (or block text for sanitizers)."""
-    col = F.col(kind)
-    if tool == "valgrind":
-        bug, sev = dims.kind_columns(dims.MEMCHECK_KINDS, col, ("unknown", "medium"))
-    elif tool == "helgrind":
-        bug, sev = dims.kind_columns(dims.HELGRIND_KINDS, col, ("race_condition", "medium"))
-    elif tool == "infer":
-        bug, sev = dims.kind_columns(dims.INFER_KINDS, col, ("unknown", "medium"))
-    elif tool == "cppcheck":
-        bug = F.coalesce(dims.lookup(dims.CPPCHECK_KINDS, col), F.lit("unknown"))
-        sev = F.coalesce(
-            dims.lookup(dims.CPPCHECK_SEVERITIES, F.col("severity")), F.lit("info")
-        )
-    elif tool in ("asan", "lsan", "msan", "ubsan", "tsan"):
-        bug, sev = sanitizer_kind(col)
-    else:
-        raise ValueError(f"no kind table for {tool!r}")
-    return df.withColumns({"bug_type": bug, "severity": sev})
+    bug, severity = kind_of(tool, F.col(kind), F.col("severity") if tool == "cppcheck" else None)
+    return df.withColumns({"bug_type": bug, "severity": severity})
 
 
 def sanitizer_kind(block: Column) -> tuple[Column, Column]:
@@ -63,32 +64,35 @@ def sanitizer_kind(block: Column) -> tuple[Column, Column]:
     return bug.otherwise(F.lit("unknown")), sev.otherwise(F.lit("medium"))
 
 
-def reclassify_use_after_free(df: DataFrame) -> DataFrame:
-    """Turn invalid accesses to freed blocks into use_after_free.
+def freed_block_columns(
+    kind: Column, auxwhat: Column, stacks: Column, size: Column, count: Column, bug_type: Column, allocation: Column
+) -> dict[str, Column]:
+    """bug_type, free_info and allocation_info of an error: an invalid access to a freed block is a use after free.
 
-    Expects ``kind``, ``auxwhat`` and ``stacks`` (all stacks of the error) beside the finding columns.
+    ``stacks`` are those of the error: of the access, the free and the allocation.
     """
-    stacks = F.col("stacks")
     second, third = F.get(stacks, F.lit(1)), F.get(stacks, F.lit(2))
-    uaf = ff.use_after_free(F.col("kind"), F.col("auxwhat"), second)
+    freed = ff.use_after_free(kind, auxwhat, second)
 
-    def info(stack: Column, kind: Column) -> Column:
+    def info(stack: Column, how: Column) -> Column:
         return F.struct(
-            F.col("bytes_leaked").cast("bigint").alias("size"),
-            F.col("alloc_count").cast("bigint").alias("count"),
-            stack.alias("stack"),
-            kind.cast("string").alias("kind"),
+            size.cast("bigint").alias("size"), count.cast("bigint").alias("count"), stack.alias("stack"), how.cast("string").alias("kind")
         )
 
-    return df.withColumns(
-        {
-            "bug_type": F.when(uaf, F.lit("use_after_free")).otherwise(F.col("bug_type")),
-            "free_info": F.when(uaf & second.isNotNull(), info(second, F.lit("free"))),
-            "allocation_info": F.when(
-                uaf & third.isNotNull(), info(third, F.lit(None))
-            ).otherwise(F.col("allocation_info")),
-        }
-    )
+    return {
+        "bug_type": F.when(freed, F.lit("use_after_free")).otherwise(bug_type),
+        "free_info": F.when(freed & second.isNotNull(), info(second, F.lit("free"))),
+        "allocation_info": F.when(freed & third.isNotNull(), info(third, F.lit(None))).otherwise(allocation),
+    }
+
+
+def reclassify_use_after_free(df: DataFrame) -> DataFrame:
+    """Turn invalid accesses to freed blocks into use_after_free.
+
+    Expects ``kind``, ``auxwhat`` and ``stacks`` (all stacks of the error) beside the finding columns.
+    """
+    columns = ("kind", "auxwhat", "stacks", "bytes_leaked", "alloc_count", "bug_type", "allocation_info")
+    return df.withColumns(freed_block_columns(*[F.col(c) for c in columns]))
 
 
 def rank_order() -> list[Column]:
@@ -320,11 +324,22 @@ def finding_context_text(df: DataFrame) -> DataFrame:
             "\n",
         )
 
+    def lines_of(text):
+        return F.split(F.regexp_replace(text, r"\n\z", ""), "\n")
+
     full = F.when(
         nonempty(ctx["full_file_content"]),
         F.concat(
             F.lit("\nFULL SOURCE FILE ("), ctx["location"]["file"], F.lit("):\n"),
-            marked(F.split(F.regexp_replace(ctx["full_file_content"], r"\n$", ""), "\n"), F.lit(1)),
+            marked(lines_of(ctx["full_file_content"]), F.lit(1)),
+        ),
+    )
+    first_line = F.coalesce(F.nullif(ctx["function_start_line"], F.lit(0)), F.lit(1))
+    function = F.when(
+        nonempty(ctx["function_body"]),
+        F.concat(
+            F.lit("\nFUNCTION (starting line "), first_line.cast("string"), F.lit("):\n"),
+            marked(lines_of(ctx["function_body"]), first_line),
         ),
     )
     before = F.slice(
@@ -384,7 +399,7 @@ def finding_context_text(df: DataFrame) -> DataFrame:
         ),
         user_line("\nUSER CODE RESPONSIBLE: ", 0),
         user_line("CALLED FROM: ", 1),
-        F.coalesce(full, around),
+        F.coalesce(full, function, around),
         F.lit("\n### Analysis Instructions"),
         guidance,
     ]

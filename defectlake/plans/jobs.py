@@ -20,7 +20,7 @@ from defectlake.operators import (
     security,
     stats,
 )
-from defectlake.sources.reports import ingest_reports, rejected_reports
+from defectlake.sources.reports import read_reports
 
 
 def run_scan(
@@ -30,7 +30,8 @@ def run_scan(
     source_lines: DataFrame | None = None,
 ) -> dict[str, DataFrame]:
     """Reports to ranked, enriched findings with statistics; all findings unless ``max_errors`` is given."""
-    parsed = scale.materialise(ingest_reports(raw_reports), "parsed")
+    read = read_reports(raw_reports)
+    parsed = read["findings"]
     unique = fo.drop_uninformative(fo.dedupe_findings(parsed))
     listed = fo.cap_findings(unique, max_errors)
     if symbols is not None:
@@ -42,7 +43,7 @@ def run_scan(
     listed = scale.materialise(fo.with_language(listed), "listed")
     return {
         "findings": listed,
-        "rejected": rejected_reports(raw_reports),
+        "rejected": read["rejected"],
         "funnel": stats.funnel_counts(parsed, max_errors),
         "per_tool": stats.parsed_per_tool(parsed),
         "stats": stats.scan_stats(listed),
@@ -50,7 +51,7 @@ def run_scan(
 
 
 def taint_state(sources_corpus: DataFrame) -> dict[str, DataFrame]:
-    """Functions, input sources, edges and tainted variables of a source corpus.
+    """Functions, input sources, data flow (``edges`` and ``hubs``) and tainted variables of a source corpus.
 
     Function bodies are read once for the facts and once for the inputs; the later joins read the stored,
     narrow fact table.
@@ -60,7 +61,9 @@ def taint_state(sources_corpus: DataFrame) -> dict[str, DataFrame]:
     for name in ("calls", "call_args", "globals_read", "globals_written"):
         facts[name] = scale.materialise(facts[name], name)
     inputs = scale.materialise(corpus.find_taint_sources(functions), "inputs")
-    flows = scale.materialise(graph.dataflow_edges(functions, facts), "flows")
+    relations = graph.flow_relations(functions, facts)
+    flows = scale.materialise(relations["edges"], "flows")
+    hubs = scale.materialise(relations["hubs"], "hubs")
     tainted = graph.propagate_taint(
         graph.taint_seeds(inputs, facts), graph.taint_rules(functions, facts, flows)
     )
@@ -68,6 +71,7 @@ def taint_state(sources_corpus: DataFrame) -> dict[str, DataFrame]:
         "functions": functions,
         "sources": inputs,
         "edges": flows,
+        "hubs": hubs,
         "calls": graph.call_edges(facts),
         "tainted": tainted,
     }
@@ -79,14 +83,14 @@ def run_taint(
     """Source corpus and findings (with ``corpus_id``) to ranked attack paths, of any length unless ``max_depth`` is given."""
     state = taint_state(sources_corpus)
     every = state["calls"].unionByName(state["edges"].select(*state["calls"].columns))
-    paths = graph.taint_paths(state["sources"], findings, every, state["tainted"], max_depth)
+    paths = graph.taint_paths(state["sources"], findings, every, state["tainted"], max_depth, state["hubs"])
     paths = scale.materialise(graph.flow_description(graph.score_taint_paths(paths)), "paths")
     return {
         **state,
         "paths": paths,
         "top_paths": graph.rank_taint_paths(paths),
         "size": graph.graph_size(
-            state["edges"], state["calls"], state["functions"], state["tainted"]
+            state["edges"], state["calls"], state["functions"], state["tainted"], state["hubs"]
         ),
         "summary": graph.taint_summary(
             paths, state["sources"], state["tainted"], findings, state["functions"]

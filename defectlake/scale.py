@@ -58,6 +58,24 @@ def materialise(df: DataFrame, label: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bucketed(df: DataFrame, keys: Sequence[str], label: str, aligned: bool = False) -> tuple[str, DataFrame]:
+    """Write ``df`` once in hash buckets of ``keys``; its folder and a frame that joins on ``keys`` without a shuffle.
+
+    There are as many buckets as shuffle partitions, so the other side of a join comes in the same split. ``aligned`` says
+    that ``df`` is split by ``keys`` already, as an aggregate by them is.
+    """
+    spark = df.sparkSession
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    path = scratch_path(spark, label)
+    name = f"bucketed_{uuid.uuid4().hex}"
+    split = df if aligned else df.repartition(n, *keys)
+    split.write.option("path", path).bucketBy(n, *keys).sortBy(*keys).saveAsTable(name, format="parquet")
+    table = spark.table(name)
+    # the frame knows its files and buckets; the catalog entry is not needed any more and goes without the files
+    spark.sql(f"DROP TABLE {name}")
+    return path, table
+
+
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores for costly per-row work on an input that is small but comes in few splits.
 

@@ -19,7 +19,8 @@ LOCATION = "STRUCT<file: STRING, line: INT, `column`: INT>"
 ALLOCATION = f"STRUCT<size: BIGINT, count: BIGINT, stack: {STACK}, kind: STRING>"
 SOURCE_CONTEXT = (
     f"STRUCT<location: {LOCATION}, before_lines: ARRAY<STRING>, target_line: STRING, "
-    "after_lines: ARRAY<STRING>, snippet_start_line: INT, full_file_content: STRING>"
+    "after_lines: ARRAY<STRING>, language: STRING, function_body: STRING, function_start_line: INT, "
+    "snippet_start_line: INT, full_file_content: STRING>"
 )
 
 #: canonical finding columns in order, name -> SQL type
@@ -108,8 +109,8 @@ def location(file: Column, line: Column, column: Column | None = None) -> Column
     )
 
 
-def conform(df, **extra: Column):
-    """Select the finding columns, filling absent ones with typed nulls and deriving ``id``."""
+def conform(df, keep: tuple[str, ...] = (), **extra: Column):
+    """Select the finding columns and those to ``keep``, filling absent ones with typed nulls and deriving ``id``."""
     df = df.withColumns(extra) if extra else df
     present = set(df.columns)
     out = []
@@ -123,7 +124,7 @@ def conform(df, **extra: Column):
         else:
             col = F.lit(None).cast(kind)
         out.append(col.alias(name))
-    return df.select(*out)
+    return df.select(*out, *keep)
 
 
 def finding_id(scan_id: Column, ord_: Column) -> Column:

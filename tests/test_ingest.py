@@ -118,6 +118,41 @@ def test_registered_format_replaces_parser(spark):
         reports._EXTRA.pop("mytool")
 
 
+def test_mixed_reports_are_one_scan_of_the_table(spark, tmp_path):
+    texts = [
+        ("valgrind", "<v>" + "<error><kind>InvalidRead</kind><what>w</what></error>" * 2 + " " * 50 + "</v>"), ("valgrind", "<v><bro" + "k" * 50),
+        ("asan", "==1==ERROR: heap-use-after-free\nDirect leak of 5 byte(s) in 1 object(s) allocated from:\n#0 0x1 in f a.c:1\n"),
+        ("infer", '[{"bug_type": "NULL_DEREFERENCE"}, {"bug_type": "DEAD_STORE"}]'), ("infer", "[oops"), ("what", "x"),
+        ("cppcheck", '<r><error id="memleak" severity="error" msg="m"/></r>'), ("tracemalloc", '[{"size": 5}]'), ("helgrind", ""), (None, "no tool"),
+    ]
+    data = [("s", i, tool, text) for i, (tool, text) in enumerate(texts)] + [("s", 99, "infer", None)]
+    path = str(tmp_path / "raw")
+    spark.createDataFrame(data, schemas.RAW_REPORT_DDL).write.parquet(path)
+    parsed = reports.parse_reports(spark.read.parquet(path))
+    plan = parsed._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Relation [") == 1 and "Join" not in plan
+    read = reports.read_reports(spark.read.parquet(path))
+    assert rows(read["rejected"], "report_id", "reason") == [(1, "malformed XML"), (4, "malformed JSON"), (5, "unknown tool")]
+    found = rows(read["findings"], "ord", "tool", "bug_type")
+    span = reports.REPORT_SPAN
+    assert found == sorted([
+        (0, "valgrind", "buffer_overflow"), (2 * span, "asan", "unknown"), (2 * span + 1, "asan", "use_after_free"),
+        (2 * span + span // 2, "lsan", "memory_leak"), (3 * span, "infer", "null_deref"), (6 * span, "cppcheck", "memory_leak"),
+        (7 * span, "tracemalloc", "python_large_object"),
+    ], key=str)
+    assert rows(reports.ingest_reports(spark.read.parquet(path)), "ord", "tool", "bug_type") == found
+
+
+def test_large_report_ids_keep_the_order(spark):
+    ids = [0, 7, reports.WIDE_IDS - 1, reports.WIDE_IDS, 10**13, reports.WIDE_IDS * 64 - 1]
+    text = "==1==ERROR: x\nDirect leak of 5 byte(s) in 1 object(s) allocated from:\n#0 0x1 in f a.c:1\nERROR: y"
+    raw = spark.createDataFrame([("s", i, "asan", text) for i in ids], schemas.RAW_REPORT_DDL)
+    found = reports.parse_reports(raw).select("report_id", "part", "ord").collect()
+    assert len({r["ord"] for r in found}) == len(found) == 4 * len(ids)
+    order = [(r["report_id"], r["part"], r["ord"]) for r in sorted(found, key=lambda r: r["ord"])]
+    assert order == sorted(order)
+
+
 def test_heap_site_block(spark):
     text = (
         "3 calls to allocation functions with 26.40K peak consumption from\n"
