@@ -141,11 +141,11 @@ def findings_with_session(spark, sf_dir):
 @query(
     d.FINDINGS_CTE
     + """SELECT scan_id, CAST(count(*) AS BIGINT) AS findings, CAST(sum(coalesce(bytes_leaked, 0)) AS BIGINT) AS bytes_leaked,
-  count(*) FILTER (severity = 'critical') AS critical FROM ranked_d WHERE rank <= 100 GROUP BY 1"""
+  count(*) FILTER (severity = 'critical') AS critical FROM ranked_d GROUP BY 1"""
 )
 def keep_latest_scan_totals(spark, sf_dir):
-    listed = fo.cap_findings(_listed(spark, sf_dir), 100)
-    return listed.groupBy("scan_id").agg(
+    """Totals of all distinct findings of each scan."""
+    return _listed(spark, sf_dir).groupBy("scan_id").agg(
         F.count(F.lit(1)).alias("findings"),
         F.sum(F.coalesce("bytes_leaked", F.lit(0))).alias("bytes_leaked"),
         F.count_if(F.col("severity") == "critical").alias("critical"),
@@ -185,7 +185,7 @@ def scan_job(spark, sf_dir):
 def _events_stream(spark, sf_dir):
     # a file stream lists a folder: the events file is picked by name
     schema = d.table(spark, sf_dir, "events").schema
-    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").parquet(sf_dir)
+    return spark.readStream.schema(schema).option("pathGlobFilter", "events.parquet").option("maxFilesPerTrigger", 1).parquet(sf_dir)
 
 
 def _memory_events(events):
@@ -291,9 +291,55 @@ def debounce_changes(spark, sf_dir):
     )
 
 
+@query(
+    """WITH RECURSIVE t AS (SELECT DISTINCT user_id, ts FROM events),
+after_gap AS (SELECT user_id, ts, min(ts) OVER (PARTITION BY user_id ORDER BY ts
+    RANGE BETWEEN INTERVAL 6 HOUR FOLLOWING AND UNBOUNDED FOLLOWING) AS next FROM t),
+r AS (SELECT user_id, min(ts) AS ts FROM t GROUP BY 1
+  UNION ALL SELECT r.user_id, a.next FROM r JOIN after_gap a ON a.user_id = r.user_id AND a.ts = r.ts WHERE a.next IS NOT NULL)
+SELECT CAST(r.user_id AS BIGINT) AS user_id, strftime(r.ts, '%Y-%m-%d %H:%M:%S') AS request_at, count(*) AS changes,
+  string_agg(e.event_type, ',' ORDER BY e.event_type) AS paths
+FROM r JOIN events e ON e.user_id = r.user_id AND e.ts = r.ts
+WHERE r.ts <= (SELECT max(ts) - INTERVAL 1 MINUTE FROM events) GROUP BY r.user_id, r.ts"""
+)
+def debounce_leading(spark, sf_dir):
+    """Requests at a user's first event and at the first one six hours or more after the last request."""
+    changes = streams.event_time(_events_stream(spark, sf_dir)).select(
+        F.col("user_id").alias("project"), "ts", F.col("event_type").alias("path")
+    )
+    out = streams.run_to_table(streams.debounce_leading(changes, "6 hours"), "requests")
+    return out.select(
+        F.col("project").cast("bigint").alias("user_id"), F.date_format("request_at", "yyyy-MM-dd HH:mm:ss").alias("request_at"),
+        "changes", F.array_join("paths", ",").alias("paths"),
+    )
+
+
+@query(
+    """SELECT (SELECT count(*) FROM events) + count(*) AS input_rows,
+  count(*) FILTER (ts <= (SELECT max(ts) FROM events) - INTERVAL 1 DAY) AS late_rows FROM events WHERE event_id % 10 = 0"""
+)
+def stream_progress(spark, sf_dir):
+    """Progress rows of a stream that gets a tenth of its rows a second time, most of them late."""
+    from defectlake import scale
+
+    found = _finding_columns(streams.event_time(d.table(spark, sf_dir, "events")))
+    path, listener = scale.scratch_path(spark, "progress"), streams.ProgressListener()
+    for again in (False, True):
+        part = found.where(F.col("ord") % 10 == 0) if again else found
+        part.coalesce(1).write.mode("append").parquet(f"{path}/in")
+        stream = spark.readStream.schema(found.schema).parquet(f"{path}/in")
+        unique = stream.withWatermark("discovered_at", "1 day").dropDuplicatesWithinWatermark(["scan_id", "fingerprint"])
+        streams.run_to_table(unique, "progress", path=f"{path}/run", listener=listener)
+    rows = spark.read.schema(streams.PROGRESS_DDL).parquet(f"{path}/run/progress")
+    return rows.agg(F.sum("input_rows").alias("input_rows"), F.sum("late_rows").alias("late_rows"))
+
+
 def _finding_stream(spark, sf_dir):
-    """Findings of the event stream, with the columns the stream operators need."""
-    events = streams.event_time(_events_stream(spark, sf_dir))
+    return _finding_columns(streams.event_time(_events_stream(spark, sf_dir)))
+
+
+def _finding_columns(events):
+    """Findings of events, with the columns the stream operators need."""
     k = F.regexp_extract("props", "([0-9]+)", 1).cast("int")
     return events.select(
         F.concat(F.lit("s"), (F.col("user_id") % 8).cast("string")).alias("scan_id"),

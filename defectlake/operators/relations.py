@@ -17,7 +17,7 @@ def relate_findings(df: DataFrame, max_findings: int | None = None) -> DataFrame
     """Related pairs (a before b in priority order) that share a user function.
 
     All findings of a scan are related, or its first ``max_findings`` in priority order if given.
-    Where a scan has very many findings of one function, :func:`related_groups` says the same
+    Where a scan has very many findings of one function, :func:`related_groups` gives a coarser view
     without a row for every pair. A pair is the first of: same_root_cause (same file, lines less than 5 apart), masks (leak before a
     use-after-free), amplifies (race before anything).
 
@@ -124,7 +124,10 @@ def _functions() -> Column:
 
 
 def related_groups(df: DataFrame) -> DataFrame:
-    """Related findings as groups: a row per group and member, so the rows grow with the findings.
+    """Findings that may be related, as groups: a row per group and member, so the rows grow with the findings.
+
+    Groups are coarser than the pairs of :func:`relate_findings`: lines of one group are up to nine apart where a pair's are
+    less than five, and neither priority order nor a nearer relation of the same two findings is looked at.
 
     A group is a scan, a function and a kind: ``same_root_cause`` with a file and a bucket of five lines, whose
     members lie in it or in the next one; ``masks`` with leaks as leaders and uses after free as members;

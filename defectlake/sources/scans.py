@@ -110,12 +110,3 @@ def select_sources(files: DataFrame, skip_dirs=dims.TAINT_SKIP_DIRS) -> DataFram
     folders = F.slice(F.split("path", "/"), F.lit(1), F.greatest(F.size(F.split("path", "/")) - 1, F.lit(0)))
     skipped = F.arrays_overlap(folders, F.array(*[F.lit(x) for x in skip_dirs]))
     return files.where(F.col("path").rlike(r"\.(?:c|cpp|cc|h)$") & ~skipped)
-
-
-def cap_files(files: DataFrame, max_files: int) -> DataFrame:
-    """The first ``max_files`` files of a corpus by path, for callers who want but a part."""
-    from defectlake import scale
-
-    return scale.top_n(
-        files, ["corpus_id"], [F.asc("path")], max_files, salt=["path"], rank_col="file_no"
-    ).drop("file_no")

@@ -7,11 +7,13 @@ could pile up, and event time is a TIMESTAMP with a watermark wherever state mus
 
 from __future__ import annotations
 
+import threading
 from collections.abc import Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.streaming.listener import StreamingQueryListener
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 from defectlake import scale
@@ -36,15 +38,33 @@ def stream_findings(raw: DataFrame, delay: str = "1 hour") -> DataFrame:
     )
 
 
-def run_best_findings(found: DataFrame, path: str, checkpoint: str):
+#: parts of a best-findings table; a micro-batch rewrites those that it touches
+BEST_PARTS = 64
+
+
+def run_best_findings(found: DataFrame, path: str, checkpoint: str, parts: int = BEST_PARTS):
     """Start a query that keeps the most severe finding per fingerprint in the table at ``path``.
 
-    Every micro-batch writes its own winners under ``batch=<id>`` (a repeated batch replaces its
-    own rows); :func:`best_findings` resolves the batches.
+    The table lies in ``parts`` hash parts. A micro-batch merges its winners into the parts that they touch, writes those
+    under its own number and then a commit that says for every part which batch wrote it last. A repeated batch
+    starts from the commit before it and so gives the same; folders that no recent commit names are deleted.
     """
 
     def merge(batch: DataFrame, batch_id: int) -> None:
-        fo.dedupe_findings(batch).write.mode("overwrite").parquet(f"{path}/batch={batch_id}")
+        spark = batch.sparkSession
+        placed = batch.withColumn("part", F.pmod(F.xxhash64("scan_id", "fingerprint"), F.lit(parts)).cast("int"))
+        winners = scale.materialise(fo.dedupe_findings(placed), "winners")
+        touched = [r.part for r in winners.select("part").distinct().collect()]  # at most ``parts``
+        before = _commit(spark, path, batch_id)
+        old = _parts(spark, path, {p: b for p, b in before.items() if p in touched})
+        both = winners if old is None else winners.unionByName(old)
+        merged = fo.dedupe_findings(both)
+        merged.repartition("part").write.mode("overwrite").partitionBy("part").parquet(f"{path}/data/batch={batch_id}")
+        now = {**before, **{p: batch_id for p in touched}}
+        rows = spark.createDataFrame(sorted(now.items()), "part INT, batch BIGINT").coalesce(1)
+        rows.write.mode("overwrite").parquet(f"{path}/commits/batch={batch_id}")
+        # readers of the commit before may still be at work; older ones are gone
+        _delete_unnamed(path, set(now.values()) | set(before.values()) | {batch_id})
 
     return (
         found.writeStream.foreachBatch(merge)
@@ -54,9 +74,51 @@ def run_best_findings(found: DataFrame, path: str, checkpoint: str):
     )
 
 
+def _names(folder: str) -> list[int]:
+    """Numbers of the ``batch=`` folders in a folder."""
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(folder)
+    found = system.get_file_info(fs.FileSelector(base, allow_not_found=True))
+    return sorted(int(f.base_name.split("=")[1]) for f in found if f.base_name.startswith("batch="))
+
+
+def _commit(spark, path: str, below: int | None = None) -> dict[int, int]:
+    """Batch that wrote each part, by the last commit (of a batch before ``below``); a commit without its mark is none."""
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(f"{path}/commits")
+    for batch in reversed(_names(f"{path}/commits")):
+        done = system.get_file_info(f"{base}/batch={batch}/_SUCCESS").type == fs.FileType.File
+        if done and (below is None or batch < below):
+            return {r.part: r["batch"] for r in spark.read.schema("part INT, batch BIGINT").parquet(f"{path}/commits/batch={batch}").collect()}
+    return {}
+
+
+def _parts(spark, path: str, commit: dict[int, int]) -> DataFrame | None:
+    """Rows of the parts that a commit names."""
+    if not commit:
+        return None
+    folders = [f"{path}/data/batch={batch}/part={part}" for part, batch in sorted(commit.items())]
+    rows = spark.read.option("basePath", f"{path}/data").parquet(*folders)
+    return rows.drop("batch")
+
+
+def _delete_unnamed(path: str, named: set[int]) -> None:
+    from pyarrow import fs
+
+    system, base = fs.FileSystem.from_uri(f"{path}/data")
+    for batch in _names(f"{path}/data"):
+        if batch not in named:
+            system.delete_dir(f"{base}/batch={batch}")
+
+
 def best_findings(spark, path: str) -> DataFrame:
-    """Current most severe finding per (scan, fingerprint)."""
-    return fo.dedupe_findings(spark.read.parquet(path).drop("batch"))
+    """Current most severe finding per (scan, fingerprint): the parts of the last commit, nothing older."""
+    rows = _parts(spark, path, _commit(spark, path))
+    if rows is None:
+        raise ValueError(f"no commit below {path}")
+    return rows.drop("part")
 
 
 #: kinds of progress events in the order a scan passes them
@@ -95,6 +157,58 @@ def debounce_changes(changes: DataFrame, gap: str = "2 seconds", delay: str = "1
     )
 
 
+REQUEST_DDL = "project STRING, request_at TIMESTAMP, changes BIGINT, paths ARRAY<STRING>"
+_REQUEST_STATE = "last BIGINT, times ARRAY<BIGINT>, paths ARRAY<STRING>"
+
+
+def _request_stepper(gap: int):
+    """The state step of one project, made here so that it travels without this package."""
+
+    def step(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        last, times, paths = state.get if state.exists else (None, [], [])
+        waiting = list(zip(times, paths))
+        if not state.hasTimedOut:
+            for frame in batches:
+                waiting += zip(frame["ts"].astype("datetime64[us]").astype("int64").tolist(), frame["path"].tolist())
+        mark = state.getCurrentWatermarkMs() * 1000
+        ready: dict[int, list[str]] = {}
+        for at, path in waiting:
+            if at <= mark:
+                ready.setdefault(at, []).append(path)
+        waiting = [w for w in waiting if w[0] > mark]
+        out = []
+        for at in sorted(ready):
+            if last is None or at - last >= gap:
+                last = at
+                out.append((*key, pd.Timestamp(at, unit="us"), len(ready[at]), sorted(ready[at])))
+        if last is not None and mark >= last + gap:
+            last = None  # whatever comes now is late enough for a request of its own
+        if waiting or last is not None:
+            state.update((last, [w[0] for w in waiting], [w[1] for w in waiting]))
+            wake = min([w[0] for w in waiting] + ([] if last is None else [last + gap]))
+            state.setTimeoutTimestamp(-(-wake // 1000))
+        elif state.exists:
+            state.remove()
+        if out:
+            yield pd.DataFrame(out, columns=["project", "request_at", "changes", "paths"])
+
+    return step
+
+
+def debounce_leading(changes: DataFrame, gap: str = "2 seconds", delay: str = "1 minute") -> DataFrame:
+    """A re-scan request at a project's first change, and at the first one ``gap`` or more after the last request.
+
+    ``changes`` are (project, ts, path). Changes in between ask for nothing; those of the request's very time are listed.
+    Changes wait in the state until the watermark has passed them, so requests don't depend on how the input is cut
+    or ordered within ``delay``. A project's state ends when nothing waits and its last request is ``gap`` old.
+    """
+    micros = int(pd.Timedelta(gap) / pd.Timedelta(1, "us"))
+    narrow = changes.select(F.col("project").cast("string").alias("project"), "ts", "path")
+    return narrow.withWatermark("ts", delay).groupBy("project").applyInPandasWithState(
+        _request_stepper(micros), REQUEST_DDL, _REQUEST_STATE, "append", GroupStateTimeout.EventTimeTimeout
+    )
+
+
 def stream_heap_usage(
     events: DataFrame, size: str = "1 hour", slide: str | None = None, delay: str = "10 minutes"
 ) -> DataFrame:
@@ -124,22 +238,18 @@ LIVE_DDL = (
     "double_frees BIGINT, unmatched_frees BIGINT"
 )
 _LIVE_STATE = (
-    "live BOOLEAN, size BIGINT, mallocs BIGINT, frees BIGINT, double_frees BIGINT, unmatched_frees BIGINT"
+    "live BOOLEAN, size BIGINT, mallocs BIGINT, frees BIGINT, double_frees BIGINT, unmatched_frees BIGINT, last BIGINT, "
+    "times ARRAY<BIGINT>, seqs ARRAY<BIGINT>, ops ARRAY<STRING>, sizes ARRAY<BIGINT>"
 )
 
 
-def _live_stepper():
+def _live_stepper(idle: int | None):
     """The state step of one (process, address), made here so that it travels without this package."""
     columns = [c.split()[0] for c in LIVE_DDL.split(", ")]
 
-    def step(
-        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
-    ) -> Iterator[pd.DataFrame]:
-        live, size, mallocs, frees, double, unmatched = (
-            state.get if state.exists else (False, 0, 0, 0, 0, 0)
-        )
-        rows = pd.concat(list(batches)).sort_values(["ts", "seq"])
-        for op, n in zip(rows["op"], rows["size"]):
+    def after(block: tuple, events: list[tuple]) -> tuple:
+        live, size, mallocs, frees, double, unmatched = block
+        for _, _, op, n in sorted(events, key=lambda e: e[:2]):
             if op == "free":
                 frees += 1
                 if not live:
@@ -147,23 +257,52 @@ def _live_stepper():
                 live, size = False, 0
             else:  # malloc and realloc make the block live with its new size
                 mallocs += op == "malloc"
-                live, size = True, int(n)
-        state.update((live, size, int(mallocs), int(frees), int(double), int(unmatched)))
-        yield pd.DataFrame([(*key, live, size, mallocs, frees, double, unmatched)], columns=columns)
+                live, size = True, n
+        return live, size, mallocs, frees, double, unmatched
+
+    def step(
+        key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
+    ) -> Iterator[pd.DataFrame]:
+        *block, last, times, seqs, ops, sizes = state.get if state.exists else (False, 0, 0, 0, 0, 0, 0, [], [], [], [])
+        waiting = list(zip(times, seqs, ops, sizes))
+        if not state.hasTimedOut:
+            for frame in batches:
+                at = frame["ts"].astype("datetime64[us]").astype("int64").tolist()
+                sizes = frame["size"].fillna(0).astype("int64").tolist()
+                waiting += zip(at, frame["seq"].tolist(), frame["op"].tolist(), sizes)
+        mark = state.getCurrentWatermarkMs() * 1000
+        # no event can come before these any more
+        block = after(tuple(block), [e for e in waiting if e[0] <= mark])
+        last = max([last, *(e[0] for e in waiting)])
+        waiting = [e for e in waiting if e[0] > mark]
+        gone = idle is not None and not waiting and not block[0] and mark >= last + idle
+        if gone:
+            if state.exists:
+                state.remove()
+        else:
+            state.update((*block, last, *([e[i] for e in waiting] for i in range(4))))
+            if waiting:
+                state.setTimeoutTimestamp(-(-max(e[0] for e in waiting) // 1000))
+            elif idle is not None and not block[0]:
+                state.setTimeoutTimestamp(-(-(last + idle) // 1000))
+        if not state.hasTimedOut:
+            yield pd.DataFrame([(*key, *after(block, waiting))], columns=columns)
 
     return step
 
 
-def stream_live_objects(events: DataFrame) -> DataFrame:
+def stream_live_objects(events: DataFrame, delay: str = "10 minutes", idle: str | None = None) -> DataFrame:
     """State of every (process, address): live size, double frees, frees without allocation.
 
-    ``events`` are (process_id, address, op, size, ts, seq). A key is one address of one process, so
-    state and work spread by address; rows are emitted in update mode. One step sees a key's events of
-    one micro-batch, which the source's trigger limit bounds; over stored events of any size use
-    :func:`defectlake.operators.heap.live_objects`.
+    ``events`` are (process_id, address, op, size, ts, seq). A key is one address of one process, so state and work spread
+    by address; rows are emitted in update mode. Events wait in the state until the watermark has passed them and are then
+    applied in order; a row shows what those that wait make of the block too, so out-of-order events within ``delay``
+    give what :func:`defectlake.operators.heap.live_objects` gives. What waits is bounded by ``delay`` and a
+    micro-batch's part of it by the source's trigger limit. A block that isn't live and has had no event for ``idle`` is forgotten.
     """
-    return events.groupBy("process_id", "address").applyInPandasWithState(
-        _live_stepper(), LIVE_DDL, _LIVE_STATE, "update", GroupStateTimeout.NoTimeout
+    micros = None if idle is None else int(pd.Timedelta(idle) / pd.Timedelta(1, "us"))
+    return events.withWatermark("ts", delay).groupBy("process_id", "address").applyInPandasWithState(
+        _live_stepper(micros), LIVE_DDL, _LIVE_STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
 
 
@@ -179,13 +318,55 @@ def stream_scan_stats(found: DataFrame, window: str | None = None, delay: str =
     )
 
 
-def run_to_table(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
-    """Run a stream over all available input and read its rows back from the shared folder.
+PROGRESS_DDL = (
+    "batch BIGINT, input_rows BIGINT, state_rows BIGINT, late_rows BIGINT, watermark STRING, recorded_at STRING"
+)
+
+
+class ProgressListener(StreamingQueryListener):
+    """Keeps one row per micro-batch of the queries it hears of, and writes them when asked."""
+
+    def __init__(self) -> None:
+        self.rows: dict[str, list[tuple]] = {}
+        self.ended: dict[str, threading.Event] = {}
+
+    def onQueryStarted(self, event) -> None:
+        self.rows.setdefault(str(event.runId), [])
+        self.ended.setdefault(str(event.runId), threading.Event())
+
+    def onQueryProgress(self, event) -> None:
+        p = event.progress
+        state = sum(o.numRowsTotal for o in p.stateOperators)
+        late = sum(o.numRowsDroppedByWatermark for o in p.stateOperators)
+        row = (p.batchId, p.numInputRows, state, late, p.eventTime.get("watermark"), p.timestamp)
+        self.rows.setdefault(str(p.runId), []).append(row)
+
+    def onQueryIdle(self, event) -> None:
+        pass
+
+    def onQueryTerminated(self, event) -> None:
+        self.ended.setdefault(str(event.runId), threading.Event()).set()
+
+    def write(self, spark, run_id: str, path: str, timeout: float = 60) -> DataFrame:
+        """Append the rows of an ended run to the table at ``path``; events arrive a little after the run itself."""
+        self.ended.setdefault(run_id, threading.Event()).wait(timeout)
+        rows = spark.createDataFrame(self.rows.pop(run_id, []), PROGRESS_DDL)
+        rows.coalesce(1).write.mode("append").parquet(path)
+        return spark.read.schema(PROGRESS_DDL).parquet(path)
+
+
+def run_to_table(
+    df: DataFrame, label: str, mode: str = "append", path: str | None = None, listener: ProgressListener | None = None
+) -> DataFrame:
+    """Run a stream over all available input and read its rows back from the shared folder (or ``path``, to go on there).
 
-    In update mode the rows of every batch are kept with their ``batch`` number.
+    In update mode the rows of every batch are kept with their ``batch`` number. A ``listener`` gets the progress of the
+    run, which is appended to the table ``progress`` beside the data.
     """
     spark = df.sparkSession
-    path = scale.scratch_path(spark, label)
+    path = path or scale.scratch_path(spark, label)
+    if listener is not None:
+        spark.streams.addListener(listener)
 
     def write(batch: DataFrame, batch_id: int) -> None:
         batch.write.mode("overwrite").parquet(f"{path}/data/batch={batch_id}")
@@ -197,7 +378,13 @@ def run_to_table(df: DataFrame, label: str, mode: str = "append") -> DataFrame:
         .trigger(availableNow=True)
         .start()
     )
-    query.awaitTermination()
+    try:
+        query.awaitTermination()
+        if listener is not None:
+            listener.write(spark, str(query.runId), f"{path}/progress")
+    finally:
+        if listener is not None:
+            spark.streams.removeListener(listener)
     return spark.read.parquet(f"{path}/data")
 
 

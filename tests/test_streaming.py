@@ -69,6 +69,55 @@ def test_live_objects(spark):
     ]
 
 
+EVENTS = "process_id BIGINT, address STRING, op STRING, size BIGINT, ts TIMESTAMP, seq BIGINT"
+
+
+def _append(spark, path, df):
+    """Add a file and return the stream of all files so far."""
+    df.coalesce(1).write.mode("append").parquet(path)
+    return spark.readStream.schema(df.schema).option("maxFilesPerTrigger", 1).parquet(path)
+
+
+def test_live_objects_with_late_events_over_batches(spark):
+    import random
+
+    from defectlake.operators import heap
+
+    rng = random.Random(5)
+    data = [(1 + i % 2, f"0x{rng.randrange(4)}", rng.choice(["malloc", "free", "realloc"]), rng.randrange(90), 1_700_000_000 + 20 * i, i) for i in range(90)]
+    moved = sorted(data, key=lambda r: r[4] + rng.randrange(500))  # up to eight minutes late
+    df = spark.createDataFrame(moved, EVENTS.replace("ts TIMESTAMP", "ts BIGINT")).withColumn("ts", F.timestamp_seconds("ts"))
+    want = rows(heap.live_objects(df), "process_id", "address", "live", "size", "mallocs", "frees", "double_frees", "unmatched_frees")
+    path, run = scale.scratch_path(spark, "late"), scale.scratch_path(spark, "run")
+    for start in range(0, 90, 30):
+        part = spark.createDataFrame(moved[start : start + 30], EVENTS.replace("ts TIMESTAMP", "ts BIGINT")).withColumn("ts", F.timestamp_seconds("ts"))
+        stream = streams.stream_live_objects(_append(spark, path, part))
+        updates = streams.run_to_table(stream, "live", "update", path=run)
+    got = streams.latest_rows(updates, ["process_id", "address"])
+    assert rows(got, "process_id", "address", "live", "size", "mallocs", "frees", "double_frees", "unmatched_frees") == want
+
+
+def test_leading_edge_and_progress(spark):
+    def part(*seconds):
+        data = [("p", 1_700_000_000 + s, f"f{s}") for s in seconds]
+        return spark.createDataFrame(data, "project STRING, ts BIGINT, path STRING").withColumn("ts", F.timestamp_seconds("ts"))
+
+    parts = part(0, 1, 1), part(3, 2, 6, 6), part(5, 70, 71), part(200)
+    found = []
+    for cuts in (1, 4):
+        path, run, listener = scale.scratch_path(spark, "in"), scale.scratch_path(spark, "run"), streams.ProgressListener()
+        whole = parts[0].unionByName(parts[1]).unionByName(parts[2]).unionByName(parts[3])
+        for df in (whole,) if cuts == 1 else parts:
+            stream = streams.debounce_leading(_append(spark, path, df), "3 seconds")
+            out = streams.run_to_table(stream, "requests", path=run, listener=listener)
+        found.append(rows(out.select((F.unix_timestamp("request_at") - 1_700_000_000).alias("at"), "paths"), "at", "paths"))
+        progress = spark.read.schema(streams.PROGRESS_DDL).parquet(f"{run}/progress")
+        assert progress.agg(F.sum("input_rows")).first()[0] == 11
+        # only the last change waits; the state of what came before has ended
+        assert progress.orderBy(F.desc("batch")).first()["state_rows"] == 1
+    assert found[0] == found[1] == sorted([(0, ["f0"]), (3, ["f3"]), (6, ["f6", "f6"]), (70, ["f70"])], key=str)
+
+
 def test_best_finding_over_batches(spark, sf_dir):
     found = d.findings(spark, sf_dir)
     base = scale.scratch_path(spark, "best")
@@ -78,3 +127,7 @@ def test_best_finding_over_batches(spark, sf_dir):
     assert rows(streams.best_findings(spark, f"{base}/t"), "scan_id", "fingerprint", "ord") == rows(
         dedupe_findings(found), "scan_id", "fingerprint", "ord"
     )
+    # one folder per part is named by the last commit, and folders that none names are gone
+    commit = streams._commit(spark, f"{base}/t")
+    assert set(streams._names(f"{base}/t/data")) <= set(commit.values()) | set(streams._commit(spark, f"{base}/t", 3).values()) | {3}
+    assert len(streams.best_findings(spark, f"{base}/t").inputFiles()) <= len(commit) * 8
