@@ -80,11 +80,11 @@ def _pack_rows(lengths: np.ndarray, capacity: int, slack: int, task: int, last:
     ]
 
 
-def _first_round(tokenizer: str, capacity: int, end_id: int, slack: int):
+def _first_round(tokenizer: str, capacity: int, end_id: int, slack: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        ids_of = encoder(tokenizer)
+        ids_of = encoder(tokenizer, special_as_text)
         task = TaskContext.get().partitionId()
         ids_col: list[pa.Array] = []
         piece, start, length, crc = [], [], [], []
@@ -138,15 +138,16 @@ def pack_documents(
     end_id: int = END_ID,
     slack: int = SLACK,
     fan_in: int = FAN_IN,
+    special_as_text: bool = False,
 ) -> DataFrame:
     """One row per piece of ``docs`` (doc_id, text) with its place in a packed sequence.
 
     Columns: doc_id, piece, start, length, ids_crc32, sequence_id, offset. A null or empty text is one
-    piece that holds the end id. Rows with equal or null doc_id are packed each by itself. Other
+    piece that holds the end id. The string of a special token in a text is that token, or text with ``special_as_text``. Rows with equal or null doc_id are packed each by itself. Other
     columns are not read. An empty table gives no rows.
     """
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    run = _first_round(tokenizer or default_tokenizer(), capacity, end_id, slack)
+    run = _first_round(tokenizer or default_tokenizer(), capacity, end_id, slack, special_as_text)
     pieces = store(narrow.transform(arrow_map, run, f"{PIECES}, {BINS}"), "pieces")
 
     # a bin starts with the piece at offset 0; underfull bins are the items of the next round

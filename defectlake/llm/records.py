@@ -63,12 +63,12 @@ def _open(path: str):
     return fs.FileSystem.from_uri(path)
 
 
-def _writer(folder: str, tokenizer: str, end_id: int):
+def _writer(folder: str, tokenizer: str, end_id: int, special_as_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
         task = TaskContext.get()
-        ids_of = encoder(tokenizer)
+        ids_of = encoder(tokenizer, special_as_text)
         id_bytes = 2 if max(ids_of.tokenizer.get_vocab_size(), end_id + 1) <= 1 << 16 else 4
         # an attempt never writes over the file of another one
         name = f"part-{task.partitionId():06d}-{task.taskAttemptId()}.rec"
@@ -106,11 +106,12 @@ def _writer(folder: str, tokenizer: str, end_id: int):
 
 
 def write_records(
-    docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID
+    docs: DataFrame, folder: str, tokenizer: str | None = None, end_id: int = END_ID, special_as_text: bool = False
 ) -> DataFrame:
     """Write ``docs`` (doc_id, text) as record files and index below ``folder``; return the index.
 
-    ``folder`` must be one that all executors share. A null text is empty and so holds the end id alone. Rows
+    ``folder`` must be one that all executors share. A null text is empty and so holds the end id alone. The string of a
+    special token in a text is that token, or text with ``special_as_text``. Rows
     with a null doc_id come first; rows of one doc_id follow each other, ordered by a hash of the text, and
     each has its own record. Other columns are not read. An empty table gives an empty index.
     """
@@ -121,7 +122,7 @@ def write_records(
         .sortWithinPartitions("doc_id", "ord")
         .select("doc_id", "ord", "text")
     )
-    writer = _writer(f"{folder}/data", tokenizer or default_tokenizer(), end_id)
+    writer = _writer(f"{folder}/data", tokenizer or default_tokenizer(), end_id, special_as_text)
     ordered.transform(arrow_map, writer, INDEX).write.parquet(f"{folder}/index")
     return read_index(docs.sparkSession, folder)
 

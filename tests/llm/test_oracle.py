@@ -28,5 +28,5 @@ def test_query_equals_sql(spark, sf_dir, name):
 
 def test_each_operator_has_one_query():
     numbers = sorted(int(name[2:].split("_")[0]) for name in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(ORACLE) <= set(QUERIES)

@@ -21,9 +21,7 @@ ROWS = [
 def tokenizer():
     from tokenizers import Tokenizer
 
-    own = Tokenizer.from_file(default_tokenizer())
-    own.encode_special_tokens = True
-    return own
+    return Tokenizer.from_file(default_tokenizer())
 
 
 @pytest.fixture(scope="module")
@@ -44,6 +42,43 @@ def test_encoder_equals_single_encodings(tokenizer, spark, sf_dir):
     assert [ids[a:b].tolist() for a, b in zip(ends[:-1], ends[1:])] == want
 
 
+def test_special_tokens_as_text():
+    import pyarrow as pa
+    from tokenizers import Tokenizer
+
+    plain = Tokenizer.from_file(default_tokenizer())
+    plain.encode_special_tokens = True
+    text = "<|endoftext|> a b   c<|endoftext|>"
+    assert encoder(default_tokenizer(), True).texts(pa.array([text]))[0].tolist() == plain.encode(text, add_special_tokens=False).ids
+    assert 50256 in encoder(default_tokenizer()).texts(pa.array([text]))[0].tolist()
+
+
+def test_a_tokenizer_of_another_kind_encodes_whole_texts(tmp_path):
+    import pyarrow as pa
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    other = Tokenizer(models.WordLevel({"a b": 0, "a": 1, "b": 2, "?": 3}, unk_token="?"))
+    other.pre_tokenizer = pre_tokenizers.Punctuation()
+    other.save(str(tmp_path / "other.json"))
+    ids, ends = encoder(str(tmp_path / "other.json")).texts(pa.array(["a b", "a", "b.a", None]))
+    assert [ids[x:y].tolist() for x, y in zip(ends, ends[1:])] == [[0], [1], [2, 3, 1], []]
+
+
+def test_odd_spaces_equal_single_encodings(tokenizer):
+    import random
+
+    import pyarrow as pa
+
+    rng = random.Random(3)
+    parts = ["a", "B", "é", "日", "🎉", " ", "  ", "\n", "\t", "'s", "1", "23", ".", ",", "\x0b", "\x1c", "\x85", "\u3000", " ", " ", "the", "<|endoftext|>", "Ġ"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randrange(25))) for _ in range(3000)]
+    own = encoder(default_tokenizer())
+    for start in range(0, len(texts), 100):
+        ids, ends = own.texts(pa.array(texts[start : start + 100]))
+        for text, a, b in zip(texts[start : start + 100], ends, ends[1:]):
+            assert ids[a:b].tolist() == tokenizer.encode(text, add_special_tokens=False).ids, text
+
+
 def test_pieces_and_sequences(docs, tokenizer):
     got = packing.pack_documents(docs, capacity=64, slack=2).collect()
     want = []
