@@ -89,6 +89,23 @@ def export_json(spark, sf_dir):
     )
 
 
+@query(
+    d.FINDINGS_CTE
+    + """, day AS (SELECT strftime(ts, '%Y-%m-%d') AS scan_id, count(*) AS findings, sum(bytes_leaked) AS bytes_leaked,
+  list_sort(list(DISTINCT severity)) AS severities FROM findings_d GROUP BY 1)
+SELECT scan_id, '{"scan_id":"' || scan_id || '","findings":' || findings || coalesce(',"bytes_leaked":' || bytes_leaked, '')
+  || ',"severities":["' || array_to_string(severities, '","') || '"]}' AS value FROM day"""
+)
+def export_scan_json(spark, sf_dir):
+    """The JSON document of every day's scan header."""
+    day = F.date_format("discovered_at", "yyyy-MM-dd").alias("scan_id")
+    scans = d.findings(spark, sf_dir).groupBy(day).agg(
+        F.count(F.lit(1)).alias("findings"), F.sum("bytes_leaked").alias("bytes_leaked"),
+        F.array_sort(F.collect_set("severity")).alias("severities"),
+    )
+    return export.export_json(scans)
+
+
 @query(
     d.FINDINGS_CTE
     + """SELECT scan_id, ord, bug_type, severity, fp AS fingerprint, bytes_leaked, CAST(3 AS INTEGER) AS frames FROM deduped_d"""

@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from defectlake.catalog import derived as d
 from defectlake.catalog.registry import Registry
-from defectlake.functions.text import format_bytes, lenient_json, parse_size
+from defectlake.functions.text import clamp_confidence as clamp, format_bytes, lenient_json, parse_size
 from defectlake.operators import enrich, stats
 from defectlake.sources import heap_text, reports, scans
 
@@ -457,6 +457,16 @@ def lenient_json_text(spark, sf_dir):
     return e.select("event_id", "k", F.try_variant_get(lenient_json(text), "$.k", "int").alias("parsed"))
 
 
+@query(
+    _E + "SELECT event_id, CASE k % 5 WHEN 0 THEN 'high' WHEN 1 THEN 'low' ELSE 'medium' END AS confidence FROM e"
+)
+def clamp_confidence(spark, sf_dir):
+    """Stated confidences, some of them in other words or missing."""
+    e = _events(spark, sf_dir)
+    stated = _pick(F.col("k") % 5, "high", "low", "medium", "HIGH")  # the fifth is missing
+    return e.select("event_id", clamp(stated).alias("confidence"))
+
+
 # -- enrichment -------------------------------------------------------------------------------
 @query(
     d.FINDINGS_CTE

@@ -161,9 +161,9 @@ def cap_findings(df: DataFrame, n: int | None = None) -> DataFrame:
 
 def page(df: DataFrame, number: int, size: int, keys=("scan_id",)) -> DataFrame:
     """Rows of one 0-based page per scan in priority order, each with the scan's ``total``."""
-    placed = scale.ordered_position(df, list(keys), rank_order(), "position")
-    low = number * size
-    hit = placed.where((F.col("position") > low) & (F.col("position") <= low + size))
+    # pages up to this one are all that has to be put in order
+    placed = scale.top_n(df, list(keys), rank_order(), (number + 1) * size, salt=["ord"], rank_col="position")
+    hit = placed.where(F.col("position") > number * size)
     totals = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("total"))
     return hit.join(totals, list(keys))
 
