@@ -22,7 +22,7 @@ HEADLINE = (
     "heap_profile", "heap_running", "flame_layers", "allocation_by_line", "attach_source_context",
     "extract_functions", "flow_calls", "dataflow_edges", "scan_c_rules", "classify_lines",
     "leak_feasibility", "locate_fix", "propagate_taint", "reachability_closure", "export_sarif",
-    "stream_scan_stats",
+    "stream_scan_stats", "live_objects", "stream_live_objects", "stream_findings",
 )
 
 
