@@ -64,6 +64,8 @@ def text_slices(
             stop = max(start + 1, int(np.searchsorted(ends, before + size, side="right")))
             yield batch.slice(start, stop - start)
             start = stop
+    # the worker serves other tasks later; what this one no longer needs goes back
+    pa.default_memory_pool().release_unused()
 
 
 def ragged_index(starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

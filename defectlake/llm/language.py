@@ -24,7 +24,7 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from defectlake.llm.common import arrow_map, documents, text_slices
+from defectlake.llm.common import arrow_map, documents, send_package, text_slices
 
 ORDER = 4
 #: documented bound of the sample: letters of labelled text, per language, that the models are made from (as
@@ -337,22 +337,28 @@ def _calibration(model: Model):
     return run
 
 
+def _judge(model: Model, texts: pa.Array) -> tuple[list[str], np.ndarray, np.ndarray, np.ndarray]:
+    """Language, score, bits per letter and whether it is rejected, of each of some texts."""
+    n = len(texts)
+    lang, score, bits, rejected = [UNKNOWN] * n, np.zeros(n), np.zeros(n), np.ones(n, bool)
+    if model.langs:
+        mean, _, letters = model.score(pc.fill_null(texts, "").to_pylist())
+        best = mean.argmin(axis=1)
+        bits = mean[np.arange(n), best]
+        # posterior of equally likely languages; a text of many letters counts as 20
+        weight = np.minimum(letters, 20)[:, None]
+        score = 1 / np.exp2(-(mean - bits[:, None]) * weight).sum(axis=1)
+        limit = model.mean[best] + REJECT_BITS + REJECT_SIGMAS * model.deviation[best] / np.sqrt(np.maximum(letters, 1))
+        rejected = (letters == 0) | (bits > limit)
+        lang = [model.langs[k] if m else UNKNOWN for k, m in zip(best, letters)]
+        score, bits = np.where(letters > 0, score, 0.0), np.where(letters > 0, bits, 0.0)
+    return lang, score, bits, rejected
+
+
 def _predict(model: Model, with_text: bool):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for part in text_slices(batches, size=SLICE):
-            n = part.num_rows
-            lang, score, bits, rejected = [UNKNOWN] * n, np.zeros(n), np.zeros(n), np.ones(n, bool)
-            if model.langs:
-                mean, _, letters = model.score(pc.fill_null(part.column("text"), "").to_pylist())
-                best = mean.argmin(axis=1)
-                bits = mean[np.arange(n), best]
-                # posterior of equally likely languages; a text of many letters counts as 20
-                weight = np.minimum(letters, 20)[:, None]
-                score = 1 / np.exp2(-(mean - bits[:, None]) * weight).sum(axis=1)
-                limit = model.mean[best] + REJECT_BITS + REJECT_SIGMAS * model.deviation[best] / np.sqrt(np.maximum(letters, 1))
-                rejected = (letters == 0) | (bits > limit)
-                lang = [model.langs[k] if m else UNKNOWN for k, m in zip(best, letters)]
-                score, bits = np.where(letters > 0, score, 0.0), np.where(letters > 0, bits, 0.0)
+            lang, score, bits, rejected = _judge(model, part.column("text"))
             kept = [c for c in part.schema.names if with_text or c != "text"]
             yield pa.RecordBatch.from_arrays(
                 [*(part.column(c) for c in kept), pa.array(lang, pa.string()), pa.array(score), pa.array(bits), pa.array(rejected)],
@@ -362,6 +368,15 @@ def _predict(model: Model, with_text: bool):
     return run
 
 
+def _known(model: Model):
+    def run(texts: pa.Array) -> pa.Array:
+        slices = text_slices(iter([pa.RecordBatch.from_arrays([texts], ["text"])]), size=SLICE)
+        known = [~_judge(model, part.column("text"))[3] for part in slices]
+        return pa.array(np.concatenate(known) if known else np.empty(0, bool))
+
+    return run
+
+
 def _scored(docs: DataFrame, model: Model, keep: list[str]) -> tuple[DataFrame, list[Column]]:
     """Predictions beside the columns ``keep``, which go by numbers here so that no name clashes."""
     inner = {c: "text" if c == "text" else f"c{i}" for i, c in enumerate(keep)}
@@ -384,9 +399,10 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ("doc_id",))
 
 
 def of_known_language(docs: DataFrame, model: Model) -> DataFrame:
-    """The rows of ``docs`` that aren't rejected, all columns as they are."""
-    scored, columns = _scored(docs, model, docs.columns)
-    return scored.where(~F.col("rejected")).select(*columns)
+    """The rows of ``docs`` that aren't rejected, all columns as they are; only the text goes to Python."""
+    send_package(docs.sparkSession)
+    known = F.arrow_udf(_known(model), "boolean")
+    return docs.where(known(F.col("text").cast("string")))
 
 
 def held_out(doc_id: Column) -> Column:

@@ -31,6 +31,8 @@ SIMILARITY = 0.8
 #: 40 bands of 8 slots find a pair of similarity 0.8 with probability 0.9994
 BANDS, ROWS = 40, 8
 SLICE = 2 << 20
+#: arrivals that are drawn at once
+ARRIVALS = 1 << 19
 _MULTIPLIER = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -116,18 +118,22 @@ def signatures(text: np.ndarray, value: np.ndarray, weights: np.ndarray, n_texts
     last = np.full(n_texts, np.inf)
     step = 1
     while len(text):
-        numbers = drawn[:, None] + np.arange(1, step + 1, dtype=np.uint64)
-        random = _mix(value[:, None] + numbers * _MULTIPLIER)
-        gap = -np.log(((random >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weights[:, None]
-        times = time[:, None] + np.cumsum(gap, axis=1)
-        slot = (_mix(random) % np.uint64(m)).astype(np.int64) + (text * m)[:, None]
-        # a time's bits sort as the time does, so one minimum keeps the time and its shingle
-        packed = times.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)
-        np.minimum.at(slots, slot.ravel(), (packed | (value >> np.uint64(32))[:, None]).ravel())
+        after = np.empty(len(text))
+        for low in range(0, len(text), ARRIVALS // step):
+            some = slice(low, low + ARRIVALS // step)
+            numbers = drawn[some, None] + np.arange(1, step + 1, dtype=np.uint64)
+            random = _mix(value[some, None] + numbers * _MULTIPLIER)
+            gap = -np.log(((random >> np.uint64(11)).astype(np.float64) + 0.5) * 2.0**-53) / weights[some, None]
+            times = time[some, None] + np.cumsum(gap, axis=1)
+            slot = (_mix(random) % np.uint64(m)).astype(np.int64) + (text[some] * m)[:, None]
+            # a time's bits sort as the time does, so one minimum keeps the time and its shingle
+            packed = times.astype(np.float32).view(np.uint32).astype(np.uint64) << np.uint64(32)
+            np.minimum.at(slots, slot.ravel(), (packed | (value[some] >> np.uint64(32))[:, None]).ravel())
+            after[some] = times[:, -1]
         filled = slots.reshape(n_texts, m).max(axis=1) >> np.uint64(32)
         empty = filled == np.uint64(0xFFFFFFFF)
         last = np.where(empty, np.inf, filled.astype(np.uint32).view(np.float32))
-        time = times[:, -1]
+        time = after
         going = time < last[text]
         text, value, weights, time, drawn = text[going], value[going], weights[going], time[going], drawn[going] + np.uint64(step)
         step = min(16, step * 2)
