@@ -53,7 +53,7 @@ class Automaton:
         n = len(edges)
         self.dead = n  # from here on the word is unknown
         step = np.full((n + 1, 256), self.dead, dtype=np.int32)
-        given = np.zeros((n + 1, 256), dtype=np.uint8)
+        given = np.zeros((n + 1, 256), dtype=np.int32)
         # link[v]: node of the rest after giving out pops[v] pieces; -1 if greedy matching is stuck
         link, pops = np.full(n, -1, dtype=np.int64), np.zeros(n, dtype=np.int64)
         layer = [(0, -1, 0), (1, -1, 0)]
@@ -89,6 +89,8 @@ class Automaton:
                 count, rest = count + int(pops[rest]), int(link[rest])
             ends[node] = count if rest <= 1 else -1
         ends[self.dead] = -1
+        # a byte can give out as many pieces as the longest piece has bytes; most vocabularies need 8 bits for that
+        given = given.astype(np.min_scalar_type(int(given.max())))
         self.step, self.given, self.ends = step.ravel(), given.ravel(), ends
 
     def count(self, data: np.ndarray, starts: np.ndarray, lengths: np.ndarray) -> np.ndarray:

@@ -28,6 +28,15 @@ def _count(machine, words):
     return machine.count(data, np.cumsum(lengths) - lengths, lengths).tolist()
 
 
+def test_pieces_longer_than_a_small_number():
+    pieces = {b"a", b"c", b"a" * 300 + b"b", b"a" * 900 + b"d"}
+    words = [b"a" * 300 + b"c", b"a" * 300 + b"b", b"a" * 900 + b"c", b"a" * 900 + b"d", b"b", b""]
+    machine = t.Automaton(pieces, pieces)
+    assert _count(machine, words) == [301, 1, 901, 1, 1, 0]
+    small = t.Automaton({b"ab", b"a"}, {b"b"})
+    assert small.given.dtype == np.uint8
+
+
 @pytest.mark.parametrize("seed", range(12))
 def test_random_vocabularies(seed):
     rng = random.Random(seed)
