@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import json
 from functools import lru_cache
+from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
@@ -69,7 +70,9 @@ class Encoder:
     def _learn(self, words: list[str]) -> None:
         """Ids of unseen words after a space."""
         alone = [w for w in words if not w or w[-1].isspace()]
-        words = [w for w in words if w and not w[-1].isspace()]
+        if alone:  # at the end of texts only, so there are few
+            rest = set(alone)
+            words = [w for w in words if w not in rest]
         texts = ["".join([" " + w for w in words[i : i + TOGETHER]]) for i in range(0, len(words), TOGETHER)]
         for i, encoding in enumerate(self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)):
             own = words[i * TOGETHER : (i + 1) * TOGETHER]
@@ -85,12 +88,13 @@ class Encoder:
             self._keep(*self._each([" " + w for w in alone]))
 
     def _places(self, known: dict[str, int], pieces: list[str], learn) -> np.ndarray:
-        places = [known.get(p, -1) for p in pieces]
-        unseen = [p for p, place in zip(pieces, places) if place < 0]
-        if unseen:
-            learn(unseen)
-            places = [known[p] for p in pieces]
-        return np.array(places, dtype=np.int64)
+        places = np.fromiter(map(known.get, pieces, repeat(-1)), np.int64, len(pieces))
+        unseen = np.flatnonzero(places < 0)
+        if len(unseen):
+            fresh = [pieces[i] for i in unseen.tolist()]
+            learn(fresh)
+            places[unseen] = np.fromiter(map(known.__getitem__, fresh), np.int64, len(fresh))
+        return places
 
     def _learn_heads(self, pieces: list[str]) -> None:
         self.heads.update(zip(pieces, range(len(self.size), len(self.size) + len(pieces))))
