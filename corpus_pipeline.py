@@ -3,6 +3,11 @@
 Documents of a language that none of the models knows go; of each near-duplicate class one document stays; documents
 that hold test items go; secrets are masked in the texts that stay; those are packed into sequences. Every stage is
 written as Parquet below ``spark.checkpoint.dir`` and read again as the next one's documents.
+
+A document whose text is null or has no letter goes with the first stage. Repeated rows and exact copies are one class, of which
+the row with the least doc_id stays (a null doc_id before all). Later stages find rows by doc_id and text, so repeated ones
+share a decision. Other columns pass through the first four stages whatever their names are. Texts are worked on whole;
+an empty table gives empty tables.
 """
 
 from __future__ import annotations
@@ -19,6 +24,12 @@ from defectlake.llm.secret_scan import redacted, scan_versions
 from defectlake.scale import scratch_path
 
 
+def _keyed(docs: DataFrame) -> DataFrame:
+    """Rows as one column, beside the keys by which a stage's decisions find them: no name of ``docs`` can clash."""
+    row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row")
+    return docs.select(row, id_key(F.col("doc_id")).alias("__id"), F.xxhash64("text").alias("__hash"))
+
+
 def language_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Keep documents that the language models don't reject; ``lang`` stays as given."""
     return of_known_language(docs, train(docs))
@@ -33,8 +44,7 @@ def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
     """Drop documents that hold a passage of ``benchmark``."""
     found = contaminated(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
     held = store(found.select(id_key(F.col("doc_id")).alias("__id"), F.col("text_hash").alias("__hash")).distinct(), "held")
-    keyed = docs.withColumns({"__id": id_key(F.col("doc_id")), "__hash": F.xxhash64("text")})
-    return keyed.join(held.hint("shuffle_hash"), ["__id", "__hash"], "left_anti").select(*docs.columns)
+    return _keyed(docs).join(held.hint("shuffle_hash"), ["__id", "__hash"], "left_anti").select("__row.*")
 
 
 def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -46,14 +56,15 @@ def secret_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
         .dropDuplicates(["__id", "__hash"]),
         "spans",
     )
-    keyed = docs.withColumns({"__id": id_key(F.col("doc_id")), "__hash": F.xxhash64("text")})
-    masked = keyed.join(spans.hint("shuffle_hash"), ["__id", "__hash"], "left").withColumn(
-        "text", F.when(F.col("spans").isNull(), F.col("text")).otherwise(redacted(F.col("text"), F.col("spans")))
-    )
+    found, row = F.col("spans"), F.col("__row")
+    length = F.length("__text")
+    new = {"text": F.col("__text")}
     if "n_chars" in docs.columns:
-        length = F.length("text").cast(docs.schema["n_chars"].dataType)
-        masked = masked.withColumn("n_chars", F.when(F.col("spans").isNull(), F.col("n_chars")).otherwise(length))
-    return masked.select(*docs.columns)
+        kind = docs.schema["n_chars"].dataType
+        new["n_chars"] = F.when(found.isNull(), row["n_chars"]).otherwise(length.cast(kind))
+    text = F.when(found.isNull(), row["text"]).otherwise(redacted(row["text"], found))
+    masked = _keyed(docs).join(spans.hint("shuffle_hash"), ["__id", "__hash"], "left").withColumn("__text", text)
+    return masked.select(*[new.get(c, row[c]).alias(c) for c in docs.columns])
 
 
 def packing_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 import pytest
+from pyspark.sql import functions as F
 
 from defectlake.llm.common import store
 
@@ -58,3 +59,25 @@ def test_empty_documents(spark, sf_dir):
     for _, stage in corpus_pipeline.STAGES:
         docs = stage(spark, docs, sf_dir)
         assert docs.count() == 0
+
+
+def test_repeated_rows_long_texts_and_extra_columns(spark, sf_dir):
+    given = spark.read.parquet(f"{sf_dir}/documents.parquet").where("doc_id < 60")
+    long = given.limit(1).select(
+        F.lit(700001).cast("bigint").alias("doc_id"), F.repeat(F.lit("that the long text of this and more with "), 20_000).alias("text"),
+        "lang", "source", F.lit(820_000).cast("bigint").alias("n_chars"),
+    )
+    names = ("words", "node", "spans", "score", "start", "part", "n", "label")
+    docs = given.unionByName(given).unionByName(long).select("*", *[F.lit(i).alias(name) for i, name in enumerate(names)])
+    stage_of = dict(corpus_pipeline.STAGES)
+    language = store(stage_of["language"](spark, docs, sf_dir), "language")
+    assert language.columns == docs.columns and language.where("doc_id = 700001").count() == 1
+    single = store(stage_of["near_duplicates"](spark, language, sf_dir), "single")
+    ids = [r.doc_id for r in single.select("doc_id").collect()]
+    assert len(ids) == len(set(ids)) and 700001 in ids and single.columns == docs.columns
+    clean = store(stage_of["decontamination"](spark, single, sf_dir), "clean")
+    masked = store(stage_of["secrets"](spark, clean, sf_dir), "masked")
+    assert masked.columns == docs.columns and _ids(masked) == _ids(clean) and 700001 in _ids(masked)
+    assert masked.select(*names).distinct().collect()[0] == tuple(range(len(names)))
+    packed = stage_of["packing"](spark, masked, sf_dir)
+    assert _ids(packed) == _ids(masked) and packed.where("doc_id = 700001").count() > 100
