@@ -28,15 +28,15 @@ from defectlake.scale import HEAVY_ROWS, skewed_lookup
 
 COSINE = 0.95
 #: points of a block, about
-BLOCK = 4096
+BLOCK = 8192
 #: vectors of the sample that gives the cells; the bound on what comes to the driver
 SAMPLE = 4096
 #: nodes below one upper node that has no blocks below it
 FAN_OUT = 16
 #: distances within this of a bound are decided by the cosine itself
 MARGIN = 1e-6
-#: node pairs that are worked on at once
-CHUNK = 1 << 16
+#: node pairs that are worked on at once, one by one and as a product of matrices
+CHUNK, BAND = 1 << 16, 1 << 21
 #: a block's number is its task's times this and its place in the task, a point's its block's and its place in the block
 BLOCKS, PLACES = 1 << 20, 1 << 16
 
@@ -199,9 +199,10 @@ class Pair:
             # many children against many: a product of matrices, band by band; few: pair by pair
             large = size >= CHUNK // 16
             for i in np.flatnonzero(large).tolist():
-                for low in range(0, int(wide_a[i]), 1024):
-                    rows = np.arange(first_a[i] + low, first_a[i] + min(low + 1024, int(wide_a[i])))
-                    columns = np.arange(first_b[i], first_b[i] + wide_b[i])
+                columns = np.arange(first_b[i], first_b[i] + wide_b[i])
+                band = max(1, BAND // len(columns))
+                for low in range(0, int(wide_a[i]), band):
+                    rows = np.arange(first_a[i] + low, first_a[i] + min(low + band, int(wide_a[i])))
                     cosine = self.a.x[self.a.nodes[rows, 0]] @ self.b.x[self.b.nodes[columns, 0]].T
                     reach = (self.distance + self.a.radius[rows])[:, None] + self.b.radius[columns][None, :]
                     at = np.flatnonzero(chord(cosine) <= reach + MARGIN)
