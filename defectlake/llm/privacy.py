@@ -6,7 +6,9 @@ many it occurs together with an entity; the disclosure of entity e by term t is
 information, log(p(e|t) / p(e)) / -log p(e): 1 if the term occurs nowhere without the entity, 0 if it says nothing.
 p(e|t) counts SMOOTHING documents more that have the term without the entity, so that one document proves less than
 many. Each document counts, copies too. A term that discloses an entity by GENERALISE_FROM or more is replaced by its
-outline, by REMOVE_FROM or more it is removed.
+outline, by REMOVE_FROM or more it is removed. In a large corpus the information alone is high for any rare term that once stood
+beside an entity, so the entity must also hold LIKELY_FROM of the term's documents: where a term goes, the entity is as
+likely as not.
 """
 
 from __future__ import annotations
@@ -16,11 +18,16 @@ from pyspark.sql import functions as F
 
 from defectlake.llm.common import documents, store
 from defectlake.llm.spans import Kind, kind_spans, listed, masked, no_spans, of_kinds, places
+from defectlake.scale import salted_lookup
 
 #: documents with a term and without the entity that are added to what was counted
 SMOOTHING = 1.0
 GENERALISE_FROM = 0.8
 REMOVE_FROM = 0.95
+#: least share of a term's documents that hold the entity it discloses
+LIKELY_FROM = 0.5
+#: (text, term) pairs, of 16 bytes, that are sent to every executor at most
+SENT_PAIRS = 500_000
 #: letters of a term
 TERM_LETTERS = 4
 TERM = rf"\p{{L}}{{{TERM_LETTERS},}}"
@@ -107,9 +114,13 @@ def _term_hashes(blanked: Column) -> Column:
 
 
 def disclosing_terms(
-    terms: DataFrame, private: DataFrame, smoothing: float = SMOOTHING, generalise_from: float = GENERALISE_FROM
+    terms: DataFrame,
+    private: DataFrame,
+    smoothing: float = SMOOTHING,
+    generalise_from: float = GENERALISE_FROM,
+    likely_from: float = LIKELY_FROM,
 ) -> DataFrame:
-    """(term_hash, disclosure) of the terms at or over the threshold, with the entity that each discloses most.
+    """(term_hash, disclosure) of the terms at or over both thresholds, with the entity that each discloses most.
 
     ``terms`` (term_hashes) has a row for each document of the corpus, ``private`` (text_hash, entities, term_hashes) for
     each with an entity.
@@ -127,7 +138,8 @@ def disclosing_terms(
     p_entity = F.least(F.col("n_entity") / total, F.lit(0.5))
     # no pair of the entity can reach the threshold with a term of more documents
     sized = held.groupBy("entity").agg(F.sum("copies").alias("n_entity")).withColumn(
-        "most", F.col("n_entity") * F.pow(p_entity, F.lit(generalise_from - 1.0)) * (1 + 1e-9)
+        "most",
+        F.col("n_entity") * F.least(F.pow(p_entity, F.lit(generalise_from - 1.0)), F.lit(1 / likely_from)) * (1 + 1e-9),
     )
     sized = store(held.join(sized, "entity"), "sized")
     bounds = sized.groupBy("text_hash").agg(F.max("most").alias("most_of_text"))
@@ -142,24 +154,33 @@ def disclosing_terms(
         rare.join(sized, "text_hash").where("n_term <= most")
         .groupBy("entity", "term_hash")
         .agg(F.sum("copies").alias("n_both"), F.first("n_term").alias("n_term"), F.first("n_entity").alias("n_entity"))
+        .where(F.col("n_both") >= likely_from * F.col("n_term"))
         .select("term_hash", (F.log(p_given / p_entity) / -F.log(p_entity)).alias("disclosure"))
         .where(F.col("disclosure") >= generalise_from)
         .groupBy("term_hash").agg(F.max("disclosure").alias("disclosure"))
     )
 
 
+def _met(left: DataFrame, right: DataFrame, key: str, salt: str, how: str, pairs: int) -> DataFrame:
+    """Join with a ``right`` of so many pairs: sent whole while they are few, else by salted keys."""
+    if pairs <= SENT_PAIRS:
+        return left.join(F.broadcast(right), key, how)
+    return salted_lookup(left, right, [key], [salt], how)
+
+
 def sanitise(
     docs: DataFrame,
     smoothing: float = SMOOTHING,
     generalise_from: float = GENERALISE_FROM,
     remove_from: float = REMOVE_FROM,
     everywhere: bool = False,
+    likely_from: float = LIKELY_FROM,
 ) -> DataFrame:
     """Spans and sanitised text of each row of ``docs`` (doc_id, text).
 
     Returns doc_id, spans (identifiers, then ``term`` for generalised and ``term_removed`` for removed terms, sorted)
     and sanitised. Disclosing terms are marked wherever they stand in a text with identifiers, and with ``everywhere``
-    in all texts. A null text is empty. Rows with equal or null doc_id are kept, each with the spans of its own text.
+    in all texts. Whole texts of any length are searched. A null text is empty. Rows with equal or null doc_id are kept, each with the spans of its own text.
     Other columns are not read. An empty table gives no rows.
     """
     whole = docs.select(
@@ -172,11 +193,11 @@ def sanitise(
     free = clean.withColumn("term_hashes", _term_hashes(F.col("text")))
     terms = told.select("text_hash", "term_hashes").unionByName(free.select("text_hash", "term_hashes"))
     holders = told.select("text_hash", _entities(F.col("text"), F.col("spans")).alias("entities"), "term_hashes")
-    pairs = store(disclosing_terms(terms, holders, smoothing, generalise_from), "disclosing")
+    pairs = store(disclosing_terms(terms, holders, smoothing, generalise_from, likely_from), "disclosing")
     searched = terms if everywhere else told.select("text_hash", "term_hashes")
+    exploded = searched.select("text_hash", F.explode("term_hashes").alias("term_hash"))
     hits = store(
-        searched.select("text_hash", F.explode("term_hashes").alias("term_hash"))
-        .join(pairs, "term_hash")
+        _met(exploded, pairs, "term_hash", "text_hash", "inner", pairs.count())
         .groupBy("text_hash")
         .agg(F.collect_set(F.struct("term_hash", "disclosure")).alias("list"))
         # a map is searched from its start, so a text with n terms has about sqrt(n) maps
@@ -195,6 +216,8 @@ def sanitise(
         own, key = F.col("hits"), F.xxhash64(F.lower(match))
         return own[F.pmod(key, F.size(own)).cast("int")][key]
 
+    n_hits = hits.agg(F.sum(F.aggregate("hits", F.lit(0), lambda n, m: n + F.size(m)))).first()[0] or 0
+
     def mark(rows: DataFrame) -> DataFrame:
         text, spans, own = F.col("text"), F.col("spans"), F.col("hits")
         placed = F.transform(
@@ -204,7 +227,7 @@ def sanitise(
                 F.when(told_by(p["match"]) >= remove_from, "term_removed").otherwise("term").alias("kind"),
             ),
         )
-        return rows.join(hits, "text_hash", "left").select(
+        return _met(rows, hits, "text_hash", "doc_id", "left", n_hits).select(
             "doc_id", "text", F.when(own.isNull(), spans).otherwise(F.array_sort(F.concat(spans, placed))).alias("spans")
         )
 
