@@ -2,8 +2,9 @@ r"""Chat formatting by schema fingerprints, in DataFrame functions only.
 
 A record is a JSON text of any layout. Its fingerprint is a hash of its nested field paths, without
 types, so that a null, a number and a string in a field give the same one. A fingerprint selects a layout: a
-declared expression that turns the record into (role, text) pairs. Records of a layout that no one has
-declared are kept apart, with their paths, for someone to declare.
+declared expression that turns the record into (role, text) pairs. A record with further fields has a fingerprint of its own;
+it takes the first layout whose required fields it has as text. The rest, such as messages whose content is a list, are kept
+apart and listed with their paths (``rejected_records``), for someone to declare.
 
 The template writes ``<turn role="ROLE">TEXT</turn>`` and a line end for each turn. In roles and texts a
 backslash is written ``\\``, ``<`` is ``\l`` and ``"`` is ``\q``, so no text can close a turn or open one, and
@@ -28,11 +29,29 @@ WHOLE = 0
 
 @dataclass(frozen=True)
 class Layout:
-    """``examples`` are records whose paths have this layout; ``turns`` is SQL over the variant ``v``."""
+    """``examples`` are records whose paths have this layout; ``turns`` is SQL over the variant ``v``.
+
+    ``needs`` is SQL over ``v`` that tells of a record with other fields, too, whether it has what the layout requires.
+    """
 
     name: str
     examples: tuple[str, ...]
     turns: str
+    needs: str = "false"
+
+
+def _texts(*names: str) -> str:
+    """Fields that are there and are text."""
+    return " AND ".join(f"schema_of_variant(variant_get(v, '$.{n}')) = 'STRING'" for n in names)
+
+
+def _texts_in(field: str, first: str, second: str) -> str:
+    """A list whose items all have text in two fields, named in order."""
+    more = "([^<>]*, )?"
+    return (
+        f"schema_of_variant(variant_get(v, '$.{field}')) "
+        f"RLIKE '^ARRAY<OBJECT<{more}{first}: STRING, {more}{second}: STRING[,>]'"
+    )
 
 
 def _string(path: str) -> str:
@@ -40,35 +59,41 @@ def _string(path: str) -> str:
 
 
 LAYOUTS = (
-    Layout("turn", ('{"turn": 0, "role": "", "text": ""}',), f"array(struct({_string('$.role')}, {_string('$.text')}))"),
+    Layout("turn", ('{"turn": 0, "role": "", "text": ""}',), f"array(struct({_string('$.role')}, {_string('$.text')}))",
+           _texts("role", "text")),
     Layout(
         "messages",
         ('{"messages": [{"role": "", "content": ""}]}', '{"messages": []}'),
         "transform(variant_get(v, '$.messages', 'array<struct<role:string,content:string>>'), m -> struct(m.role, m.content))",
+        _texts_in("messages", "content", "role"),
     ),
     Layout(
         "from_value",
         ('{"conversations": [{"from": "", "value": ""}]}', '{"conversations": []}'),
         "transform(variant_get(v, '$.conversations', 'array<struct<`from`:string,`value`:string>>'), "
         "m -> struct(CASE m.`from` WHEN 'human' THEN 'user' WHEN 'gpt' THEN 'assistant' ELSE m.`from` END, m.`value`))",
+        _texts_in("conversations", "from", "value"),
     ),
     Layout(
         "prompt_response",
         ('{"prompt": "", "response": ""}', '{"prompt": "", "completion": ""}'),
         f"array(struct('user', {_string('$.prompt')}), "
         f"struct('assistant', coalesce({_string('$.response')}, {_string('$.completion')})))",
+        f"variant_get(v, '$.system') IS NULL AND {_texts('prompt')} AND ({_texts('response')} OR {_texts('completion')})",
     ),
     Layout(
         "instruction",
         ('{"instruction": "", "output": ""}', '{"instruction": "", "input": "", "output": ""}'),
         f"array(struct('user', concat_ws('\\n\\n', {_string('$.instruction')}, nullif({_string('$.input')}, ''))), "
         f"struct('assistant', {_string('$.output')}))",
+        f"{_texts('instruction', 'output')} AND (variant_get(v, '$.input') IS NULL OR {_texts('input')})",
     ),
     Layout(
         "system_prompt_response",
         ('{"system": "", "prompt": "", "response": ""}',),
         f"array(struct('system', {_string('$.system')}), struct('user', {_string('$.prompt')}), "
         f"struct('assistant', {_string('$.response')}))",
+        _texts("system", "prompt", "response"),
     ),
 )
 
@@ -87,10 +112,13 @@ def fingerprint(record: Column) -> Column:
 def canonical_turns(records: DataFrame, layouts: Sequence[Layout] = LAYOUTS) -> DataFrame:
     """``records`` (conv_id, turn, record) with fingerprint, layout and turns, an array of (role, text).
 
-    Null roles and texts become empty. The layout of a record that matches none is null and so are its turns.
+    A declared fingerprint decides; else the first layout whose ``needs`` hold. Null roles and texts become empty. The layout of a record that matches none is null and so are its turns.
     Repeated records are kept. Other columns are kept as they are.
     """
     layout, turns = F.lit(None).cast("string"), F.lit(None).cast(TURNS)
+    for each in reversed(layouts):
+        fits = F.expr(each.needs)
+        layout, turns = F.when(fits, each.name).otherwise(layout), F.when(fits, F.expr(each.turns).cast(TURNS)).otherwise(turns)
     for each in layouts:
         known = F.col("fingerprint").isin([fingerprint(F.lit(x)) for x in each.examples])
         layout = F.when(known, each.name).otherwise(layout)
@@ -110,6 +138,18 @@ def canonical_turns(records: DataFrame, layouts: Sequence[Layout] = LAYOUTS) ->
     )
 
 
+def rejected_records(turns: DataFrame) -> DataFrame:
+    """Records that took no layout: fingerprint, paths and n_records, a row for each set of paths.
+
+    ``turns`` comes from ``canonical_turns``. Both are null for what is no JSON.
+    """
+    return (
+        turns.where(F.col("layout").isNull())
+        .select("fingerprint", F.when(F.col("fingerprint").isNotNull(), field_paths(F.col("record"))).alias("paths"))
+        .groupBy("fingerprint", "paths").agg(F.count(F.lit(1)).alias("n_records"))
+    )
+
+
 def escaped(text: Column) -> Column:
     doubled = F.replace(text, F.lit("\\"), F.lit("\\\\"))
     return F.replace(F.replace(doubled, F.lit("<"), F.lit("\\l")), F.lit('"'), F.lit("\\q"))

@@ -42,6 +42,27 @@ def test_layouts(spark):
     assert 9 not in formatted
 
 
+def test_further_fields_pass_and_what_fits_nothing_is_listed(spark):
+    said = [{"role": "user", "content": "q", "name": "n"}, {"role": "assistant", "content": "a"}]
+    records = [
+        ({"id": 1, "messages": said}, [("user", "q"), ("assistant", "a")]),
+        ({"prompt": "p", "response": "r", "source": "s"}, [("user", "p"), ("assistant", "r")]),
+        ({"system": "s", "prompt": "p", "response": "r", "id": 3}, [("system", "s"), ("user", "p"), ("assistant", "r")]),
+        ({"id": "x", "conversations": [{"from": "gpt", "value": "v", "weight": 1}]}, [("assistant", "v")]),
+        ({"instruction": "i", "output": "o", "id": 5}, [("user", "i"), ("assistant", "o")]),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "q"}]}]}, None),
+        ({"messages": [{"role": "user", "content": [{"type": "text", "text": "z"}]}]}, None),
+        ({"prompt": ["p"], "response": "r", "id": 1}, None),
+    ]
+    rows = [(i, 0, json.dumps(r), "") for i, (r, _) in enumerate(records)] + [(50, 0, "no json", ""), (51, 0, None, "")]
+    turns = chat.canonical_turns(spark.createDataFrame(rows, SCHEMA))
+    got = {r.conv_id: r.turns and [tuple(t) for t in r.turns] for r in turns.collect()}
+    assert [got[i] for i in range(len(records))] == [want for _, want in records]
+    listed = chat.rejected_records(turns).collect()
+    assert sorted(r.n_records for r in listed) == [1, 2, 2] and [r.n_records for r in listed if r.paths is None] == [2]
+    assert chat.rejected_records(turns.limit(0)).count() == 0
+
+
 def test_fingerprint_ignores_types_and_order(spark):
     df = spark.createDataFrame([('{"a": 1, "b": {"c": null}}', '{"b": {"c": "x"}, "a": "y"}', '{"a": 1, "b": {"d": 1}}')], "x string, y string, z string")
     x, y, z = df.select(*[chat.fingerprint(F.col(c)) for c in "xyz"]).first()
