@@ -84,7 +84,7 @@ def line_windows(places: DataFrame, source_lines: DataFrame, before: int, after:
             F.sequence(F.greatest(F.col("line") - before, F.lit(1)), F.col("line") + after)
         ).alias("line_no"),
     )
-    hits = asked.join(source_lines, ["scan_id", "file", "line_no"])
+    hits = asked.join(scale.sorted_side(source_lines), ["scan_id", "file", "line_no"])
     return hits.groupBy("scan_id", "file", "line").agg(
         F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("around")
     )
@@ -109,7 +109,7 @@ def enclosing_functions(places: DataFrame, source_lines: DataFrame) -> DataFrame
     near = places.select(*file, F.explode(F.sequence(at - 1, at + 2)).alias("block")).distinct()
     lines = scale.materialise(
         source_lines.select(*file, "line_no", "text", _block(F.col("line_no")).alias("block"))
-        .join(near, [*file, "block"], "left_semi")
+        .join(scale.sorted_side(near), [*file, "block"], "left_semi")
         .select("*", F.col("text").rlike(HEADER).alias("heads"), F.col("text").rlike(PYTHON_HEADER).alias("heads_python")),
         "near_lines",
     )
@@ -122,7 +122,7 @@ def enclosing_functions(places: DataFrame, source_lines: DataFrame) -> DataFrame
     last = F.array_max(F.filter(own, lambda n: (n <= line) & (n > line - HEADER_LINES)))
     started = (
         places.select(*key, F.explode(F.array(at - 1, at)).alias("block"))
-        .join(heads, [*file, "block"], "left")
+        .join(scale.sorted_side(heads), [*file, "block"], "left")
         .groupBy(*key)
         .agg(F.coalesce(F.max(last), line).cast("int").alias("start"))
     )
@@ -147,14 +147,14 @@ def enclosing_functions(places: DataFrame, source_lines: DataFrame) -> DataFrame
     bodies = (
         started.select(*file, "start").distinct()
         .select(*file, "start", F.explode(F.sequence(first, first + 2)).alias("block"))
-        .join(blocks, [*file, "block"])
+        .join(scale.sorted_side(blocks), [*file, "block"])
         .groupBy(*file, "start")
         .agg(texts.alias("texts"))
         .select(*file, "start", body.alias("body"))
         .where(F.length("body") > BODY_CHARS)
         .select(*file, "start", F.col("body").alias("function_body"), start.alias("function_start_line"))
     )
-    return started.join(bodies, [*file, "start"], "left").drop("start")
+    return started.join(scale.sorted_side(bodies), [*file, "start"], "left").drop("start")
 
 
 def attach_source_context(
@@ -182,9 +182,9 @@ def attach_source_context(
     short = files
     if full_file_lines is not None:
         sizes = source_lines.groupBy("scan_id", "file").agg(F.max("line_no").alias("n_lines"))
-        short = files.join(sizes.where(F.col("n_lines") < full_file_lines), ["scan_id", "file"], "left_semi")
+        short = files.join(scale.sorted_side(sizes.where(F.col("n_lines") < full_file_lines)), ["scan_id", "file"], "left_semi")
     whole = (
-        source_lines.join(short, ["scan_id", "file"], "left_semi")
+        source_lines.join(scale.sorted_side(short), ["scan_id", "file"], "left_semi")
         .groupBy("scan_id", "file")
         .agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("all_lines"))
         .select(
@@ -199,7 +199,7 @@ def attach_source_context(
 
     target = F.get(texts(lambda x: x["line_no"] == F.col("line")), F.lit(0))
     functions = enclosing_functions(spoken, source_lines)
-    found = windows.join(functions, ["scan_id", "file", "line"]).join(whole, ["scan_id", "file"], "left")
+    found = windows.join(scale.sorted_side(functions), ["scan_id", "file", "line"]).join(scale.sorted_side(whole), ["scan_id", "file"], "left")
     context = found.select(
         "scan_id",
         F.col("file").alias("__file"),
@@ -219,7 +219,7 @@ def attach_source_context(
         ).alias("source_context"),
     )
     base = placed.drop("source_context") if "source_context" in findings.columns else placed
-    joined = scale.skewed_lookup(base, context, ["scan_id", "__file", "__line", "__language"], salt=["ord"])
+    joined = scale.skewed_lookup(base, context, ["scan_id", "__file", "__line", "__language"], salt=["ord"], unsized=True)
     return joined.drop("__file", "__line", "__language")
 
 
@@ -236,7 +236,7 @@ def attach_frame_snippets(findings: DataFrame, source_lines: DataFrame) -> DataF
     ).select("scan_id", "ord", F.col("p.file").alias("file"), F.col("p.line").alias("line_no"))
     one = source_lines.select("scan_id", "file", "line_no", "text")
     got = (
-        scale.skewed_lookup(asked, one, ["scan_id", "file", "line_no"], salt=["ord"], how="inner")
+        scale.skewed_lookup(asked, one, ["scan_id", "file", "line_no"], salt=["ord"], how="inner", unsized=True)
         .groupBy("scan_id", "ord")
         .agg(
             F.map_from_entries(
@@ -253,7 +253,7 @@ def attach_frame_snippets(findings: DataFrame, source_lines: DataFrame) -> DataF
         ).otherwise(f)
 
     return (
-        findings.join(got, ["scan_id", "ord"], "left")
+        findings.join(scale.sorted_side(got), ["scan_id", "ord"], "left")
         .withColumn(
             "stack", F.when(F.col("__text").isNull(), F.col("stack")).otherwise(F.transform("stack", fill))
         )
