@@ -383,23 +383,23 @@ def locate_fix(fixes: DataFrame, source_lines: DataFrame) -> DataFrame:
     wanted = find.groupBy("fix_id").agg(F.count(F.lit(1)).alias("n_find"))
     frequency = lines.groupBy("file", "norm").agg(F.count(F.lit(1)).alias("n"))
     anchors = (
-        find.join(frequency, ["file", "norm"])
+        find.join(scale.sorted_side(frequency), ["file", "norm"])
         .groupBy("fix_id", "file")
         .agg(F.min_by(F.struct("pos", "norm"), F.struct("n", "pos")).alias("a"))
         .select("fix_id", "file", F.col("a.pos").alias("anchor"), F.col("a.norm").alias("norm"))
     )
-    starts = anchors.join(lines, ["file", "norm"]).select(
+    starts = anchors.join(scale.sorted_side(lines), ["file", "norm"]).select(
         "fix_id", "file", (F.col("line_no") - F.col("anchor")).alias("start")
     ).where(F.col("start") >= 1)
     # each start asks for its own lines by number: an equi-join on (file, line_no)
-    asked = starts.join(find.select("fix_id", "pos", "norm"), "fix_id").withColumn(
+    asked = starts.join(scale.sorted_side(find.select("fix_id", "pos", "norm")), "fix_id").withColumn(
         "line_no", F.col("start") + F.col("pos")
     )
     matched = (
-        asked.join(lines, ["file", "line_no", "norm"])
+        asked.join(scale.sorted_side(lines), ["file", "line_no", "norm"])
         .groupBy("fix_id", "file", "start")
         .agg(F.count(F.lit(1)).alias("n_hit"))
-        .join(wanted, "fix_id")
+        .join(scale.sorted_side(wanted), "fix_id")
         .where(F.col("n_hit") == F.col("n_find"))
         .groupBy("fix_id")
         .agg(F.min("start").alias("start"))
@@ -412,9 +412,9 @@ def locate_fix(fixes: DataFrame, source_lines: DataFrame) -> DataFrame:
     before = F.least(start - 1, F.lit(2))
     after = F.least(F.col("n_lines") - (start + n_find - 1), F.lit(2))
     return (
-        fixes.join(wanted, "fix_id", "left")
-        .join(matched, "fix_id", "left")
-        .join(length, "file", "left")
+        fixes.join(scale.sorted_side(wanted), "fix_id", "left")
+        .join(scale.sorted_side(matched), "fix_id", "left")
+        .join(scale.sorted_side(length), "file", "left")
         .select(
             "fix_id",
             "file",

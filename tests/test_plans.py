@@ -24,7 +24,7 @@ def test_only_equi_joins(spark, sf_dir, name):
     assert not any(bad in plan for bad in BAD_JOINS)
 
 
-@pytest.mark.parametrize("name", ["attach_frame_snippets"])
+@pytest.mark.parametrize("name", ["attach_frame_snippets", "locate_fix"])
 def test_written_texts_are_not_broadcast(spark, sf_dir, name):
     """Their size is guessed from the file of keys they are made from, so the driver would have to hold them."""
     plan = _plan(catalog.queries()[name](spark, sf_dir))
