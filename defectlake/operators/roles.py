@@ -18,10 +18,10 @@ BRANCH_LINE = r"^(?:if|else|switch|while|for)\b"
 RETURN_LINE = r"^return\b"
 
 
-def classify_lines(functions: DataFrame) -> DataFrame:
-    """Node type and variable of every code line: BRANCH, RETURN, FREE, ALLOC or CALL."""
+def classify_lines(functions: DataFrame, rows: int | None = None) -> DataFrame:
+    """Node type and variable of every code line: BRANCH, RETURN, FREE, ALLOC or CALL; ``rows`` counts the functions, if known."""
     text = F.col("text")
-    code = function_lines(functions).where(
+    code = function_lines(functions, rows).where(
         (text != "") & ~text.startswith("//") & ~text.startswith("/*")
     )
     kind = (
@@ -75,8 +75,12 @@ def validate_role(
     allocator. A deallocator holds when a free names a variable; when it frees nothing itself, a
     callee (or its callee) must be a known deallocator. ``strict`` wants the freed variable to be
     the parameter ``target`` names. Claims about functions without source are kept.
+
+    Functions are written once, since they are read for their lines, callees and parameters.
     """
-    nodes = classify_lines(functions)
+    functions = scale.materialise(functions, "functions")
+    rows = functions.count()
+    nodes = classify_lines(functions, rows)
     body = nodes.groupBy("corpus_id", F.col("function").alias("name")).agg(
         F.bool_or(F.col("node_type") == "ALLOC").alias("allocs"),
         F.bool_or(F.col("node_type") == "RETURN").alias("returns"),
@@ -85,7 +89,7 @@ def validate_role(
             F.when((F.col("node_type") == "FREE") & (F.col("variable") != ""), F.col("variable"))
         ).alias("freed"),
     )
-    direct = callees(functions)
+    direct = callees(scale.spread(functions, rows))
     flags = direct.groupBy("corpus_id", "function").agg(
         F.bool_or(F.col("callee").isin(*dims.KNOWN_ALLOCATORS)).alias("calls_alloc"),
         F.bool_or(F.col("callee").isin(*dims.KNOWN_DEALLOCATORS)).alias("calls_free"),
@@ -98,7 +102,7 @@ def validate_role(
         F.col("calls_free").alias("far_free"),
     )
     far = (
-        direct.join(wrappers, ["corpus_id", "callee"])
+        direct.join(scale.sorted_side(wrappers), ["corpus_id", "callee"])
         .groupBy("corpus_id", "function")
         .agg(F.bool_or("far_alloc").alias("far_alloc"), F.bool_or("far_free").alias("far_free"))
     )
@@ -109,10 +113,10 @@ def validate_role(
     ).select("corpus_id", "name", "params")
     no = F.lit(False)
     keyed = (
-        summaries.join(params, ["corpus_id", "name"], "left")
-        .join(body, ["corpus_id", "name"], "left")
-        .join(flags.withColumnRenamed("function", "name"), ["corpus_id", "name"], "left")
-        .join(far.withColumnRenamed("function", "name"), ["corpus_id", "name"], "left")
+        summaries.join(scale.sorted_side(params), ["corpus_id", "name"], "left")
+        .join(scale.sorted_side(body), ["corpus_id", "name"], "left")
+        .join(scale.sorted_side(flags.withColumnRenamed("function", "name")), ["corpus_id", "name"], "left")
+        .join(scale.sorted_side(far.withColumnRenamed("function", "name")), ["corpus_id", "name"], "left")
     )
 
     def flag(name):

@@ -24,13 +24,17 @@ def test_only_equi_joins(spark, sf_dir, name):
     assert not any(bad in plan for bad in BAD_JOINS)
 
 
-@pytest.mark.parametrize("name", ["attach_frame_snippets", "locate_fix"])
+@pytest.mark.parametrize("name", ["attach_frame_snippets", "locate_fix", "function_context", "validate_role"])
 def test_written_texts_are_not_broadcast(spark, sf_dir, name):
     """Their size is guessed from the file of keys they are made from, so the driver would have to hold them."""
     plan = _plan(catalog.queries()[name](spark, sf_dir))
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
 
 
+def test_roles_are_checked_on_functions_cut_out_once(spark, sf_dir):
+    assert "MapInPandas" not in _plan(catalog.queries()["validate_role"](spark, sf_dir))
+
+
 def test_relations_have_no_cross_join(spark, sf_dir):
     plan = _plan(relations.relate_findings(d.findings(spark, sf_dir)))
     assert not any(bad in plan for bad in BAD_JOINS)

@@ -79,3 +79,8 @@ def test_shared_dir_follows_the_session(spark, tmp_path):
     assert scale.shared_dir(spark) == scale.shared_dir(spark)
     other = spark.newSession()
     assert scale.scratch_path(other, "x") != scale.scratch_path(other, "x")
+
+
+def test_counted_rows_are_spread_over_more_tasks_than_cores(spark):
+    few, many = (scale.spread(spark.range(10), n).rdd.getNumPartitions() for n in (10, 40 * scale.SPREAD_ROWS))
+    assert few == spark.sparkContext.defaultParallelism and many == 40
