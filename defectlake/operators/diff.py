@@ -34,10 +34,15 @@ def diff_findings(a: DataFrame, b: DataFrame) -> DataFrame:
 
 
 def new_findings(a: DataFrame, b: DataFrame) -> DataFrame:
-    """Findings of B whose fingerprint A lacks."""
-    return last_per_fingerprint(b).join(
-        last_per_fingerprint(a).select("fingerprint"), "fingerprint", "left_anti"
-    )
+    """Findings of B whose fingerprint A lacks.
+
+    Fingerprints are compared first, with the place of the last report alone, so whole rows are only folded of what is new.
+    """
+    left, right = (df if "fingerprint" in df.columns else with_fingerprint(df) for df in (a, b))
+    last = right.groupBy("fingerprint").agg(F.max("ord").alias("ord"))
+    new = last.join(left.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    on = [right["fingerprint"] == new["fingerprint"], right["ord"].eqNullSafe(new["ord"])]
+    return last_per_fingerprint(right.join(new, on, "left_semi"))
 
 
 def fixed_findings(a: DataFrame, b: DataFrame) -> DataFrame:

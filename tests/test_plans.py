@@ -35,6 +35,11 @@ def test_roles_are_checked_on_functions_cut_out_once(spark, sf_dir):
     assert "MapInPandas" not in _plan(catalog.queries()["validate_role"](spark, sf_dir))
 
 
+def test_only_new_findings_are_folded_whole(spark, sf_dir):
+    plan = _plan(catalog.queries()["new_findings"](spark, sf_dir))
+    assert plan.index("min_by") < plan.index("Join")
+
+
 def test_relations_have_no_cross_join(spark, sf_dir):
     plan = _plan(relations.relate_findings(d.findings(spark, sf_dir)))
     assert not any(bad in plan for bad in BAD_JOINS)
