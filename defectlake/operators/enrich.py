@@ -70,54 +70,64 @@ def resolve_frames(findings: DataFrame, symbols: DataFrame, keys=("scan_id", "or
     )
 
 
-def line_windows(places: DataFrame, source_lines: DataFrame, before: int, after: int) -> DataFrame:
-    """The lines around distinct (scan_id, file, line) places, as an ordered array.
+def _block(line: Column) -> Column:
+    return F.floor(line / HEADER_LINES)
+
 
-    Instead of a range join every place asks for its at most ``before+after+1`` line numbers, which
-    is an equi-join on (scan_id, file, line_no) and splits evenly even when one file is hot.
+def near_lines(places: DataFrame, source_lines: DataFrame) -> DataFrame:
+    """The lines near ``places``, stored in blocks: (scan_id, file, block, lines, heads, heads_python).
+
+    Every later search (the lines around a place, the first line of its function, the function's text) meets whole blocks
+    by an equi-join, so a place asks for a few blocks and not for its line numbers one by one. ``heads`` are the numbers of
+    those lines that look like a function's first.
     """
-    asked = places.select(
-        "scan_id",
-        "file",
-        "line",
-        F.explode(
-            F.sequence(F.greatest(F.col("line") - before, F.lit(1)), F.col("line") + after)
-        ).alias("line_no"),
-    )
-    hits = asked.join(scale.sorted_side(source_lines), ["scan_id", "file", "line_no"])
-    return hits.groupBy("scan_id", "file", "line").agg(
-        F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("around")
+    file = ["scan_id", "file"]
+    at = _block(F.col("line"))
+    near = places.select(*file, F.explode(F.sequence(at - 1, at + 2)).alias("block")).distinct()
+    blocks = (
+        source_lines.select(*file, "line_no", "text", _block(F.col("line_no")).alias("block"))
+        .join(scale.sorted_side(near), [*file, "block"], "left_semi")
+        .groupBy(*file, "block")
+        .agg(F.array_sort(F.collect_list(F.struct("line_no", "text"))).alias("lines"))
     )
 
+    def like(pattern: str) -> Column:
+        return F.transform(F.filter("lines", lambda x: x["text"].rlike(pattern)), lambda x: x["line_no"])
 
-def _block(line: Column) -> Column:
-    return F.floor(line / HEADER_LINES)
+    return scale.materialise(blocks.select("*", like(HEADER).alias("heads"), like(PYTHON_HEADER).alias("heads_python")), "near_lines")
 
 
-def enclosing_functions(places: DataFrame, source_lines: DataFrame) -> DataFrame:
+def line_windows(places: DataFrame, blocks: DataFrame, before: int, after: int) -> DataFrame:
+    """The lines around distinct (scan_id, file, line) places, as an ordered array, from the blocks of :func:`near_lines`.
+
+    ``before`` and ``after`` are at most ``HEADER_LINES``. A block is small and met by few places, so a hot file splits evenly.
+    """
+    line = F.col("line")
+    around = F.filter("lines", lambda x: (x["line_no"] >= F.greatest(line - before, F.lit(1))) & (x["line_no"] <= line + after))
+    return (
+        places.select("scan_id", "file", "line", F.explode(F.sequence(_block(line - before), _block(line + after))).alias("block"))
+        .join(scale.sorted_side(blocks.select("scan_id", "file", "block", "lines")), ["scan_id", "file", "block"])
+        .select("scan_id", "file", "line", around.alias("around"))
+        .where(F.size("around") > 0)
+        .groupBy("scan_id", "file", "line")
+        .agg(F.array_sort(F.flatten(F.collect_list("around"))).alias("around"))
+    )
+
+
+def enclosing_functions(places: DataFrame, blocks: DataFrame) -> DataFrame:
     """``places`` (scan_id, file, line, language) with function_body and function_start_line.
 
     A function begins at the last line up to the place that looks like a function's first line, or at the place itself if
     none of ``HEADER_LINES`` lines does. It ends where its braces are closed again, past its third line, after ``BODY_LINES``
     lines or with the file. Both are null for a text of ``BODY_CHARS`` characters or less.
 
-    Lines lie in blocks, and only blocks near a place are read. A place meets the first lines of its own block and of
+    ``blocks`` are those of :func:`near_lines`. A place meets the first lines of its own block and of
     the one before, so the search backward is an equi-join; bodies are put together once per function, from three blocks.
     """
     file, key = ["scan_id", "file"], ["scan_id", "file", "line", "language"]
     at = _block(F.col("line"))
-    near = places.select(*file, F.explode(F.sequence(at - 1, at + 2)).alias("block")).distinct()
-    lines = scale.materialise(
-        source_lines.select(*file, "line_no", "text", _block(F.col("line_no")).alias("block"))
-        .join(scale.sorted_side(near), [*file, "block"], "left_semi")
-        .select("*", F.col("text").rlike(HEADER).alias("heads"), F.col("text").rlike(PYTHON_HEADER).alias("heads_python")),
-        "near_lines",
-    )
-    heads = lines.where("heads or heads_python").groupBy(*file, "block").agg(
-        F.collect_list(F.when(F.col("heads"), F.col("line_no"))).alias("heads"),
-        F.collect_list(F.when(F.col("heads_python"), F.col("line_no"))).alias("heads_python"),
-    )
     line = F.col("line")
+    heads = blocks.where((F.size("heads") > 0) | (F.size("heads_python") > 0)).select(*file, "block", "heads", "heads_python")
     own = F.when(F.col("language") == "python", F.col("heads_python")).otherwise(F.col("heads"))
     last = F.array_max(F.filter(own, lambda n: (n <= line) & (n > line - HEADER_LINES)))
     started = (
@@ -127,7 +137,6 @@ def enclosing_functions(places: DataFrame, source_lines: DataFrame) -> DataFrame
         .agg(F.coalesce(F.max(last), line).cast("int").alias("start"))
     )
     started = scale.materialise(started, "started")
-    blocks = lines.groupBy(*file, "block").agg(F.collect_list(F.struct("line_no", "text")).alias("lines"))
     start, first = F.col("start"), _block(F.col("start"))
     texts = F.filter(
         F.array_sort(F.flatten(F.collect_list("lines"))), lambda x: (x["line_no"] >= start) & (x["line_no"] < start + BODY_LINES)
@@ -141,13 +150,13 @@ def enclosing_functions(places: DataFrame, source_lines: DataFrame) -> DataFrame
         closed = (depth < 0) | ((depth == 0) & (x["line_no"] > start + 2))
         return F.struct(depth.alias("depth"), F.coalesce(seen["end"], F.when(closed, x["line_no"])).alias("end"))
 
-    begin = F.struct(F.lit(0).alias("depth"), F.lit(None).cast(source_lines.schema["line_no"].dataType).alias("end"))
+    begin = F.struct(F.lit(0).alias("depth"), F.lit(None).cast(blocks.schema["lines"].dataType.elementType["line_no"].dataType).alias("end"))
     end = F.coalesce(F.aggregate("texts", begin, walk, lambda seen: seen["end"]), start + BODY_LINES)
     body = F.array_join(F.transform(F.filter("texts", lambda x: x["line_no"] <= end), lambda x: x["text"]), "\n")
     bodies = (
         started.select(*file, "start").distinct()
         .select(*file, "start", F.explode(F.sequence(first, first + 2)).alias("block"))
-        .join(scale.sorted_side(blocks), [*file, "block"])
+        .join(scale.sorted_side(blocks.select(*file, "block", "lines")), [*file, "block"])
         .groupBy(*file, "start")
         .agg(texts.alias("texts"))
         .select(*file, "start", body.alias("body"))
@@ -177,7 +186,8 @@ def attach_source_context(
         .distinct()
     )
     places = spoken.select("scan_id", "file", "line").distinct()
-    windows = line_windows(places, source_lines, CONTEXT_LINES, CONTEXT_LINES)
+    blocks = near_lines(places, source_lines)
+    windows = line_windows(places, blocks, CONTEXT_LINES, CONTEXT_LINES)
     files = places.select("scan_id", "file").distinct()
     short = files
     if full_file_lines is not None:
@@ -198,7 +208,7 @@ def attach_source_context(
         return F.transform(F.filter("around", test), lambda x: x["text"])
 
     target = F.get(texts(lambda x: x["line_no"] == F.col("line")), F.lit(0))
-    functions = enclosing_functions(spoken, source_lines)
+    functions = enclosing_functions(spoken, blocks)
     found = windows.join(scale.sorted_side(functions), ["scan_id", "file", "line"]).join(scale.sorted_side(whole), ["scan_id", "file"], "left")
     context = found.select(
         "scan_id",

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import re
+
 import pytest
+from pyspark.sql import functions as F
 
-from defectlake import catalog
+from defectlake import catalog, schemas
 from defectlake.catalog import derived as d
-from defectlake.operators import findings as fo, relations, security
+from defectlake.operators import enrich, findings as fo, relations, security
 
 BAD_JOINS = ("CartesianProduct", "BroadcastNestedLoopJoin")
 PYTHON = ("ArrowEvalPython", "BatchEvalPython", "FlatMapGroupsInPandas", "PythonMapInArrow")
@@ -31,6 +34,28 @@ def test_written_texts_are_not_broadcast(spark, sf_dir, name):
     assert "SortMergeJoin" in plan and "BroadcastExchange" not in plan
 
 
+def test_context_texts_are_made_once(spark, sf_dir):
+    """A join of findings with their own texts makes the source context on both of its sides."""
+    plan = _plan(catalog.queries()["function_context"](spark, sf_dir))
+    assert "SortMergeJoin [ord" not in plan
+
+
+def test_source_lines_are_met_in_blocks(spark):
+    """Windows that cross blocks of lines, the file's start and its end are whole, and no place asks for single lines."""
+    lines = spark.createDataFrame([("s", "a.c", n, f"line {n}") for n in range(1, 201)], "scan_id STRING, file STRING, line_no INT, text STRING")
+    at = [1, 72, 79, 80, 81, 88, 160, 200, 205]
+    found = spark.createDataFrame([("s", i, n) for i, n in enumerate(at)], "scan_id STRING, ord BIGINT, n INT").select(
+        "scan_id", "ord", schemas.location(F.lit("a.c"), F.col("n")).alias("primary_location")
+    )
+    placed = enrich.attach_source_context(found, lines)
+    assert not re.search(r"MergeJoin \[[^\]]*line_no", _plan(placed))
+    got = {r["ord"]: r["source_context"] for r in placed.collect()}
+    for i, n in enumerate(at):
+        before, after = ([f"line {k}" for k in ks if k <= 200] for ks in (range(max(1, n - 8), n), range(n + 1, n + 9)))
+        assert (got[i]["before_lines"], got[i]["after_lines"]) == (before, after)
+        assert got[i]["target_line"] == (f"line {n}" if n <= 200 else "")
+
+
 def test_roles_are_checked_on_functions_cut_out_once(spark, sf_dir):
     assert "MapInPandas" not in _plan(catalog.queries()["validate_role"](spark, sf_dir))
 
