@@ -238,70 +238,99 @@ LIVE_DDL = (
     "double_frees BIGINT, unmatched_frees BIGINT"
 )
 _LIVE_STATE = (
-    "live BOOLEAN, size BIGINT, mallocs BIGINT, frees BIGINT, double_frees BIGINT, unmatched_frees BIGINT, last BIGINT, "
-    "times ARRAY<BIGINT>, seqs ARRAY<BIGINT>, ops ARRAY<STRING>, sizes ARRAY<BIGINT>"
+    "processes ARRAY<BIGINT>, addresses ARRAY<STRING>, live ARRAY<BOOLEAN>, size ARRAY<BIGINT>, mallocs ARRAY<BIGINT>, "
+    "frees ARRAY<BIGINT>, double_frees ARRAY<BIGINT>, unmatched_frees ARRAY<BIGINT>, last ARRAY<BIGINT>, "
+    "times ARRAY<BIGINT>, seqs ARRAY<BIGINT>, ops ARRAY<STRING>, sizes ARRAY<BIGINT>, places ARRAY<INT>"
 )
+#: hash parts of the blocks of :func:`stream_live_objects`; a part is one state row and one call in Python
+LIVE_PARTS = 4096
 
 
 def _live_stepper(idle: int | None):
-    """The state step of one (process, address), made here so that it travels without this package."""
+    """The state step of one part of the blocks, made here so that it travels without this package."""
     columns = [c.split()[0] for c in LIVE_DDL.split(", ")]
 
-    def after(block: tuple, events: list[tuple]) -> tuple:
-        live, size, mallocs, frees, double, unmatched = block
-        for _, _, op, n in sorted(events, key=lambda e: e[:2]):
+    def apply(blocks: dict, events: list[tuple]) -> None:
+        for _, _, op, n, key in sorted(events, key=lambda e: e[:2]):
+            block = blocks.get(key)
+            if block is None:
+                continue
+            live, _, mallocs, frees, double, unmatched, last = block
             if op == "free":
                 frees += 1
                 if not live:
                     double, unmatched = (double + 1, unmatched) if mallocs else (double, unmatched + 1)
-                live, size = False, 0
+                blocks[key] = False, 0, mallocs, frees, double, unmatched, last
             else:  # malloc and realloc make the block live with its new size
-                mallocs += op == "malloc"
-                live, size = True, n
-        return live, size, mallocs, frees, double, unmatched
+                blocks[key] = True, n, mallocs + (op == "malloc"), frees, double, unmatched, last
 
     def step(
         key: tuple, batches: Iterator[pd.DataFrame], state: GroupState
     ) -> Iterator[pd.DataFrame]:
-        *block, last, times, seqs, ops, sizes = state.get if state.exists else (False, 0, 0, 0, 0, 0, 0, [], [], [], [])
-        waiting = list(zip(times, seqs, ops, sizes))
+        blocks, waiting, touched = {}, [], set()
+        if state.exists:
+            processes, addresses, *values, times, seqs, ops, sizes, places = state.get
+            keys = list(zip(processes, addresses))
+            blocks = dict(zip(keys, zip(*values)))
+            waiting = [(*e, keys[i]) for *e, i in zip(times, seqs, ops, sizes, places)]
         if not state.hasTimedOut:
             for frame in batches:
                 at = frame["ts"].astype("datetime64[us]").astype("int64").tolist()
                 sizes = frame["size"].fillna(0).astype("int64").tolist()
-                waiting += zip(at, frame["seq"].tolist(), frame["op"].tolist(), sizes)
+                processes = [None if p is None else int(p) for p in frame["process"]]
+                keys = list(zip(processes, frame["address"].tolist()))
+                waiting += zip(at, frame["seq"].tolist(), frame["op"].tolist(), sizes, keys)
+                touched.update(keys)
+                for k, t in zip(keys, at):
+                    block = blocks.get(k, (False, 0, 0, 0, 0, 0, 0))
+                    blocks[k] = (*block[:6], max(block[6], t))
         mark = state.getCurrentWatermarkMs() * 1000
         # no event can come before these any more
-        block = after(tuple(block), [e for e in waiting if e[0] <= mark])
-        last = max([last, *(e[0] for e in waiting)])
+        apply(blocks, [e for e in waiting if e[0] <= mark])
         waiting = [e for e in waiting if e[0] > mark]
-        gone = idle is not None and not waiting and not block[0] and mark >= last + idle
-        if gone:
-            if state.exists:
-                state.remove()
-        else:
-            state.update((*block, last, *([e[i] for e in waiting] for i in range(4))))
-            if waiting:
-                state.setTimeoutTimestamp(-(-max(e[0] for e in waiting) // 1000))
-            elif idle is not None and not block[0]:
-                state.setTimeoutTimestamp(-(-(last + idle) // 1000))
-        if not state.hasTimedOut:
-            yield pd.DataFrame([(*key, *after(block, waiting))], columns=columns)
+        shown = {k: blocks[k] for k in touched}
+        apply(shown, waiting)
+        if idle is not None:
+            awaited = {e[4] for e in waiting}
+            blocks = {k: b for k, b in blocks.items() if b[0] or k in awaited or mark < b[6] + idle}
+        if blocks:
+            placed = {k: i for i, k in enumerate(blocks)}
+            state.update((
+                *([k[i] for k in blocks] for i in range(2)), *([b[i] for b in blocks.values()] for i in range(7)),
+                *([e[i] for e in waiting] for i in range(4)), [placed[e[4]] for e in waiting],
+            ))
+            due = [max(e[0] for e in waiting)] if waiting else []
+            if idle is not None:
+                due += [b[6] + idle for k, b in blocks.items() if not b[0] and k not in awaited]
+            if due:
+                state.setTimeoutTimestamp(-(-min(due) // 1000))
+        elif state.exists:
+            state.remove()
+        if touched:
+            yield pd.DataFrame([(*k, *b[:6]) for k, b in shown.items()], columns=columns)
 
     return step
 
 
-def stream_live_objects(events: DataFrame, delay: str = "10 minutes", idle: str | None = None) -> DataFrame:
+def stream_live_objects(events: DataFrame, delay: str = "10 minutes", idle: str | None = None, parts: int = LIVE_PARTS) -> DataFrame:
     """State of every (process, address): live size, double frees, frees without allocation.
 
-    ``events`` are (process_id, address, op, size, ts, seq). A key is one address of one process, so state and work spread
-    by address; rows are emitted in update mode. Events wait in the state until the watermark has passed them and are then
+    ``events`` are (process_id, address, op, size, ts, seq). Rows are emitted in update mode. Events wait in the state until the
+    watermark has passed them and are then
     applied in order; a row shows what those that wait make of the block too, so out-of-order events within ``delay``
     give what :func:`defectlake.operators.heap.live_objects` gives. What waits is bounded by ``delay`` and a
     micro-batch's part of it by the source's trigger limit. A block that isn't live and has had no event for ``idle`` is forgotten.
+
+    A call in Python costs far more than an event, so blocks lie in ``parts`` hash parts of process and address: a micro-batch
+    makes at most that many calls, and a part that it touches is written whole. Neither one process nor one address
+    gathers in a part. A checkpoint goes with its number of parts.
     """
     micros = None if idle is None else int(pd.Timedelta(idle) / pd.Timedelta(1, "us"))
-    return events.withWatermark("ts", delay).groupBy("process_id", "address").applyInPandasWithState(
+    part = F.pmod(F.xxhash64("process_id", "address"), F.lit(parts)).cast("int")
+    narrow = events.select(
+        part.alias("part"), F.col("process_id").cast("string").alias("process"), "address", "op", "size", "ts", "seq"
+    )
+    return narrow.withWatermark("ts", delay).groupBy("part").applyInPandasWithState(
         _live_stepper(micros), LIVE_DDL, _LIVE_STATE, "update", GroupStateTimeout.EventTimeTimeout
     )
 

@@ -97,6 +97,29 @@ def test_live_objects_with_late_events_over_batches(spark):
     assert rows(got, "process_id", "address", "live", "size", "mallocs", "frees", "double_frees", "unmatched_frees") == want
 
 
+def test_live_objects_share_state_rows(spark):
+    """Blocks of one part don't mix, and there are as many state rows as parts, however many blocks."""
+    import random
+
+    from defectlake.operators import heap
+
+    rng = random.Random(7)
+    data = [(1 + i % 3, f"0x{rng.randrange(40)}", rng.choice(["malloc", "free", "realloc"]), rng.randrange(90), 1_700_000_000 + 9 * i, i) for i in range(400)]
+    moved = sorted(data, key=lambda r: r[4] + rng.randrange(500))
+    cols = ("process_id", "address", "live", "size", "mallocs", "frees", "double_frees", "unmatched_frees")
+
+    def frame(part):
+        return spark.createDataFrame(part, EVENTS.replace("ts TIMESTAMP", "ts BIGINT")).withColumn("ts", F.timestamp_seconds("ts"))
+
+    path, run, listener = scale.scratch_path(spark, "late"), scale.scratch_path(spark, "run"), streams.ProgressListener()
+    for start in (0, 200):
+        stream = streams.stream_live_objects(_append(spark, path, frame(moved[start : start + 200])), parts=3)
+        updates = streams.run_to_table(stream, "live", "update", path=run, listener=listener)
+    assert rows(streams.latest_rows(updates, ["process_id", "address"]), *cols) == rows(heap.live_objects(frame(moved)), *cols)
+    progress = spark.read.schema(streams.PROGRESS_DDL).parquet(f"{run}/progress")
+    assert progress.agg(F.max("state_rows")).first()[0] == 3
+
+
 def test_leading_edge_and_progress(spark):
     def part(*seconds):
         data = [("p", 1_700_000_000 + s, f"f{s}") for s in seconds]
