@@ -307,6 +307,8 @@ def audit_fix_safety(fixes: DataFrame) -> DataFrame:
     Adds ``warning``; a flagged fix gets confidence low and applicable false, others keep theirs
     (an unknown confidence counts as medium).
     """
+    # a fix becomes several lines and words: a task takes a share of the fixes that doesn't grow with their number
+    fixes = scale.spread(fixes, fixes.count())
     lines = fixes.select(
         "fix_id", F.posexplode(text_lines(strip(F.coalesce("replace_text", F.lit(""))))).alias("pos", "raw")
     ).withColumn("text", strip(F.col("raw")))
@@ -325,7 +327,7 @@ def audit_fix_safety(fixes: DataFrame) -> DataFrame:
     )
     unsafe = uses.where(~safe)
     after_free = (
-        frees.join(unsafe, ["fix_id", "var"])
+        frees.join(scale.sorted_side(unsafe), ["fix_id", "var"])
         .where(F.col("pos") > F.col("free_pos"))
         .groupBy("fix_id")
         .agg(F.min(F.struct(F.col("free_pos"), F.col("pos"), var)).alias("u"))
@@ -357,8 +359,8 @@ def audit_fix_safety(fixes: DataFrame) -> DataFrame:
     usable = F.col("applicable") if "applicable" in fixes.columns else F.lit(True)
     rest = [c for c in fixes.columns if c not in ("confidence", "applicable")]
     return (
-        fixes.join(after_free, "fix_id", "left")
-        .join(useless, "fix_id", "left")
+        fixes.join(scale.sorted_side(after_free), "fix_id", "left")
+        .join(scale.sorted_side(useless), "fix_id", "left")
         .withColumn("warning", warning)
         .select(
             *rest,
