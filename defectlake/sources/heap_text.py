@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from defectlake import dims, scale
-from defectlake.functions.text import parse_size, strip, text_lines
+from defectlake.functions.text import parse_size, strip, strip_line, text_lines
 
 # Phrasings of the profiler's summary lines; of a list the first that matches is used.
 PEAK_LINES = (
@@ -48,33 +48,60 @@ SECTION = r"(?i)^(?:MOST\s+CALLS|PEAK\s+HEAP|MOST\s+TEMPORARY|MOST\s+BYTES)"
 AT_LINE = r"^at\s+(.+?):(\d+)\s*$"
 
 
-def _group(text: Column, patterns, group: int) -> Column:
-    """A group of the first pattern that occurs in the text."""
+def _matching(text: Column, patterns) -> Column:
+    """Number of the first pattern that occurs in the text."""
+    out = F.when(F.lit(False), 0)
+    for i, p in enumerate(patterns):
+        out = out.when(text.rlike(p), i)
+    return out
+
+
+def _group(text: Column, matching: Column, patterns, group: int) -> Column:
+    """A group of the pattern that :func:`_matching` found."""
     out = F.when(F.lit(False), "")
-    for p in patterns:
-        out = out.when(text.rlike(p), F.regexp_extract(text, p, group))
+    for i, p in enumerate(patterns):
+        out = out.when(matching == i, F.regexp_extract(text, p, group))
     return out
 
 
 def ingest_heap_summary(profiles: DataFrame) -> DataFrame:
     """Peak, total, counts and leaked bytes per profile; of several mentions the last counts."""
-    s = F.col("line")
-    # Every summary line has one of these words; the others are dropped before the costly patterns.
+    s, low = F.col("line"), F.col("low")
+
+    def has(*words: str) -> Column:
+        out = low.contains(words[0])
+        for word in words[1:]:
+            out = out | low.contains(word)
+        return out
+
+    # Every summary line has one of these words, and a line of a kind its own; the costly patterns see no other lines.
+    kinds = {
+        "peak": (PEAK_LINES, has("peak heap", "peak memory")),
+        "total": (TOTAL_LINES, has("allocated")),
+        "calls": (COUNT_LINES, has("allocation")),
+        "temp": (TEMPORARY_LINES, has("temporary")),
+        "leaked": (LEAKED_LINES, has("leaked")),
+    }
     lines = (
         scale.spread(profiles)
         .select("scan_id", F.posexplode(text_lines(F.col("output"))).alias("pos", "raw"))
         .where(F.col("raw").rlike(r"(?i)peak (?:heap|memory)|allocat|temporary|leaked"))
-        .select("scan_id", "pos", strip(F.col("raw")).alias("line"))
+        .select("scan_id", "pos", F.lower("raw").alias("low"), strip_line(F.col("raw")).alias("line"))
     )
+    lines = lines.select("scan_id", "pos", "line", *[F.when(own, _matching(s, p)).alias(f"__{k}") for k, (p, own) in kinds.items()])
+
+    def group(kind: str, number: int) -> Column:
+        return _group(s, F.col(f"__{kind}"), kinds[kind][0], number)
+
     lines = lines.select(
         "scan_id",
         "pos",
-        parse_size(_group(s, PEAK_LINES, 1), _group(s, PEAK_LINES, 2)).alias("peak"),
-        parse_size(_group(s, TOTAL_LINES, 1), _group(s, TOTAL_LINES, 2)).alias("total"),
-        F.regexp_replace(_group(s, COUNT_LINES, 1), ",", "").try_cast("bigint").alias("calls"),
-        F.regexp_replace(_group(s, TEMPORARY_LINES, 1), ",", "").try_cast("bigint").alias("temp"),
-        _group(s, TEMPORARY_LINES, 2).try_cast("double").alias("temp_pct"),
-        parse_size(_group(s, LEAKED_LINES, 1), _group(s, LEAKED_LINES, 2)).alias("leaked"),
+        parse_size(group("peak", 1), group("peak", 2)).alias("peak"),
+        parse_size(group("total", 1), group("total", 2)).alias("total"),
+        F.regexp_replace(group("calls", 1), ",", "").try_cast("bigint").alias("calls"),
+        F.regexp_replace(group("temp", 1), ",", "").try_cast("bigint").alias("temp"),
+        group("temp", 2).try_cast("double").alias("temp_pct"),
+        parse_size(group("leaked", 1), group("leaked", 2)).alias("leaked"),
     )
 
     def last(name: str) -> Column:
@@ -112,12 +139,14 @@ def _blocks(profiles: DataFrame, header: str, keep: str) -> DataFrame:
         scale.spread(profiles)
         .select("scan_id", F.posexplode(F.split("output", cut)).alias("pos", "block"))
         .where(F.col("block").rlike(INDENT + keep))
+        # a column of its own, since the lines mention it several times
+        .withColumn("rest", F.when(F.col("block").contains("\n"), F.substr("block", F.locate("\n", F.col("block")) + 1)).otherwise(""))
         .select(
             "scan_id",
             "pos",
             "block",
             F.transform(
-                text_lines(F.regexp_replace("block", r"^[^\n]*\n?", "")), strip
+                text_lines(F.col("rest")), strip_line
             ).alias("body"),
         )
     )
@@ -158,8 +187,9 @@ def ingest_heap_sites(profiles: DataFrame) -> DataFrame:
     blocks = blocks.select(
         "scan_id", "pos", "block", upto(F.col("body"), section).alias("body"), named.alias("names")
     )
-    site = F.get(F.filter("names", lambda x: ~x["name"].isin(*dims.HEAP_SITE_SKIP)), F.lit(0))
-    blocks = blocks.withColumn("site", site).where(F.col("site").isNotNull())
+    # exploded before it is filtered by: a condition on the block's columns would be moved below and cut its lines once more
+    site = F.slice(F.filter("names", lambda x: ~x["name"].isin(*dims.HEAP_SITE_SKIP)), 1, 1)
+    blocks = blocks.select("*", F.explode_outer(site).alias("site")).where(F.col("site").isNotNull())
     place = F.get(
         F.filter(
             F.slice("body", F.col("site.i") + 2, many),

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from defectlake.operators import roles
+from defectlake.sources import heap_text
 
 
 def plan(df):
@@ -22,3 +23,12 @@ def test_audit_sends_no_lines_to_all_tasks(spark):
         "a": "Use-after-free: 'q' freed on line 1 but used on line 2",
         "b": "Useless allocation: 'x' freed immediately after malloc", "c": None,
     }
+
+
+def test_heap_sites_cut_lines_once(spark):
+    text = "3 calls with 2.5K peak consumption from:\r\n  leaf\r\n    at /s.c:1\n  \tother \x0b\n\n"
+    profiles = spark.createDataFrame([("p", text)], "scan_id STRING, output STRING").repartition(1)
+    out = heap_text.ingest_heap_sites(profiles)
+    assert plan(out).count("locate(") == 1
+    row = out.first()
+    assert (row.function, row.file, row.line, row.peak_bytes, list(row.stack)) == ("leaf", "s.c", 1, 2560, ["leaf", "other"])
