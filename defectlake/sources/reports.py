@@ -12,7 +12,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from typing import NamedTuple
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, StructType
 
@@ -188,7 +188,9 @@ def _ingest(reports: DataFrame, form: Format, dedup: bool = False) -> DataFrame:
     """Findings of one format; reports of other tools give none."""
     parsed = _parse(reports, (form,))
     if dedup and form.dedup:
-        parsed = scale.first_by(parsed, ["scan_id", "report_id", "fingerprint"], F.col("ord"))
+        # ranked and not folded as whole rows, so columns that nobody asks for are not made
+        same = Window.partitionBy("scan_id", "report_id", "fingerprint").orderBy("ord")
+        parsed = parsed.withColumn("__rn", F.row_number().over(same)).where(F.col("__rn") == 1).drop("__rn")
     return _findings(parsed)
 
 

@@ -2,8 +2,10 @@
 
 from __future__ import annotations
 
+
+from defectlake import scale
 from defectlake.operators import roles
-from defectlake.sources import heap_text
+from defectlake.sources import heap_text, reports
 
 
 def plan(df):
@@ -32,3 +34,17 @@ def test_heap_sites_cut_lines_once(spark):
     assert plan(out).count("locate(") == 1
     row = out.first()
     assert (row.function, row.file, row.line, row.peak_bytes, list(row.stack)) == ("leaf", "s.c", 1, 2560, ["leaf", "other"])
+
+
+def test_reports_go_to_tasks_by_size(spark, monkeypatch):
+    monkeypatch.setattr(scale, "SPREAD_BYTES", 1000)
+    df = spark.range(10_000)
+    assert scale.spread(df).rdd.getNumPartitions() == 80
+
+
+def test_dedup_in_report_makes_only_asked_columns(spark):
+    error = "<error><kind>Race</kind><what>w</what><stack><frame><fn>f</fn><file>a.c</file><line>3</line></frame></stack></error>"
+    raw = spark.createDataFrame([("s", 1, "helgrind", f"<valgrindoutput>{error}{error}</valgrindoutput>")], "scan_id STRING, report_id BIGINT, tool STRING, output STRING")
+    out = reports.ingest_helgrind(raw).select("scan_id", "ord", "severity")
+    assert plan(out).count("sha2(") == 1
+    assert [tuple(r) for r in out.collect()] == [("s", reports.REPORT_SPAN, "critical")]
