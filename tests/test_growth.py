@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-
 from defectlake import scale
 from defectlake.operators import roles
 from defectlake.sources import heap_text, reports
