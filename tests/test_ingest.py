@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from defectlake import schemas
+from defectlake.functions.text import strip
 from defectlake.operators import findings as fo
 from defectlake.sources import heap_text, reports, scans
 
@@ -198,3 +199,28 @@ def test_recordings_and_corpus(spark, tmp_path):
         (tmp_path / "src" / name).write_text("int x;\n")
     corpus = scans.read_source_corpus(spark, str(tmp_path / "src"), "c1")
     assert rows(corpus, "path") == [("a.c",), ("lib/build.h",)]
+
+
+def test_mixed_reports_are_not_stored_and_only_asked_columns_are_made(spark, monkeypatch):
+    """Copies within a report go, those of formats without a count per fingerprint stay, and no table is written."""
+    error = "<error><kind>Race</kind><what>w</what><stack>" + FRAME.format(ip="0x1", fn="f", file="a.c", line=3) + "</stack></error>"
+    record = '{"size": 5, "count": 1, "traceback": [{"file": "app.py", "line": 1}]}'
+    data = [("s", 1, "helgrind", f"<valgrindoutput>{error}{error}{error}</valgrindoutput>"), ("s", 2, "tracemalloc", f"[{record}, {record}]")]
+    raw = spark.createDataFrame(data, schemas.RAW_REPORT_DDL)
+
+    def stored(*_):
+        raise AssertionError("a table is written")
+
+    monkeypatch.setattr(reports.scale, "materialise", stored)
+    out = reports.ingest_reports(raw).select("ord", "tool", "bug_type")
+    span = reports.REPORT_SPAN
+    assert rows(out) == [(span, "helgrind", "race_condition"), (2 * span, "tracemalloc", "python_large_object"), (2 * span + 1, "tracemalloc", "python_large_object")]
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("sha2(") == 1 and "cross_tool_key" not in plan
+
+
+def test_strip_equals_the_pattern(spark):
+    texts = ["", " ", " a ", "\t\n\x0b\f\r a b \r\n", "a \x85", "a \u2028", " a\n\u2029", "\u2003a\u2003", "a\x1c ", "\x85 a", " \n\u2028 "]
+    df = spark.createDataFrame([(t,) for t in [*texts, None]], "t STRING")
+    pattern = F.regexp_replace("t", r"^\s+|\s+$", "")
+    assert df.where(~strip(F.col("t")).eqNullSafe(pattern)).count() == 0
