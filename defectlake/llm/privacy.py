@@ -18,7 +18,7 @@ from pyspark.sql import functions as F
 
 from defectlake.llm.common import documents, store
 from defectlake.llm.spans import Kind, kind_spans, listed, masked, no_spans, of_kinds, places
-from defectlake.scale import salted_lookup
+from defectlake.scale import heavy_keys, skewed_lookup
 
 #: documents with a term and without the entity that are added to what was counted
 SMOOTHING = 1.0
@@ -26,8 +26,10 @@ GENERALISE_FROM = 0.8
 REMOVE_FROM = 0.95
 #: least share of a term's documents that hold the entity it discloses
 LIKELY_FROM = 0.5
-#: (text, term) pairs, of 16 bytes, that are sent to every executor at most
-SENT_PAIRS = 500_000
+#: (text, term) pairs, of up to 200 bytes, that are sent to every executor at most
+SENT_PAIRS = 50_000
+#: 64-bit words of the table of bits that is sent in place of more pairs
+WORDS = 1 << 16
 #: letters of a term
 TERM_LETTERS = 4
 TERM = rf"\p{{L}}{{{TERM_LETTERS},}}"
@@ -161,11 +163,32 @@ def disclosing_terms(
     )
 
 
-def _met(left: DataFrame, right: DataFrame, key: str, salt: str, how: str, pairs: int) -> DataFrame:
-    """Join with a ``right`` of so many pairs: sent whole while they are few, else by salted keys."""
-    if pairs <= SENT_PAIRS:
-        return left.join(F.broadcast(right), key, how)
-    return salted_lookup(left, right, [key], [salt], how)
+def _key_bits(right: DataFrame, key: str) -> DataFrame:
+    """A table of bits of the ``key``, a hash: ``WORDS`` rows at most whatever the size of ``right``."""
+    bit = F.call_function("shiftleft", F.lit(1).cast("bigint"), _bit_of(key))
+    words = right.select(_word_of(key), bit.alias("bit")).groupBy("__word").agg(F.bit_or("bit").alias("__bits"))
+    # written first, so that the driver gets these rows and not what they are made of
+    return F.broadcast(store(words, "words"))
+
+
+def _word_of(key: str) -> Column:
+    return F.pmod(key, F.lit(WORDS)).alias("__word")
+
+
+def _bit_of(key: str) -> Column:
+    return F.pmod(F.shiftright(key, 16), F.lit(64)).cast("int")
+
+
+def _may_meet(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """``left`` with ``may``: false only where no row of ``right`` has its ``key``."""
+    met = left.withColumn("__word", _word_of(key)).join(_key_bits(right, key), "__word", "left")
+    return met.withColumn("may", F.coalesce(F.getbit("__bits", _bit_of(key)) == 1, F.lit(False))).drop("__word", "__bits")
+
+
+def _near(left: DataFrame, right: DataFrame, key: str) -> DataFrame:
+    """The rows of ``left`` that may meet ``right``."""
+    words = _key_bits(right, key).withColumnRenamed("__word", "__of")
+    return left.join(words, (_word_of(key) == F.col("__of")) & (F.getbit("__bits", _bit_of(key)) == 1), "left_semi")
 
 
 def sanitise(
@@ -196,8 +219,13 @@ def sanitise(
     pairs = store(disclosing_terms(terms, holders, smoothing, generalise_from, likely_from), "disclosing")
     searched = terms if everywhere else told.select("text_hash", "term_hashes")
     exploded = searched.select("text_hash", F.explode("term_hashes").alias("term_hash"))
+    if pairs.count() <= SENT_PAIRS:
+        told_terms = exploded.join(F.broadcast(pairs), "term_hash")
+    else:
+        near = store(_near(exploded, pairs, "term_hash"), "near")
+        told_terms = skewed_lookup(near, pairs, ["term_hash"], salt=["text_hash"], how="inner")
     hits = store(
-        _met(exploded, pairs, "term_hash", "text_hash", "inner", pairs.count())
+        told_terms
         .groupBy("text_hash")
         .agg(F.collect_set(F.struct("term_hash", "disclosure")).alias("list"))
         # a map is searched from its start, so a text with n terms has about sqrt(n) maps
@@ -218,7 +246,8 @@ def sanitise(
 
     n_hits = hits.agg(F.sum(F.aggregate("hits", F.lit(0), lambda n, m: n + F.size(m)))).first()[0] or 0
 
-    def mark(rows: DataFrame) -> DataFrame:
+    def mark(met: DataFrame) -> DataFrame:
+        """Spans with the terms of rows that have met their hits."""
         text, spans, own = F.col("text"), F.col("spans"), F.col("hits")
         placed = F.transform(
             places(_blanked(text, spans), TERM, lambda m: told_by(m).isNotNull()),
@@ -227,11 +256,32 @@ def sanitise(
                 F.when(told_by(p["match"]) >= remove_from, "term_removed").otherwise("term").alias("kind"),
             ),
         )
-        return _met(rows, hits, "text_hash", "doc_id", "left", n_hits).select(
+        return met.select(
             "doc_id", "text", F.when(own.isNull(), spans).otherwise(F.array_sort(F.concat(spans, placed))).alias("spans")
         )
 
-    marked = mark(private).unionByName(mark(clean) if everywhere else clean.select("doc_id", "text", "spans"))
+    plain = ["doc_id", "text", "spans"]
+    if n_hits <= SENT_PAIRS:
+        few = F.broadcast(hits)
+        marked = mark(private.join(few, "text_hash", "left"))
+        marked = marked.unionByName(mark(clean.join(few, "text_hash", "left")) if everywhere else clean.select(*plain))
+    else:
+        hashed = whole.withColumn("text_hash", F.xxhash64("text"))
+        heavy = heavy_keys(hashed, ["text_hash"])
+        marked = mark(skewed_lookup(private, hits, ["text_hash"], salt=["doc_id"], heavy=heavy))
+        if everywhere:
+            told_of, may = _may_meet(hashed, hits, "text_hash"), F.col("may")
+
+            def without_identifiers(chosen: Column) -> DataFrame:
+                # the spans name the choice, so they are looked for in chosen texts only
+                rows = told_of.where(chosen).withColumn("spans", F.when(chosen, identifiers(F.col("text"))))
+                return rows.where(F.size("spans") == 0)
+
+            # only texts that may have a term are moved
+            moved = skewed_lookup(without_identifiers(may), hits, ["text_hash"], salt=["doc_id"], heavy=heavy)
+            marked = marked.unionByName(mark(moved)).unionByName(without_identifiers(~may).select(*plain))
+        else:
+            marked = marked.unionByName(clean.select(*plain))
     return marked.select("doc_id", "spans", sanitised(F.col("text"), F.col("spans")).alias("sanitised"))
 
 

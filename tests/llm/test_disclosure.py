@@ -74,3 +74,21 @@ def test_marks_do_not_depend_on_the_size_of_the_corpus(spark, size):
     assert all("Featherstone" not in told[i] and "Marigold" not in told[i] for i in range(4))
     assert "lanternfish" in told[10] and told[11] == "one more lanternfish swims"
     assert all(told[i] == t for i, t in rows if i >= 11)
+
+
+def test_what_is_sent_does_not_grow_with_the_pairs(spark, monkeypatch):
+    """Bits of hashes are sent in place of pairs: no key is lost, and few others are kept."""
+    monkeypatch.setattr(privacy, "WORDS", 64)
+    key = F.xxhash64("id").alias("text_hash")
+    right = spark.range(0, 400).select(key)
+    met = privacy._may_meet(spark.range(0, 4000).select("id", key), right, "text_hash")
+    assert met.where("id < 400 and not may").count() == 0 and met.count() == 4000
+    kept = met.where("may").count()
+    assert 400 < kept < 400 + 3600 * 0.2
+    assert privacy._near(spark.range(0, 4000).select("id", key), right, "text_hash").count() == kept
+    monkeypatch.setattr(privacy, "SENT_PAIRS", 0)
+    sent, run = [], F.broadcast
+    monkeypatch.setattr(privacy.F, "broadcast", lambda df: sent.append(df.count()) or run(df))
+    docs = spark.createDataFrame([(i, f"mail a{i}@b.org word{i * 7:c}zorb blatt{i}") for i in range(60, 160)], "doc_id bigint, text string")
+    out = privacy.sanitise(docs, everywhere=True, likely_from=0.1, generalise_from=0.1)
+    assert out.count() == 100 and sent and max(sent) <= 64
