@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
-from defectlake import scale
-from defectlake.operators import roles
+import random
+
+from pyspark.sql import functions as F
+
+from defectlake import scale, schemas
+from defectlake.operators import enrich, roles
 from defectlake.sources import heap_text, reports
 
 
@@ -47,3 +51,21 @@ def test_dedup_in_report_makes_only_asked_columns(spark):
     out = reports.ingest_helgrind(raw).select("scan_id", "ord", "severity")
     assert plan(out).count("sha2(") == 1
     assert [tuple(r) for r in out.collect()] == [("s", reports.REPORT_SPAN, "critical")]
+
+
+def test_whole_files_are_moved_once_for_their_findings(spark, monkeypatch):
+    """Contexts cut from a file's row equal those of blocks of lines, and no lines are stored or moved again for them."""
+    rng = random.Random(3)
+    kinds = ["int f(int n) {", "def g(x):", "  if (n) {", "  }", "}", "  call(n);", "", "x = 1"]
+    lines = [("s", f, n, rng.choice(kinds)) for f, size in (("a.c", 300), ("b.py", 90), ("c.c", 3)) for n in range(1, size + 1) if n % 41]
+    lines = spark.createDataFrame(lines, "scan_id STRING, file STRING, line_no INT, text STRING")
+    at = [(f, rng.randrange(0, size), rng.choice(["c", "python", None])) for f, size in (("a.c", 310), ("b.py", 99), ("c.c", 30), ("none", 9)) for _ in range(25)]
+    found = spark.createDataFrame([("s", i, *x) for i, x in enumerate([*at, (None, 3, "c"), ("a.c", None, "c")])], "scan_id STRING, ord BIGINT, f STRING, n INT, language STRING")
+    found = found.select("scan_id", "ord", "language", schemas.location(F.col("f"), F.col("n")).alias("primary_location"))
+    stored, run = [], scale.materialise
+    monkeypatch.setattr(scale, "materialise", lambda df, label: stored.append(label) or run(df, label))
+    whole = enrich.attach_source_context(found, lines)
+    assert set(stored) <= {"heavy"} and physical(whole).count("Exchange hashpartitioning") <= 4
+    blocks = enrich.attach_source_context(found, lines, full_file_lines=10**6)
+    got, want = ({r.ord: r.source_context for r in df.collect()} for df in (whole, blocks))
+    assert got == want and sum(c is not None and c.function_body is not None for c in got.values()) > 20
